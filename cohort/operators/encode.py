@@ -13,9 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohort.functions.text import map_lookup
 from cohort.operators.joins import lookup_join
 from cohort.sources.files import with_generated_ids
 
+# Class lists up to this size are kept as literal maps (no join at all).
+INLINE_MAX = 10_000
+
 
 def mode_value(df: DataFrame, col: str | Column, default=None):
     """Most frequent non-null value; a tie goes to the smallest value.
@@ -67,6 +71,33 @@ def encode(df: DataFrame, col: str | Column, classes: DataFrame, out: str,
     return tmp.withColumn(out, code.cast("int")).drop("__kc", "__val")
 
 
+def fit_codes(df: DataFrame, col: str | Column, always: Sequence[str] = (),
+              min_count: int | None = None):
+    """Fitted codes: a sorted Python list when there are at most
+    ``INLINE_MAX`` classes (checked by fetching at most INLINE_MAX+1 values),
+    else a ``(value, code)`` DataFrame."""
+    vc = value_counts(df, col)
+    if min_count is not None:
+        vc = vc.where(F.col("n") >= min_count)
+    got = [r["value"] for r in vc.select("value").limit(INLINE_MAX + 1).collect()]
+    if len(got) + len(always) <= INLINE_MAX:
+        return sorted(set(got) | set(always))
+    return fit_classes(df, col, always=always, min_count=min_count)
+
+
+def encode_with(df: DataFrame, value: Column, codes, out: str,
+                fallback=None) -> DataFrame:
+    """Encode with ``fit_codes`` output: literal map for a list, lookup join
+    for a table. Unknown values take the fallback's code."""
+    if isinstance(codes, list):
+        mapping = {v: i for i, v in enumerate(codes)}
+        code = map_lookup(value, mapping)
+        if fallback is not None and fallback in mapping:
+            code = F.coalesce(code, F.lit(mapping[fallback]))
+        return df.withColumn(out, code.cast("int"))
+    return encode(df, value, codes, out, fallback=fallback)
+
+
 def classes_list(classes: DataFrame) -> list:
     """Small class tables as a Python list in code order (for metadata)."""
     return [r["value"] for r in classes.orderBy("code").collect()]

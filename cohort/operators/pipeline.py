@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cohort.functions import binning as B
 from cohort.functions import numeric as N
 from cohort.functions import text as T
-from cohort.operators.encode import encode, fit_classes, mode_value
+from cohort.operators.encode import encode_with, fit_codes, mode_value
 from cohort.operators.joins import attach_counts
 from cohort.operators.quantiles import exact_quantiles
 from cohort.sources.files import nan_to_null
@@ -120,16 +120,14 @@ class FeaturePipeline:
         # E3 + E1: ticket prefixes, rare ones collapsed, 'OTHER' always a class
         if self._has(df, "ticket"):
             prefix = imp.select(T.ticket_prefix(r["ticket"]).alias("p"))
-            tables["ticket_prefix"] = fit_classes(prefix, "p", always=[OTHER_PREFIX],
-                                                  min_count=self.rare_min).cache()
+            tables["ticket_prefix"] = fit_codes(prefix, "p", always=[OTHER_PREFIX],
+                                                min_count=self.rare_min)
         else:
-            tables["ticket_prefix"] = fit_classes(
-                imp.select(F.lit(None).cast("string").alias("p")), "p",
-                always=["NONE", OTHER_PREFIX]).cache()
+            tables["ticket_prefix"] = ["NONE", OTHER_PREFIX]
         # deck areas ('Unknown' always a class; it sorts last)
         area = T.cabin_area(T.first_letter(r["cabin"]) if self._has(df, "cabin") else F.lit("U"))
-        tables["cabin_area"] = fit_classes(imp.select(area.alias("a")), "a",
-                                           always=[UNKNOWN_AREA]).cache()
+        tables["cabin_area"] = fit_codes(imp.select(area.alias("a")), "a",
+                                         always=[UNKNOWN_AREA])
         # Median cabin number of the training rows
         if self._has(df, "cabin"):
             cn = imp.select(T.first_number(r["cabin"]).alias("cn"))
@@ -138,8 +136,9 @@ class FeaturePipeline:
             st["median_cabin_number"] = None
         # N4 + E1: port mode then port classes
         if self._has(df, "embarked"):
-            st["port_mode"] = mode_value(imp, r["embarked"], DEFAULT_PORT)
-            tables["port"] = fit_classes(imp, r["embarked"]).cache()
+            # after the fill the mode is unchanged unless the column was all null
+            st["port_mode"] = st["mode_embarked"] if st["mode_embarked"] is not None else DEFAULT_PORT
+            tables["port"] = fit_codes(imp, r["embarked"])
         if self.bins == "fitted":
             if self._has(df, "fare"):
                 st["fare_edges"] = quantile_edges(imp, r["fare"])
@@ -147,6 +146,12 @@ class FeaturePipeline:
                 tables["ticket_counts"] = (imp.groupBy(F.col(r["ticket"]).alias("value"))
                                            .agg(F.count(F.lit(1)).alias("n"))
                                            .where(F.col("value").isNotNull()).cache())
+        # small class lists live in the state; large ones stay tables
+        for k in list(tables):
+            if isinstance(tables[k], list):
+                st[f"codes_{k}"] = tables.pop(k)
+            else:
+                tables[k] = tables[k].cache()
         st["table_rows"] = {k: v.count() for k, v in tables.items()}
         return FeaturePipelineModel(st, tables)
 
@@ -159,6 +164,11 @@ class FeaturePipelineModel:
         self.state = state
         self.tables = tables
 
+    def _codes(self, name: str):
+        if f"codes_{name}" in self.state:
+            return self.state[f"codes_{name}"]
+        return self.tables.get(name)
+
     @property
     def feature_names(self) -> list[str]:
         return list(FEATURE_NAMES)
@@ -195,20 +205,19 @@ class FeaturePipelineModel:
                 d = d.withColumn("ticket_frequency", F.coalesce("ticket_frequency", F.lit(1)))
             else:
                 d = attach_counts(d, r["ticket"], "ticket_frequency")
-            d = encode(d, T.ticket_prefix(r["ticket"]), self.tables["ticket_prefix"],
-                       "ticket_prefix_code", fallback=OTHER_PREFIX,
-                       n_classes=st["table_rows"]["ticket_prefix"])
+            d = encode_with(d, T.ticket_prefix(r["ticket"]), self._codes("ticket_prefix"),
+                            "ticket_prefix_code", fallback=OTHER_PREFIX)
         else:
             d = d.withColumns({"ticket_frequency": F.lit(1), "ticket_prefix_code": F.lit(0)})
         # deck area code, unseen area -> 'Unknown'
         area = T.cabin_area(T.first_letter(r["cabin"]) if has("cabin") else F.lit("U"))
-        d = encode(d, area, self.tables["cabin_area"], "cabin_location_code",
-                   fallback=UNKNOWN_AREA, n_classes=st["table_rows"]["cabin_area"])
+        d = encode_with(d, area, self._codes("cabin_area"), "cabin_location_code",
+                        fallback=UNKNOWN_AREA)
         # port code, unseen port -> fitted mode
-        if has("embarked") and "port" in self.tables:
+        if has("embarked") and self._codes("port") is not None:
             port = F.coalesce(col("embarked"), F.lit(st["port_mode"]))
-            d = encode(d, port, self.tables["port"], "embarked_code",
-                       fallback=st["port_mode"], n_classes=st["table_rows"]["port"])
+            d = encode_with(d, port, self._codes("port"), "embarked_code",
+                            fallback=st["port_mode"])
         else:
             d = d.withColumn("embarked_code", F.lit(0))
         # quartile code of fare: edges of this batch (reference) or fitted
@@ -274,7 +283,7 @@ class FeaturePipelineModel:
 
     # ---- persistence (S6) ----
     def save(self, path: str) -> None:
-        spark = next(iter(self.tables.values())).sparkSession
+        spark = SparkSession.getActiveSession()
         for k, t in self.tables.items():
             t.write.mode("overwrite").parquet(os.path.join(path, "tables", k))
         meta = spark.createDataFrame([(json.dumps(self.state),)], "state string")

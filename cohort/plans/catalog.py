@@ -28,3 +28,344 @@ def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """E5 flagship: fit the pipeline on the view, transform the view."""
     v = passenger_view(spark, sf)
     return view_pipeline().fit(v).transform(v)
+
+
+# ---------------------------------------------------------------------------
+# helpers
+import uuid  # noqa: E402
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from cohort.functions import binning as B  # noqa: E402
+from cohort.functions import numeric as N  # noqa: E402
+from cohort.functions import text as T  # noqa: E402
+from cohort.operators import aggregate as A  # noqa: E402
+from cohort.operators import profile as PR  # noqa: E402
+from cohort.operators.encode import encode_with, fit_codes, mode_value  # noqa: E402
+from cohort.operators.pipeline import FEATURE_NAMES, column_quantiles, quantile_edges  # noqa: E402
+from cohort.operators.scale import fit_scaler  # noqa: E402
+from cohort.session import scratch_dir  # noqa: E402
+from cohort.sources import files as S  # noqa: E402
+
+
+def r6(c):
+    """Aggregated doubles are rounded to 6 places (summation order differs
+    between engines)."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def lineitem(spark, sf):
+    return S.read_table(spark, sf, "lineitem")
+
+
+def documents(spark, sf):
+    return S.read_table(spark, sf, "documents")
+
+
+def _fitted_matrix(spark, sf, **kw):
+    v = passenger_view(spark, sf)
+    return view_pipeline(**kw).fit(v).transform(v)
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks
+@query("csv_scan")
+def csv_scan(spark, sf):
+    """S1/S5 round trip: the view written as CSV (names hold commas) and read
+    back with the header + quote-escape reader and an explicit schema."""
+    v = passenger_view(spark, sf)
+    path = scratch_dir(spark, f"csv-{uuid.uuid4().hex}")
+    S.write_csv(v, path)
+    schema = ", ".join(f"{n} {t}" for n, t in v.dtypes)
+    return S.read_csv(spark, path, schema=schema)
+
+
+@query("generate_ids")
+def generate_ids(spark, sf):
+    """Lineitem has no key; number its rows 1..n in full column order."""
+    li = lineitem(spark, sf)
+    return S.with_generated_ids(li, "row_id", order_by=li.columns)
+
+
+@query("submission_sink")
+def submission_sink(spark, sf):
+    """(id, int prediction) CSV written and read back."""
+    v = passenger_view(spark, sf)
+    pred = v.withColumn("pred", (F.col("pclass") <= 2).cast("int"))
+    path = scratch_dir(spark, f"sub-{uuid.uuid4().hex}")
+    S.write_csv(S.submission(pred, "id", "pred", "survived"), path)
+    return S.read_csv(spark, path, schema="id long, survived int")
+
+
+# ---------------------------------------------------------------------------
+# projections / filters (P)
+@query("align_columns")
+def align_columns(spark, sf):
+    """Same order as a trained column list; absent -> 0, extra dropped."""
+    c = S.read_table(spark, sf, "customer")
+    names = ["c_custkey", "c_acctbal", "c_phone", "c_nationkey"]
+    return c.select([F.col(n) if n in c.columns else F.lit(0).alias(n) for n in names])
+
+
+@query("filter_isin_range")
+def filter_isin_range(spark, sf):
+    """Set membership on two columns + closed range (null dropped)."""
+    v = passenger_view(spark, sf)
+    return v.where(F.col("sex").isin("female") & F.col("pclass").isin(1, 2)
+                   & F.col("age").between(20, 40))
+
+
+@query("preview_top5")
+def preview_top5(spark, sf):
+    """First five rows in id order (explicit order: limit is the feature)."""
+    return passenger_view(spark, sf).orderBy("id").limit(5)
+
+
+@query("table_shape")
+def table_shape(spark, sf):
+    """P9."""
+    return PR.shape(passenger_view(spark, sf))
+
+
+@query("pairs_complete_cases")
+def pairs_complete_cases(spark, sf):
+    """Six columns, complete rows only."""
+    cols = ["label", "pclass", "age", "sibsp", "parch", "fare"]
+    return passenger_view(spark, sf).select("id", *cols).na.drop("any", subset=cols)
+
+
+@query("family_features")
+def family_features(spark, sf):
+    """X1/P13/B1."""
+    v = passenger_view(spark, sf)
+    fs = N.family_size("sibsp", "parch")
+    return v.select("id", fs.alias("family_size"), N.is_alone(fs).alias("is_alone"),
+                    B.cut_right(fs, B.FAMILY_TYPE_EDGES).alias("family_type"))
+
+
+@query("missing_column_defaults")
+def missing_column_defaults(spark, sf):
+    """Absent source columns give the reference's defaults."""
+    v = passenger_view(spark, sf).drop("name", "sex", "embarked", "ticket", "cabin")
+    out = view_pipeline().fit(v).transform(v)
+    return out.select("id", "title_code", "sex_code", "embarked_code", "ticket_frequency",
+                      "ticket_prefix_code", "has_cabin", "cabin_location_code", "cabin_number")
+
+
+POLY = ["age", "fare", "age_sq", "age_fare", "fare_sq"]
+INTERACT = ["age_x_class", "fare_x_class", "sex_x_class", "age_band_x_sex", "embarked_x_class",
+            "family_x_class", "fare_x_cabin_location_code", "age_x_family_size",
+            "fare_per_person_x_class", "cabin_location_code_x_age_band", "title_code_x_class",
+            "loneliness_score", "ticket_frequency_x_class", "ticket_prefix_code_x_class",
+            "fare_sq_x_sex_code", "age_fare_x_sex_code"]
+
+
+@query("poly_features")
+def poly_features(spark, sf):
+    """Degree-2 terms of (age, fare) in the reference's order."""
+    return _fitted_matrix(spark, sf).select("id", *POLY)
+
+
+@query("interaction_features")
+def interaction_features(spark, sf):
+    """Products, guarded ratio, loneliness flag."""
+    return _fitted_matrix(spark, sf).select("id", *INTERACT)
+
+
+# ---------------------------------------------------------------------------
+# string functions (T)
+@query("map_recode")
+def map_recode(spark, sf):
+    """Literal dictionary lookups; no match -> null."""
+    v = passenger_view(spark, sf)
+    return v.select("id", T.title("name").alias("title"),
+                    T.map_lookup(T.title("name"), VIEW_TITLE_CODES).alias("title_code"),
+                    T.sex_code("sex").alias("sex_code"))
+
+
+@query("title_extract")
+def title_extract(spark, sf):
+    """T1 on whole document texts: first word between a space and a dot."""
+    return documents(spark, sf).select("doc_id", T.title("text").alias("title"))
+
+
+@query("title_grouped")
+def title_grouped(spark, sf):
+    """Kept titles stay, the rest (and null) become 'Other'."""
+    kept = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD"]
+    t = T.title("name")
+    v = passenger_view(spark, sf)
+    return v.select("id", F.when(t.isin(*kept), t).otherwise(F.lit("Other")).alias("title_grouped"))
+
+
+@query("ticket_prefix")
+def ticket_prefix(spark, sf):
+    """T4/T5."""
+    v = passenger_view(spark, sf)
+    return v.select("id", "ticket", T.ticket_prefix("ticket").alias("prefix"))
+
+
+@query("cabin_features")
+def cabin_features(spark, sf):
+    """T6-T8/T10/N5 on the raw cabin: letter (null -> U), deck area, first
+    number filled with the table's exact median, then 0."""
+    v = passenger_view(spark, sf)
+    num = T.first_number("cabin")
+    med = column_quantiles(v.select(num.alias("n")), ["n"], [0.5])["n"][0]
+    return v.select("id", T.presence_flag("cabin").alias("has_cabin"),
+                    T.first_letter("cabin").alias("cabin_letter"),
+                    T.cabin_area(T.first_letter("cabin")).alias("cabin_area"),
+                    F.coalesce(num, F.lit(med).cast("double"), F.lit(0.0)).alias("cabin_number"))
+
+
+@query("numeric_coerce")
+def numeric_coerce(spark, sf):
+    """Lenient text -> number, bad -> 0."""
+    v = passenger_view(spark, sf)
+    return v.select("id", N.coerce_numeric("ticket").alias("ticket_number"))
+
+
+@query("text_null_marker")
+def text_null_marker(spark, sf):
+    """The text 'nan' (a missing value written as text) -> null."""
+    v = passenger_view(spark, sf)
+    txt = F.coalesce(F.col("cabin"), F.lit("nan"))
+    return v.select("id", T.text_null_marker(txt).alias("cabin"))
+
+
+# ---------------------------------------------------------------------------
+# binning (B)
+@query("bin_fixed_right")
+def bin_fixed_right(spark, sf):
+    """B1: right-closed bins; null age -> null bin."""
+    v = passenger_view(spark, sf)
+    return v.select("id", B.cut_right("age", B.AGE_GROUP_EDGES).alias("age_group"),
+                    B.cut_right(N.family_size("sibsp", "parch"), B.FAMILY_TYPE_EDGES)
+                    .alias("family_type"))
+
+
+@query("bin_fixed_left")
+def bin_fixed_left(spark, sf):
+    """B2: left-closed bins, top edge excluded."""
+    v = passenger_view(spark, sf)
+    return v.select("id", B.cut_left("age", B.AGE_BAND5_EDGES).alias("age_band"))
+
+
+@query("bin_quantile")
+def bin_quantile(spark, sf):
+    """Quartile codes of the median-filled fare over this table."""
+    v = passenger_view(spark, sf)
+    med = column_quantiles(v, ["fare"], [0.5])["fare"][0]
+    f = v.select("id", F.coalesce("fare", F.lit(med)).alias("fare"))
+    edges = quantile_edges(f, "fare")
+    return f.select("id", B.quantile_code("fare", F.array(*[F.lit(e) for e in edges]))
+                    .alias("fare_group"))
+
+
+# ---------------------------------------------------------------------------
+# missing values (N)
+@query("impute_mode")
+def impute_mode(spark, sf):
+    """Most frequent value (tie -> smallest) fills nulls."""
+    v = passenger_view(spark, sf)
+    me, mc = mode_value(v, "embarked", "S"), mode_value(v, "cabin")
+    return v.select("id", F.coalesce("embarked", F.lit(me)).alias("embarked"),
+                    F.coalesce("cabin", F.lit(mc)).alias("cabin"))
+
+
+@query("impute_median")
+def impute_median(spark, sf):
+    """Exact (interpolated) median fills nulls."""
+    v = passenger_view(spark, sf)
+    med = column_quantiles(v, ["age", "fare"], [0.5])
+    return v.select("id", F.coalesce("age", F.lit(med["age"][0])).alias("age"),
+                    F.coalesce("fare", F.lit(med["fare"][0])).alias("fare"))
+
+
+@query("impute_mean")
+def impute_mean(spark, sf):
+    """Column means fill nulls."""
+    v = passenger_view(spark, sf)
+    ma, mf = v.agg(F.avg("age"), F.avg("fare")).first()
+    return v.select("id", r6(F.coalesce("age", F.lit(ma))).alias("age"),
+                    r6(F.coalesce("fare", F.lit(mf))).alias("fare"))
+
+
+@query("impute_transform_fitted")
+def impute_transform_fitted(spark, sf):
+    """Imputers fitted on the full view, applied to a frame that lacks
+    fare and cabin: only columns seen at fit and present now are filled."""
+    v = passenger_view(spark, sf)
+    model = view_pipeline().fit(v)
+    return model.impute(v.drop("fare", "cabin")).select("id", "age", "embarked")
+
+
+@query("fill_by_type")
+def fill_by_type(spark, sf):
+    """Text key -> mode, numeric key -> median."""
+    v = passenger_view(spark, sf)
+    band = B.cut_left("age", B.AGE_BAND7_EDGES, B.AGE_BAND7_LABELS)
+    t = v.select("id", band.alias("age_band"), "fare")
+    return t.select("id", A.fill_by_type(t, "age_band").alias("age_band"),
+                    A.fill_by_type(t, "fare").alias("fare"))
+
+
+@query("missing_profile")
+def missing_profile(spark, sf):
+    """Null count and percentage per column."""
+    return PR.missing_profile(passenger_view(spark, sf)).select(
+        "column", "n_missing", r6("pct_missing").alias("pct_missing"))
+
+
+# ---------------------------------------------------------------------------
+# encoding (E)
+@query("label_encode")
+def label_encode(spark, sf):
+    """Codes by sorted value."""
+    d = documents(spark, sf)
+    codes = fit_codes(d, "lang")
+    return encode_with(d.select("doc_id", "lang"), F.col("lang"), codes, "lang_code")
+
+
+@query("encode_unknown_fallback")
+def encode_unknown_fallback(spark, sf):
+    """Classes fitted on the labelled documents' title words
+    (rare ones collapsed, 'OTHER' always a class) and applied to every
+    document: unseen or rare -> code of 'OTHER'."""
+    d = documents(spark, sf)
+    lab = S.read_table(spark, sf, "labels")
+    train = d.join(lab.select("doc_id"), "doc_id", "left_semi")
+    t = T.title("text")
+    codes = fit_codes(train.select(t.alias("t")), "t", always=["OTHER"], min_count=10)
+    return encode_with(d.select("doc_id", t.alias("title")), F.col("title"), codes,
+                       "title_code", fallback="OTHER")
+
+
+@query("rare_group")
+def rare_group(spark, sf):
+    """Title words seen fewer than 10 times collapse to 'OTHER'."""
+    d = documents(spark, sf).select(T.title("text").alias("title"))
+    return A.rare_values(d, "title", 10)
+
+
+@query("standard_scale")
+def standard_scale(spark, sf):
+    """(x - mean) / population std over lineitem's measures."""
+    li = lineitem(spark, sf)
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    sc = fit_scaler(li, cols)
+    return li.select("l_orderkey", "l_linenumber",
+                     *[r6(sc.column(c)).alias(c) for c in cols])
+
+
+@query("group_frequency")
+def group_frequency(spark, sf):
+    """Rows sharing the ticket, on every row."""
+    v = passenger_view(spark, sf).select("id", "ticket")
+    return A.group_frequency(v, "ticket", "ticket_frequency")
+
+
+@query("dedupe_ordered")
+def dedupe_ordered(spark, sf):
+    """Each language once with its first position (doc id order)."""
+    return A.first_occurrence(documents(spark, sf), "lang", "doc_id")

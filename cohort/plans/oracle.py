@@ -1,7 +1,124 @@
-"""Oracle SQL per registered key (DuckDB dialect, driver tables as views)."""
+"""Oracle SQL per registered key (DuckDB dialect; the driver tables are
+pre-registered views). Aggregated doubles are rounded to 6 places on both
+sides; exact row-level arithmetic is compared unrounded."""
 
-from cohort.plans.oracle_features import FEATURE_MATRIX_SQL
+from cohort.plans.oracle_features import (AREA_CASE, FEATURE_MATRIX_SQL, P0_EXPR,
+                                          PREFIX_EXPR)
+from cohort.plans.views import PASSENGER_VIEW_SQL
+
+V = f"({PASSENGER_VIEW_SQL}) v"
+TITLE = "nullif(regexp_extract({c}, ' ([A-Za-z]+)\\.', 1), '')"
+FM = f"({FEATURE_MATRIX_SQL}) fm"
+FS = "(sibsp + parch + 1)"
+LI_COLS = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+           "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
 
 ORACLE: dict = {
     "feature_matrix": FEATURE_MATRIX_SQL,
+    "csv_scan": f"SELECT * FROM {V}",
+    "generate_ids": f"SELECT {LI_COLS}, row_number() OVER (ORDER BY {LI_COLS}) AS row_id FROM lineitem",
+    "submission_sink": f"SELECT id, CAST(CASE WHEN pclass <= 2 THEN 1 ELSE 0 END AS INT) AS survived FROM {V}",
+    "align_columns": "SELECT c_custkey, c_acctbal, 0 AS c_phone, c_nationkey FROM customer",
+    "filter_isin_range": f"SELECT * FROM {V} WHERE sex IN ('female') AND pclass IN (1, 2) AND age BETWEEN 20 AND 40",
+    "preview_top5": f"SELECT * FROM {V} ORDER BY id LIMIT 5",
+    "table_shape": f"SELECT count(*) AS n_rows, CAST(12 AS BIGINT) AS n_cols FROM {V}",
+    "pairs_complete_cases": f"""SELECT id, label, pclass, age, sibsp, parch, fare FROM {V}
+        WHERE label IS NOT NULL AND pclass IS NOT NULL AND age IS NOT NULL AND sibsp IS NOT NULL
+          AND parch IS NOT NULL AND fare IS NOT NULL""",
+    "family_features": f"""SELECT id, {FS} AS family_size,
+        CASE WHEN {FS} > 1 THEN 0 ELSE 1 END AS is_alone,
+        CASE WHEN {FS} > 0 AND {FS} <= 1 THEN 0 WHEN {FS} > 1 AND {FS} <= 4 THEN 1
+             WHEN {FS} > 4 THEN 2 END AS family_type FROM {V}""",
+    "missing_column_defaults": f"""SELECT id, 1.0 AS title_code, 0.5 AS sex_code, 0.0 AS embarked_code,
+        1.0 AS ticket_frequency, 0.0 AS ticket_prefix_code, 0.0 AS has_cabin,
+        0.0 AS cabin_location_code, 0.0 AS cabin_number FROM {V}""",
+    "poly_features": f"SELECT id, age, fare, age_sq, age_fare, fare_sq FROM {FM}",
+    "interaction_features": f"""SELECT id, age_x_class, fare_x_class, sex_x_class, age_band_x_sex,
+        embarked_x_class, family_x_class, fare_x_cabin_location_code, age_x_family_size,
+        fare_per_person_x_class, cabin_location_code_x_age_band, title_code_x_class,
+        loneliness_score, ticket_frequency_x_class, ticket_prefix_code_x_class,
+        fare_sq_x_sex_code, age_fare_x_sex_code FROM {FM}""",
+    "map_recode": f"""SELECT id, {TITLE.format(c='name')} AS title,
+        CASE {TITLE.format(c='name')} WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2
+          WHEN 'MACHINERY' THEN 3 WHEN 'HOUSEHOLD' THEN 3 END AS title_code,
+        CASE sex WHEN 'female' THEN 0 WHEN 'male' THEN 1 END AS sex_code FROM {V}""",
+    "title_extract": f"SELECT doc_id, {TITLE.format(c='text')} AS title FROM documents",
+    "title_grouped": f"""SELECT id, CASE WHEN {TITLE.format(c='name')} IN ('BUILDING', 'AUTOMOBILE',
+        'MACHINERY', 'HOUSEHOLD') THEN {TITLE.format(c='name')} ELSE 'Other' END AS title_grouped FROM {V}""",
+    "ticket_prefix": f"""SELECT id, ticket, {PREFIX_EXPR} AS prefix
+        FROM (SELECT id, ticket, {P0_EXPR} AS p0 FROM {V})""",
+    "cabin_features": f"""WITH c AS (SELECT id, cabin,
+          TRY_CAST(nullif(regexp_extract(cabin, '([0-9]+)', 1), '') AS DOUBLE) AS num FROM {V})
+        SELECT id, CASE WHEN cabin IS NOT NULL THEN 1 ELSE 0 END AS has_cabin,
+          coalesce(substr(cabin, 1, 1), 'U') AS cabin_letter, {AREA_CASE} AS cabin_area,
+          coalesce(num, (SELECT quantile_cont(num, 0.5) FROM c), 0.0) AS cabin_number FROM c""",
+    "numeric_coerce": f"SELECT id, coalesce(TRY_CAST(ticket AS DOUBLE), 0.0) AS ticket_number FROM {V}",
+    "text_null_marker": f"""SELECT id, CASE WHEN upper(trim(coalesce(cabin, 'nan'))) = 'NAN' THEN NULL
+        ELSE coalesce(cabin, 'nan') END AS cabin FROM {V}""",
+    "bin_fixed_right": f"""SELECT id,
+        CASE WHEN age <= 16 THEN 0 WHEN age <= 32 THEN 1 WHEN age <= 48 THEN 2
+             WHEN age <= 64 THEN 3 WHEN age > 64 THEN 4 END AS age_group,
+        CASE WHEN {FS} > 0 AND {FS} <= 1 THEN 0 WHEN {FS} > 1 AND {FS} <= 4 THEN 1
+             WHEN {FS} > 4 THEN 2 END AS family_type FROM {V}""",
+    "bin_fixed_left": f"""SELECT id, CASE WHEN age >= 0 AND age < 12 THEN 0 WHEN age >= 12 AND age < 20 THEN 1
+        WHEN age >= 20 AND age < 40 THEN 2 WHEN age >= 40 AND age < 60 THEN 3
+        WHEN age >= 60 AND age < 100 THEN 4 END AS age_band FROM {V}""",
+    "bin_quantile": f"""WITH f AS (SELECT id, coalesce(fare, (SELECT quantile_cont(fare, 0.5) FROM {V})) AS fare FROM {V}),
+        e AS (SELECT list_sort(list_distinct(quantile_cont(fare, [0, 0.25, 0.5, 0.75, 1]))) AS edges FROM f)
+        SELECT id, CASE WHEN len(edges) >= 2 AND fare IS NOT NULL
+          THEN greatest(len(list_filter(edges, lambda x: x < f.fare)) - 1, 0) END AS fare_group
+        FROM f, e""",
+    "impute_mode": f"""SELECT id,
+        coalesce(embarked, (SELECT embarked FROM {V} WHERE embarked IS NOT NULL GROUP BY embarked
+                            ORDER BY count(*) DESC, embarked LIMIT 1)) AS embarked,
+        coalesce(cabin, (SELECT cabin FROM {V} WHERE cabin IS NOT NULL GROUP BY cabin
+                         ORDER BY count(*) DESC, cabin LIMIT 1)) AS cabin FROM {V}""",
+    "impute_median": f"""SELECT id, coalesce(age, (SELECT quantile_cont(age, 0.5) FROM {V})) AS age,
+        coalesce(fare, (SELECT quantile_cont(fare, 0.5) FROM {V})) AS fare FROM {V}""",
+    "impute_mean": f"""SELECT id, round(coalesce(age, (SELECT avg(age) FROM {V})), 6) AS age,
+        round(coalesce(fare, (SELECT avg(fare) FROM {V})), 6) AS fare FROM {V}""",
+    "impute_transform_fitted": f"""SELECT id, coalesce(age, (SELECT quantile_cont(age, 0.5) FROM {V})) AS age,
+        coalesce(embarked, (SELECT embarked FROM {V} WHERE embarked IS NOT NULL GROUP BY embarked
+                            ORDER BY count(*) DESC, embarked LIMIT 1)) AS embarked FROM {V}""",
+    "fill_by_type": f"""WITH t AS (SELECT id, CASE WHEN age >= 0 AND age < 12 THEN '0-12'
+          WHEN age >= 12 AND age < 20 THEN '13-20' WHEN age >= 20 AND age < 30 THEN '21-30'
+          WHEN age >= 30 AND age < 40 THEN '31-40' WHEN age >= 40 AND age < 50 THEN '41-50'
+          WHEN age >= 50 AND age < 60 THEN '51-60' WHEN age >= 60 AND age < 100 THEN '60+' END AS age_band,
+          fare FROM {V})
+        SELECT id, coalesce(age_band, (SELECT age_band FROM t WHERE age_band IS NOT NULL GROUP BY age_band
+                                       ORDER BY count(*) DESC, age_band LIMIT 1)) AS age_band,
+          coalesce(fare, (SELECT quantile_cont(fare, 0.5) FROM t)) AS fare FROM t""",
+    "missing_profile": f"""SELECT column_name AS "column", n_missing,
+        round(n_missing * 100.0 / n, 6) AS pct_missing FROM (
+          SELECT count(*) AS n,
+            count(*) - count(id) AS id, count(*) - count(label) AS label,
+            count(*) - count(pclass) AS pclass, count(*) - count(name) AS name,
+            count(*) - count(sex) AS sex, count(*) - count(age) AS age,
+            count(*) - count(sibsp) AS sibsp, count(*) - count(parch) AS parch,
+            count(*) - count(ticket) AS ticket, count(*) - count(fare) AS fare,
+            count(*) - count(cabin) AS cabin, count(*) - count(embarked) AS embarked FROM {V})
+        UNPIVOT (n_missing FOR column_name IN (id, label, pclass, name, sex, age, sibsp, parch,
+                                               ticket, fare, cabin, embarked))""",
+    "label_encode": """SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INT) AS lang_code
+        FROM documents""",
+    "encode_unknown_fallback": f"""WITH tr AS (SELECT {TITLE.format(c='text')} AS t FROM documents
+          WHERE doc_id IN (SELECT doc_id FROM labels)),
+        cl AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INT) AS code FROM (
+          SELECT t AS value FROM tr WHERE t IS NOT NULL GROUP BY t HAVING count(*) >= 10
+          UNION SELECT 'OTHER'))
+        SELECT doc_id, d.title, coalesce(cl.code, (SELECT code FROM cl WHERE value = 'OTHER')) AS title_code
+        FROM (SELECT doc_id, {TITLE.format(c='text')} AS title FROM documents) d
+        LEFT JOIN cl ON cl.value = d.title""",
+    "rare_group": f"""SELECT title, count(*) AS n, CAST(count(*) < 10 AS INT) AS is_rare,
+        CASE WHEN count(*) < 10 THEN 'OTHER' ELSE title END AS grouped
+        FROM (SELECT {TITLE.format(c='text')} AS title FROM documents) WHERE title IS NOT NULL GROUP BY title""",
+    "standard_scale": """SELECT l_orderkey, l_linenumber,
+        round((l_quantity - a_q) / s_q, 6) AS l_quantity, round((l_extendedprice - a_e) / s_e, 6) AS l_extendedprice,
+        round((l_discount - a_d) / s_d, 6) AS l_discount, round((l_tax - a_t) / s_t, 6) AS l_tax
+        FROM lineitem, (SELECT avg(l_quantity) a_q, stddev_pop(l_quantity) s_q, avg(l_extendedprice) a_e,
+          stddev_pop(l_extendedprice) s_e, avg(l_discount) a_d, stddev_pop(l_discount) s_d,
+          avg(l_tax) a_t, stddev_pop(l_tax) s_t FROM lineitem)""",
+    "group_frequency": f"""SELECT id, ticket, CASE WHEN ticket IS NULL THEN NULL
+        ELSE count(*) OVER (PARTITION BY ticket) END AS ticket_frequency FROM {V}""",
+    "dedupe_ordered": "SELECT lang, min(doc_id) AS first_pos FROM documents WHERE lang IS NOT NULL GROUP BY lang",
 }

@@ -3,7 +3,7 @@ and the submission sink."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,27 +64,18 @@ def with_generated_ids(df: DataFrame, id_col: str, order_by: list[str] | None =
     """Add ``id_col`` if absent.
 
     ``dense=True`` numbers rows 1..n in ``order_by`` order without a
-    single-task window: per-partition counts are summed into offsets and each
-    row adds its position inside the partition. ``dense=False`` only needs
-    uniqueness and uses ``monotonically_increasing_id`` (no extra job).
+    single-task window (range partitioning + per-partition offsets, see
+    ``operators.ordering``). ``dense=False`` only needs uniqueness and uses
+    ``monotonically_increasing_id`` (no extra job).
     """
     if id_col in df.columns:
         return df
     if not dense:
         return df.withColumn(id_col, F.monotonically_increasing_id() + 1)
+    from cohort.operators.ordering import positions
     keys = order_by or df.columns
-    sorted_df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    pid = "__pid"
-    tagged = sorted_df.withColumn(pid, F.spark_partition_id())
-    # Partition sizes: one small row per partition (bounded by partition count).
-    sizes = tagged.groupBy(pid).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select(
-        pid, (F.sum("__n").over(Window.orderBy(pid)) - F.col("__n")).alias("__off"))
-    pos = F.row_number().over(Window.partitionBy(pid).orderBy(*keys))
-    return (tagged.withColumn("__pos", pos)
-            .join(F.broadcast(offsets), pid)
-            .withColumn(id_col, (F.col("__off") + F.col("__pos")).cast("long"))
-            .drop(pid, "__pos", "__off"))
+    return positions(df, [], keys, "__pos").withColumn(
+        id_col, F.col("__pos") + 1).drop("__pos")
 
 
 def submission(df: DataFrame, id_col: str, pred_col: str,
