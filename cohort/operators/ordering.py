@@ -6,6 +6,12 @@ range-partitioned on (group, order) - so one large group spans many
 partitions - sorted inside each partition, and numbered with the
 per-partition sequence of ``monotonically_increasing_id``. Small tables of
 per-(partition, group) counts or sums give each partition its offset.
+
+Range boundaries come from sampling, and the row order inside a shuffled
+partition is not fixed, so the ranged frame is written once with a reliable
+checkpoint (the shared ``spark.checkpoint.dir``) before it is read twice -
+for the offsets and for the rows - and after an executor loss both reads
+still see the same partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort.operators.joins import lookup_join
+from cohort.session import cut_lineage
 
 
 def _ranged(df: DataFrame, keys: list[str], n_parts: int | None) -> DataFrame:
@@ -24,7 +31,7 @@ def _ranged(df: DataFrame, keys: list[str], n_parts: int | None) -> DataFrame:
     pid = F.spark_partition_id()
     # within a partition the id sequence follows the sorted row order
     local = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
-    return s.withColumn("__pid", pid).withColumn("__li", local)
+    return cut_lineage(s.withColumn("__pid", pid).withColumn("__li", local))
 
 
 def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],

@@ -123,7 +123,11 @@ def corr_vector(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     filled = df.select([F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(filled).select("__v")
     m = Correlation.corr(vec, "__v").head()[0].toArray()
-    rows = [(a, b, None if math.isnan(m[i, j]) else float(m[i, j]))
+    k = len(cols)
+    # a constant column has NaN off the diagonal; its own correlation is
+    # undefined too (Spark reports 1.0 there)
+    const = [k > 1 and all(math.isnan(m[i, j]) for j in range(k) if j != i) for i in range(k)]
+    rows = [(a, b, None if (math.isnan(m[i, j]) or (i == j and const[i])) else float(m[i, j]))
             for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 

@@ -84,7 +84,8 @@ def csv_scan(spark, sf):
 def generate_ids(spark, sf):
     """Lineitem has no key; number its rows 1..n in full column order."""
     li = lineitem(spark, sf)
-    return S.with_generated_ids(li, "row_id", order_by=li.columns)
+    out = S.with_generated_ids(li, "row_id", order_by=li.columns)
+    return out.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
 @query("submission_sink")
@@ -369,3 +370,270 @@ def group_frequency(spark, sf):
 def dedupe_ordered(spark, sf):
     """Each language once with its first position (doc id order)."""
     return A.first_occurrence(documents(spark, sf), "lang", "doc_id")
+
+
+# ---------------------------------------------------------------------------
+# aggregates (G)
+def _li_labeled(spark, sf):
+    """lineitem with the 0/1 stand-in label (returned line)."""
+    li = lineitem(spark, sf)
+    return li.withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+
+
+@query("rate_by_key")
+def rate_by_key(spark, sf):
+    """G1: returned-line rate x100 by status and by line number, one scan."""
+    out = A.rate_by_keys_long(_li_labeled(spark, sf), ["l_linestatus", "l_linenumber"], "label")
+    return out.select("key_name", "key_value", r6("rate").alias("rate"), "n")
+
+
+def _rate_sorted(df):
+    return df.select("key", r6("rate").alias("rate"))
+
+
+@query("rate_by_title")
+def rate_by_title(spark, sf):
+    """Rate by grouped title (text key: N6 fill with the mode)."""
+    v = passenger_view(spark, sf)
+    kept = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD"]
+    t = T.title("name")
+    key = F.when(t.isin(*kept), t).otherwise(F.lit("Other"))
+    return _rate_sorted(A.rate_by_derived_key(v, key, "label"))
+
+
+@query("rate_by_age_band")
+def rate_by_age_band(spark, sf):
+    """Seven labelled left-closed age bands; nulls take the mode
+    band; every band listed (empty -> null rate)."""
+    v = passenger_view(spark, sf)
+    band = B.cut_left("age", B.AGE_BAND7_EDGES, B.AGE_BAND7_LABELS)
+    return _rate_sorted(A.rate_by_derived_key(v, band, "label", categories=B.AGE_BAND7_LABELS))
+
+
+@query("rate_by_fare_quintile")
+def rate_by_fare_quintile(spark, sf):
+    """Five labelled quantile bins of the median-filled fare."""
+    v = passenger_view(spark, sf)
+    med = column_quantiles(v, ["fare"], [0.5])["fare"][0]
+    f = v.select(F.coalesce("fare", F.lit(med)).alias("fare"), "label")
+    edges = quantile_edges(f, "fare", [0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    lab = B.quantile_label("fare", F.array(*[F.lit(e) for e in edges]), B.FARE_QUINTILE_LABELS)
+    return _rate_sorted(A.rate_by_derived_key(f, lab, "label",
+                                              categories=B.FARE_QUINTILE_LABELS))
+
+
+@query("rate_by_family_type")
+def rate_by_family_type(spark, sf):
+    """Labelled right-closed family type."""
+    v = passenger_view(spark, sf)
+    ft = B.cut_right(N.family_size("sibsp", "parch"), B.FAMILY_TYPE_EDGES, B.FAMILY_TYPE_LABELS)
+    return _rate_sorted(A.rate_by_derived_key(v, ft, "label", categories=B.FAMILY_TYPE_LABELS))
+
+
+@query("rate_pivot")
+def rate_pivot(spark, sf):
+    """Rate by sex x class, wide, empty cell -> 0."""
+    p = A.rate_pivot(passenger_view(spark, sf), "sex", "pclass", "label", [1, 2, 3, 4, 5],
+                     prefix="class_")
+    return p.select("sex", *[r6(f"class_{i}").alias(f"class_{i}") for i in range(1, 6)])
+
+
+@query("category_share")
+def category_share(spark, sf):
+    """Share of each sex in percent."""
+    s = A.category_share(passenger_view(spark, sf), "sex")
+    return s.select("sex", "n", r6("share").alias("share"))
+
+
+@query("describe_all")
+def describe_all(spark, sf):
+    """Describe every column of the view."""
+    d = PR.describe_all(passenger_view(spark, sf))
+    return d.select("column", "count", "unique", "top", "freq",
+                    *[r6(c).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+VIEW_NUMERIC = ["id", "label", "pclass", "age", "sibsp", "parch", "fare"]
+
+
+@query("corr_matrix")
+def corr_matrix(spark, sf):
+    """Pearson, pairwise-complete, numeric columns by type."""
+    v = passenger_view(spark, sf)
+    c = PR.corr_pairwise(v, PR.numeric_columns(v))
+    return c.select("col_a", "col_b", r6("corr").alias("corr"))
+
+
+@query("corr_matrix_features")
+def corr_matrix_features(spark, sf):
+    """37 features + label through ml.stat.Correlation."""
+    fm = _fitted_matrix(spark, sf)
+    c = PR.corr_vector(fm, FEATURE_NAMES + ["label"])
+    return c.select("col_a", "col_b", r6("corr").alias("corr"))
+
+
+# given predictions for metric operators: five fixed rules over lineitem
+RULES = ("quantity", "discount", "tax", "price", "line")
+
+
+def _rule(m):
+    return {
+        "quantity": lambda: F.col("l_quantity") / 50.0,
+        "discount": lambda: F.col("l_discount") * 10.0,
+        "tax": lambda: F.col("l_tax") * 12.5,
+        "price": lambda: F.col("l_extendedprice") / 105000.0,
+        "line": lambda: (F.col("l_linenumber") - 1) / 6.0,
+    }[m]()
+
+
+def _li_scored(spark, sf):
+    li = _li_labeled(spark, sf)
+    return li.select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "label",
+                     *[_rule(m).cast("double").alias(f"s_{m}") for m in RULES])
+
+
+def _li_long(spark, sf):
+    """Stacked (model, label, score, prediction) rows."""
+    s = _li_scored(spark, sf)
+    st = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"s_{m}").alias("score"))
+                             for m in RULES])).alias("__m")
+    return s.select("l_orderkey", "label", st).select(
+        "l_orderkey", "label", "__m.model", "__m.score",
+        (F.col("__m.score") > 0.5).cast("int").alias("prediction"))
+
+
+@query("actual_vs_predicted_by_group")
+def actual_vs_predicted_by_group(spark, sf):
+    """Actual vs predicted rate per status and per line number."""
+    s = _li_scored(spark, sf).withColumn("prediction", (F.col("s_quantity") > 0.5).cast("int"))
+    out = A.actual_vs_predicted(s, ["l_linestatus", "l_linenumber"], "label", "prediction")
+    return out.select("key_name", "key_value", r6("actual_rate").alias("actual_rate"),
+                      r6("predicted_rate").alias("predicted_rate"), "n")
+
+
+@query("actual_vs_predicted_overall")
+def actual_vs_predicted_overall(spark, sf):
+    """Per model, overall actual vs predicted rate."""
+    out = A.overall_rates(_li_long(spark, sf), "model", "label", "prediction")
+    return out.select("model", r6("actual_rate").alias("actual_rate"),
+                      r6("predicted_rate").alias("predicted_rate"), "n")
+
+
+@query("histogram")
+def histogram(spark, sf):
+    """30 equal-width bins of extended price, per label."""
+    h = PR.histogram(_li_labeled(spark, sf), "l_extendedprice", "label", 30)
+    return h.select("bin", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"), "hue", "n")
+
+
+@query("kde_by_group")
+def kde_by_group(spark, sf):
+    """Gaussian KDE of quantity per label, 200 grid points, common norm."""
+    k = PR.kde(_li_labeled(spark, sf), "l_quantity", ["label"], grid=200, cut=3.0)
+    return k.select("label", "grid_idx", r6("x").alias("x"),
+                    F.round("density", 10).alias("density"))
+
+
+@query("box_stats")
+def box_stats(spark, sf):
+    """Box statistics of extended price by (line number, label)."""
+    b = PR.box_stats(_li_labeled(spark, sf), "l_extendedprice", ["l_linenumber", "label"])
+    return b.select("l_linenumber", "label", *[r6(c).alias(c) for c in
+                                               ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
+                    "n_outliers", "n")
+
+
+@query("violin_stats")
+def violin_stats(spark, sf):
+    """Per (line number, label) density (cut 2) with the quartiles."""
+    li = _li_labeled(spark, sf)
+    g = ["l_linenumber", "label"]
+    k = PR.kde(li, "l_quantity", g, grid=200, cut=2.0, common_norm=False)
+    b = PR.box_stats(li, "l_quantity", g).select(*g, "q1", "median", "q3")
+    return k.join(b, g).select(*g, "grid_idx", r6("x").alias("x"),
+                               F.round("density", 10).alias("density"),
+                               r6("q1").alias("q1"), r6("median").alias("median"),
+                               r6("q3").alias("q3"))
+
+
+@query("scatter_points")
+def scatter_points(spark, sf):
+    """Complete (age, fare) points with the label as hue."""
+    v = passenger_view(spark, sf)
+    return v.where(F.col("age").isNotNull() & F.col("fare").isNotNull()).select(
+        "id", "age", "fare", F.col("label").alias("hue"))
+
+
+@query("scatter_binned")
+def scatter_binned(spark, sf):
+    """G17 at scale: 50 x 50 binned counts of (quantity, price) per label."""
+    return PR.scatter_binned(_li_labeled(spark, sf), "l_quantity", "l_extendedprice", "label", 50)
+
+
+@query("mean_abs_rank")
+def mean_abs_rank(spark, sf):
+    """Mean |value| per standardised lineitem measure, ranked."""
+    li = lineitem(spark, sf)
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    z = fit_scaler(li, cols).transform(li)
+    r = A.mean_abs_rank(z, cols)
+    return r.select("feature", r6("importance").alias("importance"))
+
+
+# ---------------------------------------------------------------------------
+# metrics and folds (V, C6, C7)
+from cohort.operators import metrics as MT  # noqa: E402
+from cohort.operators.folds import stratified_folds as _strat  # noqa: E402
+
+
+@query("classification_metrics")
+def classification_metrics(spark, sf):
+    """V4/V5: accuracy and macro precision/recall/F1 per rule model."""
+    m = MT.classification_metrics(_li_long(spark, sf), "label", "prediction", ["model"])
+    return m.select("model", *[r6(c).alias(c) for c in
+                               ("accuracy", "precision_macro", "recall_macro", "f1_macro")], "n")
+
+
+@query("confusion_matrix")
+def confusion_matrix(spark, sf):
+    """V6: full 2 x 2 grid per model."""
+    return MT.confusion(_li_long(spark, sf), "label", "prediction", ["model"], classes=[0, 1])
+
+
+@query("roc_curve")
+def roc_curve(spark, sf):
+    """V7: ROC point per distinct score per model."""
+    r = MT.roc_points(_li_long(spark, sf), "label", "score", ["model"])
+    return r.select("model", r6("threshold").alias("threshold"), r6("fpr").alias("fpr"),
+                    r6("tpr").alias("tpr"))
+
+
+@query("auc")
+def auc(spark, sf):
+    """V7: AUC per model (trapezoid rule over the ROC points)."""
+    return MT.auc(_li_long(spark, sf), "label", "score", ["model"]).select(
+        "model", r6("auc").alias("auc"))
+
+
+@query("stratified_folds")
+def stratified_folds(spark, sf):
+    """V1: exact unshuffled 3-fold split stratified by label."""
+    v = passenger_view(spark, sf).select("id", "label")
+    return _strat(v, "label", "id", 3)
+
+
+@query("vote_hard")
+def vote_hard(spark, sf):
+    """Majority of the five rule models' predictions."""
+    s = _li_scored(spark, sf)
+    preds = [(F.col(f"s_{m}") > 0.5).cast("int") for m in RULES]
+    return s.select("l_orderkey", "l_linenumber", "label", MT.hard_vote(preds).alias("vote"))
+
+
+@query("vote_soft")
+def vote_soft(spark, sf):
+    """Mean positive probability of the five rules, then argmax."""
+    s = _li_scored(spark, sf)
+    probs = [F.least(F.greatest(F.col(f"s_{m}"), F.lit(0.0)), F.lit(1.0)) for m in RULES]
+    mean, vote = MT.soft_vote(probs)
+    return s.select("l_orderkey", "l_linenumber", "label", r6(mean).alias("p1"), vote.alias("vote"))

@@ -4,6 +4,7 @@ sides; exact row-level arithmetic is compared unrounded."""
 
 from cohort.plans.oracle_features import (AREA_CASE, FEATURE_MATRIX_SQL, P0_EXPR,
                                           PREFIX_EXPR)
+from cohort.plans.oracle_profile import ORACLE_PROFILE
 from cohort.plans.views import PASSENGER_VIEW_SQL
 
 V = f"({PASSENGER_VIEW_SQL}) v"
@@ -11,12 +12,14 @@ TITLE = "nullif(regexp_extract({c}, ' ([A-Za-z]+)\\.', 1), '')"
 FM = f"({FEATURE_MATRIX_SQL}) fm"
 FS = "(sibsp + parch + 1)"
 LI_COLS = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
-           "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
+           "l_discount, l_tax, l_returnflag, l_linestatus, CAST(l_shipdate AS VARCHAR) AS l_shipdate")
+LI_ORDER = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+            "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
 
 ORACLE: dict = {
     "feature_matrix": FEATURE_MATRIX_SQL,
     "csv_scan": f"SELECT * FROM {V}",
-    "generate_ids": f"SELECT {LI_COLS}, row_number() OVER (ORDER BY {LI_COLS}) AS row_id FROM lineitem",
+    "generate_ids": f"SELECT {LI_COLS}, row_number() OVER (ORDER BY {LI_ORDER}) AS row_id FROM lineitem",
     "submission_sink": f"SELECT id, CAST(CASE WHEN pclass <= 2 THEN 1 ELSE 0 END AS INT) AS survived FROM {V}",
     "align_columns": "SELECT c_custkey, c_acctbal, 0 AS c_phone, c_nationkey FROM customer",
     "filter_isin_range": f"SELECT * FROM {V} WHERE sex IN ('female') AND pclass IN (1, 2) AND age BETWEEN 20 AND 40",
@@ -29,9 +32,10 @@ ORACLE: dict = {
         CASE WHEN {FS} > 1 THEN 0 ELSE 1 END AS is_alone,
         CASE WHEN {FS} > 0 AND {FS} <= 1 THEN 0 WHEN {FS} > 1 AND {FS} <= 4 THEN 1
              WHEN {FS} > 4 THEN 2 END AS family_type FROM {V}""",
-    "missing_column_defaults": f"""SELECT id, 1.0 AS title_code, 0.5 AS sex_code, 0.0 AS embarked_code,
-        1.0 AS ticket_frequency, 0.0 AS ticket_prefix_code, 0.0 AS has_cabin,
-        0.0 AS cabin_location_code, 0.0 AS cabin_number FROM {V}""",
+    "missing_column_defaults": f"""SELECT id, CAST(1 AS DOUBLE) AS title_code, CAST(0.5 AS DOUBLE) AS sex_code,
+        CAST(0 AS DOUBLE) AS embarked_code, CAST(1 AS DOUBLE) AS ticket_frequency,
+        CAST(0 AS DOUBLE) AS ticket_prefix_code, CAST(0 AS DOUBLE) AS has_cabin,
+        CAST(0 AS DOUBLE) AS cabin_location_code, CAST(0 AS DOUBLE) AS cabin_number FROM {V}""",
     "poly_features": f"SELECT id, age, fare, age_sq, age_fare, fare_sq FROM {FM}",
     "interaction_features": f"""SELECT id, age_x_class, fare_x_class, sex_x_class, age_band_x_sex,
         embarked_x_class, family_x_class, fare_x_cabin_location_code, age_x_family_size,
@@ -65,8 +69,8 @@ ORACLE: dict = {
         WHEN age >= 60 AND age < 100 THEN 4 END AS age_band FROM {V}""",
     "bin_quantile": f"""WITH f AS (SELECT id, coalesce(fare, (SELECT quantile_cont(fare, 0.5) FROM {V})) AS fare FROM {V}),
         e AS (SELECT list_sort(list_distinct(quantile_cont(fare, [0, 0.25, 0.5, 0.75, 1]))) AS edges FROM f)
-        SELECT id, CASE WHEN len(edges) >= 2 AND fare IS NOT NULL
-          THEN greatest(len(list_filter(edges, lambda x: x < f.fare)) - 1, 0) END AS fare_group
+        SELECT id, CAST(CASE WHEN len(edges) >= 2 AND fare IS NOT NULL
+          THEN greatest(len(list_filter(edges, lambda x: x < f.fare)) - 1, 0) END AS INT) AS fare_group
         FROM f, e""",
     "impute_mode": f"""SELECT id,
         coalesce(embarked, (SELECT embarked FROM {V} WHERE embarked IS NOT NULL GROUP BY embarked
@@ -122,3 +126,4 @@ ORACLE: dict = {
         ELSE count(*) OVER (PARTITION BY ticket) END AS ticket_frequency FROM {V}""",
     "dedupe_ordered": "SELECT lang, min(doc_id) AS first_pos FROM documents WHERE lang IS NOT NULL GROUP BY lang",
 }
+ORACLE.update(ORACLE_PROFILE)
