@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cohort.functions import binning as B
 from cohort.functions import numeric as N
 from cohort.functions import text as T
-from cohort.operators.encode import encode_with, fit_codes, mode_value
+from cohort.operators.encode import INLINE_MAX, encode_with, fit_classes
 from cohort.operators.joins import attach_counts
 from cohort.operators.quantiles import exact_quantiles
 from cohort.sources.files import nan_to_null
@@ -102,50 +102,95 @@ class FeaturePipeline:
         return self.roles.get(role) in df.columns
 
     def fit(self, df: DataFrame) -> "FeaturePipelineModel":
+        """Two passes over the input: (1) value counts of port, cabin, ticket
+        prefix and deck area in one aggregate (modes, null presence and class
+        lists all come from it); (2) exact medians of age, fare and the cabin
+        number of the imputed rows in one quantile job set."""
         r = self.roles
         st: dict = {"roles": r, "rare_min": self.rare_min, "bins": self.bins,
                     "title_codes": self.title_codes,
                     "flag_before_impute": self.flag_before_impute}
+        has = {role: self._has(df, role) for role in r}
+        cats = {}
+        if has["embarked"]:
+            cats["embarked"] = F.col(r["embarked"]).cast("string")
+        if has["cabin"]:
+            cats["cabin"] = F.col(r["cabin"]).cast("string")
+            cats["area"] = F.when(F.col(r["cabin"]).isNotNull(),
+                                  T.cabin_area(T.first_letter(r["cabin"])))
+        if has["ticket"]:
+            cats["prefix"] = T.ticket_prefix(r["ticket"])
+        vc = None
+        if cats:
+            vc = (df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), e.alias("value"))
+                                                for k, e in cats.items()])).alias("__c"))
+                  .select("__c.*").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+                  .cache())
+            summary = {row["name"]: row for row in vc.groupBy("name").agg(
+                F.min_by("value", F.when(F.col("value").isNotNull(),
+                                         F.struct(-F.col("n"), F.col("value")))).alias("mode"),
+                F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
+                F.count("value").alias("distinct")).collect()}
+        else:
+            summary = {}
+
+        def mode(name):
+            return summary[name]["mode"] if name in summary else None
+
+        def has_nulls(name):
+            return name in summary and summary[name]["nulls"] > 0
+
+        def codes(name, extra=(), min_count=None):
+            q = vc.where((F.col("name") == name) & F.col("value").isNotNull())
+            if min_count is not None:
+                q = q.where(F.col("n") >= min_count)
+            got = [x["value"] for x in q.select("value").limit(INLINE_MAX + 1).collect()]
+            if len(got) + len(extra) <= INLINE_MAX:
+                return sorted(set(got) | {e for e in extra if e is not None})
+            table = fit_classes(q.select("value"), "value", always=[e for e in extra if e])
+            return table
+
         # Most frequent port and cabin (tie -> smallest)
-        for role in ("embarked", "cabin"):
-            st[f"mode_{role}"] = mode_value(df, r[role]) if self._has(df, role) else None
-        # Exact medians of age and fare in one job set
-        num = [r[x] for x in ("age", "fare") if self._has(df, x)]
-        nn = df.select(*[nan_to_null(c).alias(c) for c in num]) if num else df
-        med = column_quantiles(nn, num, [0.5])
-        st["median_age"] = med.get(r["age"], [None])[0] if self._has(df, "age") else None
-        st["median_fare"] = med.get(r["fare"], [None])[0] if self._has(df, "fare") else None
-        imp = FeaturePipelineModel(st, {}).impute(df)
+        st["mode_embarked"] = mode("embarked")
+        st["mode_cabin"] = mode("cabin")
         tables = {}
         # E3 + E1: ticket prefixes, rare ones collapsed, 'OTHER' always a class
-        if self._has(df, "ticket"):
-            prefix = imp.select(T.ticket_prefix(r["ticket"]).alias("p"))
-            tables["ticket_prefix"] = fit_codes(prefix, "p", always=[OTHER_PREFIX],
-                                                min_count=self.rare_min)
-        else:
-            tables["ticket_prefix"] = ["NONE", OTHER_PREFIX]
-        # deck areas ('Unknown' always a class; it sorts last)
-        area = T.cabin_area(T.first_letter(r["cabin"]) if self._has(df, "cabin") else F.lit("U"))
-        tables["cabin_area"] = fit_codes(imp.select(area.alias("a")), "a",
-                                         always=[UNKNOWN_AREA])
-        # Median cabin number of the training rows
-        if self._has(df, "cabin"):
-            cn = imp.select(T.first_number(r["cabin"]).alias("cn"))
-            st["median_cabin_number"] = column_quantiles(cn, ["cn"], [0.5])["cn"][0]
-        else:
-            st["median_cabin_number"] = None
-        # N4 + E1: port mode then port classes
-        if self._has(df, "embarked"):
-            # after the fill the mode is unchanged unless the column was all null
+        tables["ticket_prefix"] = (codes("prefix", [OTHER_PREFIX], self.rare_min)
+                                   if has["ticket"] else ["NONE", OTHER_PREFIX])
+        # deck areas of the imputed cabins ('Unknown' always a class; it sorts last)
+        extra = [UNKNOWN_AREA]
+        if has["cabin"] and has_nulls("cabin"):
+            mc = st["mode_cabin"]
+            extra.append(_area_of(mc))
+        tables["cabin_area"] = codes("area", extra) if has["cabin"] else [UNKNOWN_AREA]
+        # N4 + E1: port mode then port classes of the imputed ports
+        if has["embarked"]:
             st["port_mode"] = st["mode_embarked"] if st["mode_embarked"] is not None else DEFAULT_PORT
-            tables["port"] = fit_codes(imp, r["embarked"])
+            tables["port"] = codes("embarked", [st["port_mode"]] if has_nulls("embarked") else [])
+        # N2 + N5: exact medians in one job set
+        num = {}
+        if has["age"]:
+            num["age"] = nan_to_null(r["age"])
+        if has["fare"]:
+            num["fare"] = nan_to_null(r["fare"])
+        if has["cabin"]:
+            num["cabin_number"] = T.first_number(
+                F.coalesce(F.col(r["cabin"]), F.lit(st["mode_cabin"]).cast("string")))
+        med = column_quantiles(df.select(*[e.alias(k) for k, e in num.items()]), list(num), [0.5]) \
+            if num else {}
+        st["median_age"] = med.get("age", [None])[0]
+        st["median_fare"] = med.get("fare", [None])[0]
+        st["median_cabin_number"] = med.get("cabin_number", [None])[0]
+        if vc is not None:
+            vc.unpersist()
         if self.bins == "fitted":
-            if self._has(df, "fare"):
+            imp = FeaturePipelineModel(st, {}).impute(df)
+            if has["fare"]:
                 st["fare_edges"] = quantile_edges(imp, r["fare"])
-            if self._has(df, "ticket"):
+            if has["ticket"]:
                 tables["ticket_counts"] = (imp.groupBy(F.col(r["ticket"]).alias("value"))
                                            .agg(F.count(F.lit(1)).alias("n"))
-                                           .where(F.col("value").isNotNull()).cache())
+                                           .where(F.col("value").isNotNull()))
         # small class lists live in the state; large ones stay tables
         for k in list(tables):
             if isinstance(tables[k], list):
@@ -156,6 +201,13 @@ class FeaturePipeline:
         return FeaturePipelineModel(st, tables)
 
 
+def _area_of(cabin):
+    """Deck area of one cabin value (same rule as the column expression)."""
+    if cabin is None:
+        return UNKNOWN_AREA
+    return T.CABIN_AREAS.get(str(cabin)[:1] or "U", UNKNOWN_AREA)
+
+
 class FeaturePipelineModel:
     """Fitted state: plain scalars in ``state`` and class tables as
     DataFrames. ``save``/``load`` write JSON + Parquet."""

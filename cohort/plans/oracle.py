@@ -127,3 +127,11 @@ ORACLE: dict = {
     "dedupe_ordered": "SELECT lang, min(doc_id) AS first_pos FROM documents WHERE lang IS NOT NULL GROUP BY lang",
 }
 ORACLE.update(ORACLE_PROFILE)
+ORACLE["clf_knn_exact"] = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  d AS (SELECT a.vec_id AS q, b.vec_id AS t, b.label AS tl,
+          list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2
+        FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+  r AS (SELECT q, tl, row_number() OVER (PARTITION BY q ORDER BY d2, t) AS rn FROM d),
+  votes AS (SELECT q, tl, count(*) AS c FROM r WHERE rn <= 5 GROUP BY q, tl),
+  best AS (SELECT q, first(tl ORDER BY c DESC, tl ASC) AS prediction FROM votes GROUP BY q)
+  SELECT e.vec_id, e.label, CAST(best.prediction AS INT) AS prediction FROM e JOIN best ON e.vec_id = best.q"""
