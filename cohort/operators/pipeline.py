@@ -242,6 +242,7 @@ class FeaturePipelineModel:
         r, st = self.state["roles"], self.state
         has = lambda role: r.get(role) in df.columns
         d = self.impute(df)
+        imputed = d  # batch statistics are read from here, before any lookup join
         col = lambda role: F.col(r[role])
         pclass = col("pclass")
         fs = N.family_size(col("sibsp"), col("parch"))
@@ -274,7 +275,7 @@ class FeaturePipelineModel:
             d = d.withColumn("embarked_code", F.lit(0))
         # quartile code of fare: edges of this batch (reference) or fitted
         if fare is not None:
-            edges = st.get("fare_edges") if st["bins"] == "fitted" else quantile_edges(d, r["fare"])
+            edges = st.get("fare_edges") if st["bins"] == "fitted" else quantile_edges(imputed, r["fare"])
             edges_col = F.array(*[F.lit(float(e)) for e in edges]) if edges else \
                 F.array().cast("array<double>")
             d = d.withColumn("fare_group", B.quantile_code(fare, edges_col))

@@ -39,11 +39,12 @@ def ml_data(spark: SparkSession, sf: str, k: int = 3):
     prepared scaler). Folds are the exact stratified ones."""
     v = passenger_view(spark, sf)
     fp = view_pipeline().fit(v)
-    fm = cut_lineage(fp.transform(v))  # read by the scaler fit, the folds and the matrix
+    fm = fp.transform(v).cache()  # read by the scaler fit, the folds and the matrix
     prep = prepare(fm, FEATURE_NAMES, keep=["id", "label"])
     folds = stratified_folds(fm.select("id", "label"), "label", "id", k).select("id", "fold")
-    data = prep.apply(fm).join(folds, "id")
-    return cut_lineage(data), fp, prep
+    data = cut_lineage(prep.apply(fm).join(folds, "id"))  # re-read by every fit
+    fm.unpersist()
+    return data, fp, prep
 
 
 def _predictions(spark, sf, key):
