@@ -160,3 +160,58 @@ def drilldown_key(name: Column) -> Column:
     for sub, key in DRILLDOWN_RULES:
         expr = expr.when(name.contains(sub), F.lit(key))
     return expr
+
+
+class DerivedKey:
+    """a profile key: its name, the source columns it needs, and a
+    function building the key column from the frame."""
+
+    def __init__(self, name: str, required: Sequence[str], build, categories=None):
+        self.name, self.required, self.build, self.categories = name, list(required), build, categories
+
+
+def passenger_keys(roles: dict) -> list:
+    """The reference's seven configured profile keys, over role names."""
+    from cohort.functions import binning as B
+    from cohort.functions import numeric as N
+    from cohort.functions import text as T
+    r = roles
+    return [
+        DerivedKey("Sex", [r["sex"]], lambda d: F.col(r["sex"]).cast("string")),
+        DerivedKey("Pclass", [r["pclass"]], lambda d: F.col(r["pclass"]).cast("string")),
+        DerivedKey("Embarked", [r["embarked"]], lambda d: F.col(r["embarked"]).cast("string")),
+        DerivedKey("AgeGroup", [r["age"]],
+                   lambda d: B.cut_left(r["age"], B.AGE_BAND7_EDGES, B.AGE_BAND7_LABELS),
+                   B.AGE_BAND7_LABELS),
+        DerivedKey("FareGroup", [r["fare"]], lambda d: _fare_quintile_label(d, r["fare"]),
+                   B.FARE_QUINTILE_LABELS),
+        DerivedKey("FamilyType", [r["sibsp"], r["parch"]],
+                   lambda d: B.cut_right(N.family_size(r["sibsp"], r["parch"]),
+                                         B.FAMILY_TYPE_EDGES, B.FAMILY_TYPE_LABELS),
+                   B.FAMILY_TYPE_LABELS),
+        DerivedKey("Title_Grouped", [r["name"]], lambda d: T.title_grouped(r["name"])),
+    ]
+
+
+def _fare_quintile_label(df: DataFrame, fare: str) -> Column:
+    from cohort.functions import binning as B
+    from cohort.operators.pipeline import column_quantiles, quantile_edges
+    med = column_quantiles(df, [fare], [0.5])[fare][0]
+    filled = F.coalesce(F.col(fare), F.lit(med))
+    edges = quantile_edges(df.select(filled.alias(fare)), fare, [0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    return B.quantile_label(filled, F.array(*[F.lit(e) for e in edges]), B.FARE_QUINTILE_LABELS)
+
+
+def profile_rates(df: DataFrame, label: str, keys: Sequence[DerivedKey]) -> DataFrame:
+    """G2 over a configured key list: keys whose source columns are absent
+    are skipped; one long frame (key_name, category, rate), each key sorted
+    high to low inside."""
+    out = None
+    for k in keys:
+        if not all(c in df.columns for c in k.required):
+            continue
+        r = rate_by_derived_key(df, k.build(df), label, categories=k.categories)
+        r = r.select(F.lit(k.name).alias("key_name"), F.col("key").cast("string").alias("category"),
+                     "rate")
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohort.operators.joins import lookup_join
 from cohort.operators.ordering import running_sums
 
 
@@ -70,7 +71,11 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
     cum = running_sums(comp.withColumn("__neg_t", -F.col("threshold")), g, ["__neg_t"],
                        ["pos", "neg"])
     tot = comp.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = cum.join(F.broadcast(tot), g) if g else cum.join(F.broadcast(tot))
+    if g:
+        j = lookup_join(cum, tot, g, how="inner")  # one row per group, size-checked
+    else:
+        P, N = tot.first()  # no groups: two scalars
+        j = cum.withColumn("P", F.lit(P)).withColumn("N", F.lit(N))
     return j.select(*g, "threshold",
                     F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
                     F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohort.operators.joins import lookup_join
 from cohort.operators.quantiles import exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -225,7 +226,8 @@ def box_stats(df: DataFrame, x: str, group_cols: Sequence[str], whisker: float =
     q = q.withColumn("__lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
          .withColumn("__hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
     inside = (F.col("x") >= F.col("__lo")) & (F.col("x") <= F.col("__hi"))
-    w = (base.join(F.broadcast(q), g).groupBy(*g).agg(
+    q = q.cache()  # one row per group; broadcast below only if its count is in bound
+    w = (lookup_join(base, q, g, how="inner").groupBy(*g).agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_hi"),
         F.sum((~inside).cast("long")).alias("n_outliers"),
@@ -241,7 +243,7 @@ def box_outliers(df: DataFrame, x: str, group_cols: Sequence[str], keep: Sequenc
         *g, (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("__lo"),
         (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("__hi"))
     xs = F.col(x).cast("double")
-    return (df.join(F.broadcast(s), g).where((xs < F.col("__lo")) | (xs > F.col("__hi")))
+    return (lookup_join(df, s, g, how="inner").where((xs < F.col("__lo")) | (xs > F.col("__hi")))
             .select(*keep, *g, xs.alias(x)))
 
 

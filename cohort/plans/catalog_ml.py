@@ -206,24 +206,20 @@ def shapley_sampled(spark, sf):
 
 @query("drilldown_features")
 def drilldown_features(spark, sf):
-    """Top-5 features by mean |attribution| -> profile keys ->
-    their rates again."""
+    """Top-5 features by mean |attribution| -> profile keys;
+    when any is found the configured profile rates are computed again (all
+    keys, as the reference does), flagged by whether attribution chose them."""
+    from cohort.plans.views import VIEW_ROLES
     data, _, _ = ml_data(spark, sf)
     m = fit_model("lr", data)
     att = X.shapley_linear(m, data, data, FEATURE_NAMES, ["id"])
     top = [r["feature"] for r in A.mean_abs_rank(att, FEATURE_NAMES, top=5).collect()]
     keys = X.drilldown([_REF_NAME[f] for f in top])
-    v = passenger_view(spark, sf)
-    src = {"AgeGroup": "age", "FareGroup": "fare", "Sex": "sex", "Pclass": "pclass",
-           "Embarked": "embarked"}
-    out = None
-    for k in keys:
-        r = A.rate_by_derived_key(v, F.col(src[k]).cast("string"), "label").select(
-            F.lit(k).alias("drilldown_key"), F.col("key").cast("string").alias("category"), "rate")
-        out = r if out is None else out.unionByName(r)
-    if out is None:
-        return spark.createDataFrame([], "drilldown_key string, category string, rate double")
-    return out
+    if not keys:
+        return spark.createDataFrame([], "key_name string, category string, rate double, "
+                                         "selected boolean")
+    rates = A.profile_rates(passenger_view(spark, sf), "label", A.passenger_keys(VIEW_ROLES))
+    return rates.withColumn("selected", F.col("key_name").isin(*keys))
 
 
 from cohort.operators.pipeline import FEATURES as _FEATURES  # noqa: E402
