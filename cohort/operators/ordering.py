@@ -26,8 +26,10 @@ from cohort.session import cut_lineage
 
 
 def _ranged(df: DataFrame, keys: list[str], n_parts: int | None) -> DataFrame:
-    parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # without an explicit count AQE may merge adjacent (small) ranges, which
+    # keeps the global order
+    r = df.repartitionByRange(n_parts, *keys) if n_parts else df.repartitionByRange(*keys)
+    s = r.sortWithinPartitions(*keys)
     pid = F.spark_partition_id()
     # within a partition the id sequence follows the sorted row order
     local = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)

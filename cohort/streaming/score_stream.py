@@ -17,11 +17,12 @@ from cohort.operators.score import Scorer
 
 
 def score_stream(spark: SparkSession, scorer: Scorer, source_dir: str, schema: str,
-                 sink_dir: str, checkpoint_dir: str, max_files_per_trigger: int = 1) -> None:
+                 sink_dir: str, checkpoint_dir: str, max_files_per_trigger: int = 1,
+                 id_col: str = "id") -> None:
     """Run the scoring stream over everything available, then stop."""
     src = (spark.readStream.schema(schema)
            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-    scored = scorer.score(src)
+    scored = scorer.score(src, id_col)
     q = (scored.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", os.path.join(checkpoint_dir, "stream-ckpt"))
          .trigger(availableNow=True).start(sink_dir))

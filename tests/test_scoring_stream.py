@@ -26,7 +26,7 @@ def test_stream_equals_batch(spark):
     base = tempfile.mkdtemp(prefix="cohort-stream-", dir="/tmp")
     df.repartition(3).write.parquet(f"{base}/in")
     schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
-    score_stream(spark, sc, f"{base}/in", schema, f"{base}/out", base)
+    score_stream(spark, sc, f"{base}/in", schema, f"{base}/out", base, id_col="PassengerId")
     got = read_scored(spark, f"{base}/out").orderBy("PassengerId").collect()
     exp = sc.score(df, "PassengerId").orderBy("PassengerId").collect()
     assert got == exp
