@@ -17,6 +17,10 @@ exact order statistics are found by bracketing:
 3. sort only the rows of the final bracket (<= ``small`` per rank) and read
    the order statistic.
 
+Interpolation is ``lo + d * (hi - lo)`` with ``d = p*(n-1) - floor(p*(n-1))``
+(the SQL ``quantile_cont`` form), in both the small-group and large-group
+paths, so results do not depend on which path ran.
+
 Every pass is a distributed scan with partial aggregation; the target table
 has one row per (group, probability) and is broadcast only when its row count
 (checked) is under the broadcast bound.
@@ -36,6 +40,11 @@ MAX_BROADCAST_TARGETS = 1_000_000
 MAX_FAST_GROUPS = 10_000
 
 
+def _lerp(v0, v1, frac):
+    """lo + frac * (hi - lo), exactly lo when frac is 0."""
+    return F.when(frac > 0, v0 + frac * (v1 - v0)).otherwise(v0)
+
+
 def _in_open(x, lo, hi):
     return ((lo.isNull() | (x > lo)) & (hi.isNull() | (x < hi)))
 
@@ -60,15 +69,21 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
 
     counts = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
     # Fast path (checked): few groups and every group within the bracket
-    # bound -> Spark's exact percentile holds at most ``small`` values per
-    # group, so its single-task merge is bounded.
+    # bound -> each group's values (at most ``small``) are sorted in one task
+    # and the order statistics read directly.
     head = counts.limit(MAX_FAST_GROUPS + 1).collect()
     if len(head) <= MAX_FAST_GROUPS and all(r["__n"] <= small for r in head):
-        pr = F.array(*[F.lit(float(p)) for p in probs])
-        q = base.groupBy(*g).agg(F.percentile("__x", [float(p) for p in probs]).alias("__q"))
-        return (q.select(*g, F.posexplode("__q").alias("q_idx", "value"))
-                .select(*g, F.col("q_idx").cast("int").alias("q_idx"),
-                        F.element_at(pr, F.col("q_idx") + 1).alias("prob"), "value"))
+        srt = base.groupBy(*g).agg(F.sort_array(F.collect_list("__x")).alias("__s"),
+                                   F.count(F.lit(1)).alias("__n"))
+        pr = F.explode(F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(float(p)).alias("prob"))
+                                 for i, p in enumerate(probs)])).alias("__t")
+        e = srt.select(*g, "__s", "__n", pr).select(*g, "__s", "__n", "__t.q_idx", "__t.prob")
+        pos = F.col("prob") * (F.col("__n") - 1)
+        lo = F.floor(pos).cast("int")
+        v0 = F.element_at("__s", lo + 1)
+        v1 = F.element_at("__s", F.least(lo + 2, F.col("__n").cast("int")))
+        return e.select(*g, "q_idx", "prob",
+                        _lerp(v0, v1, pos - F.floor(pos)).alias("value"))
     counts = counts.cache()
     probs_arr = F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(float(p)).alias("prob"))
                           for i, p in enumerate(probs)])
@@ -164,9 +179,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     v1 = vals.select(*g, F.col("__r").alias("__r1"), F.col("__v").alias("__v1"))
     out = (plan.join(v0, g + ["__r0"]).join(v1, g + ["__r1"])
            .select(*g, "q_idx", "prob",
-                   F.when(F.col("__frac") > 0,
-                          F.col("__v0") + F.col("__frac") * (F.col("__v1") - F.col("__v0")))
-                   .otherwise(F.col("__v0")).alias("value")))
+                   _lerp(F.col("__v0"), F.col("__v1"), F.col("__frac")).alias("value")))
     return out
 
 

@@ -44,7 +44,17 @@ def ml_data(spark: SparkSession, sf: str, k: int = 3):
     folds = stratified_folds(fm.select("id", "label"), "label", "id", k).select("id", "fold")
     data = cut_lineage(prep.apply(fm).join(folds, "id"))  # re-read by every fit
     fm.unpersist()
-    return data, fp, prep
+    return spread(data), fp, prep
+
+
+def spread(data: DataFrame) -> DataFrame:
+    """Model fits run one task per partition: a small matrix that AQE
+    coalesced into fewer partitions than the cluster has cores is spread
+    out (and checkpointed again); a large one is left as it is."""
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        return cut_lineage(data.repartition(cores))
+    return data
 
 
 def _predictions(spark, sf, key):

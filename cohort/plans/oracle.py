@@ -135,3 +135,34 @@ ORACLE["clf_knn_exact"] = """WITH e AS (SELECT vec_id, label, CAST(embedding AS
   votes AS (SELECT q, tl, count(*) AS c FROM r WHERE rn <= 5 GROUP BY q, tl),
   best AS (SELECT q, first(tl ORDER BY c DESC, tl ASC) AS prediction FROM votes GROUP BY q)
   SELECT e.vec_id, e.label, CAST(best.prediction AS INT) AS prediction FROM e JOIN best ON e.vec_id = best.q"""
+
+
+def _unsigned_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + CAST(0 AS DOUBLE))``.
+    DuckDB rounds a tiny negative to -0.0, Spark's decimal rounding gives
+    +0.0; adding +0.0 turns -0.0 into +0.0 and changes nothing else."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _unsigned_zero(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + CAST(0 AS DOUBLE))")
+        i = k + 1
+
+
+ORACLE = {k: _unsigned_zero(v) for k, v in ORACLE.items()}
