@@ -77,11 +77,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                                    F.count(F.lit(1)).alias("__n"))
         pr = F.explode(F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(float(p)).alias("prob"))
                                  for i, p in enumerate(probs)])).alias("__t")
-        e = srt.select(*g, "__s", "__n", pr).select(*g, "__s", "__n", "__t.q_idx", "__t.prob")
+        e = (srt.where(F.col("__n") > 0).select(*g, "__s", "__n", pr)
+             .select(*g, "__s", "__n", "__t.q_idx", "__t.prob"))
         pos = F.col("prob") * (F.col("__n") - 1)
         lo = F.floor(pos).cast("int")
-        v0 = F.element_at("__s", lo + 1)
-        v1 = F.element_at("__s", F.least(lo + 2, F.col("__n").cast("int")))
+        v0 = F.try_element_at("__s", lo + 1)
+        v1 = F.try_element_at("__s", F.least(lo + 2, F.col("__n").cast("int")))
         return e.select(*g, "q_idx", "prob",
                         _lerp(v0, v1, pos - F.floor(pos)).alias("value"))
     counts = counts.cache()
