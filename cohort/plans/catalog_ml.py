@@ -36,24 +36,26 @@ RUN_PARAMS = {"gb": {"n_estimators": GB_ROUNDS}}
 
 def ml_data(spark: SparkSession, sf: str, k: int = 3):
     """(matrix with id, label, fold, features; fitted feature pipeline;
-    prepared scaler). Folds are the exact stratified ones."""
+    prepared scaler). Folds are the exact stratified ones, computed on the
+    feature rows themselves (no join back by id); the matrix is written once
+    with a reliable checkpoint because every fit re-reads it."""
     v = passenger_view(spark, sf)
     fp = view_pipeline().fit(v)
-    fm = fp.transform(v).cache()  # read by the scaler fit, the folds and the matrix
-    prep = prepare(fm, FEATURE_NAMES, keep=["id", "label"])
-    folds = stratified_folds(fm.select("id", "label"), "label", "id", k).select("id", "fold")
-    data = cut_lineage(prep.apply(fm).join(folds, "id"))  # re-read by every fit
+    fm = fp.transform(v).cache()  # read by the scaler fit and the fold numbering
+    prep = prepare(fm, FEATURE_NAMES, keep=["id", "label", "fold"])
+    folded = stratified_folds(fm, "label", "id", k)
+    data = cut_lineage(spread(prep.apply(folded)))
     fm.unpersist()
-    return spread(data), fp, prep
+    return data, fp, prep
 
 
 def spread(data: DataFrame) -> DataFrame:
     """Model fits run one task per partition: a small matrix that AQE
     coalesced into fewer partitions than the cluster has cores is spread
-    out (and checkpointed again); a large one is left as it is."""
+    out; a large one is left as it is."""
     cores = data.sparkSession.sparkContext.defaultParallelism
     if data.rdd.getNumPartitions() < cores:
-        return cut_lineage(data.repartition(cores))
+        return data.repartition(cores)
     return data
 
 
