@@ -1,4 +1,5 @@
-"""Golden facts on the reference's scoring file (FIXTURES section 3)."""
+"""Golden facts on the F1 passenger scoring file (FIXTURES section 3);
+point COHORT_GOLDEN_CSV at it to run them."""
 from pyspark.sql import functions as F
 
 from cohort.functions import text as T
