@@ -42,15 +42,24 @@ def _topk_fn(bc, k: int, id_col: str, vec_col: str, exclude_self: bool):
                 if exclude_self:
                     d2[qid[s:s + m][:, None] == tid[None, :]] = np.inf
                 kk = min(k, X.shape[0])
-                # order by (distance, train id): lexsort per query row
+                if kk < X.shape[0]:
+                    part = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
+                else:
+                    part = np.broadcast_to(np.arange(X.shape[0]), (q.shape[0], X.shape[0]))
+                pd2 = np.take_along_axis(d2, part, 1)
+                thr = pd2.max(axis=1)
+                # rows whose k-th distance is shared with rows left out need the
+                # full (distance, id) order among all tied candidates
+                tied = (d2 <= thr[:, None]).sum(axis=1) > kk
+                order = np.lexsort((tid[part], pd2), axis=1)
+                sel_all = np.take_along_axis(part, order, 1)
                 for r in range(q.shape[0]):
-                    cand = np.argpartition(d2[r], kk - 1)[:kk] if kk < X.shape[0] else np.arange(X.shape[0])
-                    thr = d2[r, cand].max()
-                    pool = np.nonzero(d2[r] <= thr)[0]
-                    order = np.lexsort((tid[pool], d2[r, pool]))[:kk]
-                    sel = pool[order]
-                    keep = np.isfinite(d2[r, sel])
-                    sel = sel[keep]
+                    if tied[r]:
+                        pool = np.nonzero(d2[r] <= thr[r])[0]
+                        sel = pool[np.lexsort((tid[pool], d2[r, pool]))[:kk]]
+                    else:
+                        sel = sel_all[r]
+                    sel = sel[np.isfinite(d2[r, sel])]
                     out_d.append(np.sqrt(d2[r, sel]).tolist())
                     out_l.append(y[sel].tolist())
                     out_t.append(tid[sel].tolist())
