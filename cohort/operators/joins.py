@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohort.session import cut_lineage
+
 BROADCAST_ROWS = 2_000_000
 HOT_KEYS_MAX = 100_000
 
@@ -36,8 +38,10 @@ def attach_counts(df: DataFrame, key: str, name: str,
     broadcast when small; otherwise hot keys (count >= threshold, at most
     HOT_KEYS_MAX of them) are broadcast-joined and the rest shuffle-joined.
     """
-    counts = (df.where(F.col(key).isNotNull()).groupBy(key)
-              .agg(F.count(F.lit(1)).alias(name)))
+    # written once (shared checkpoint folder): the size check and the join
+    # read the same aggregate instead of scanning the input twice for it
+    counts = cut_lineage(df.where(F.col(key).isNotNull()).groupBy(key)
+                         .agg(F.count(F.lit(1)).alias(name)))
     n_keys = counts.count()
     if n_keys <= BROADCAST_ROWS:
         return df.join(F.broadcast(counts), key, "left")
