@@ -70,7 +70,8 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
                  F.sum(1 - F.col("__y")).cast("long").alias("neg")))
     cum = running_sums(comp.withColumn("__neg_t", -F.col("threshold")), g, ["__neg_t"],
                        ["pos", "neg"])
-    tot = comp.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    # totals from the checkpointed ranged frame (no second scan of the input)
+    tot = cum.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if g:
         j = lookup_join(cum, tot, g, how="inner")  # one row per group, size-checked
     else:
