@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import exact_dedup
+from cohort.llm import exact_dedup, quality_rules
 from cohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,87 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept,
        sha256(d.t) AS text_sha256
 FROM d JOIN g ON d.t = g.t
 """
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop(
+        "char_distance", "word_distance")
+
+
+_P = quality_rules.Params()
+_CLASS_PATTERNS = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]",
+                   "space": r"[\x20\x09-\x0D]", "symbol": "[#*$%&|<>]",
+                   "other": r"[^\x20\x09-\x0Da-zA-Z0-9#*$%&|<>\x80-\x{10FFFF}]",
+                   "wide": r"[\x80-\x{10FFFF}]"}
+_CLASS_ROWS = ", ".join(
+    f"{{'k': '{k}', 'n': length(t) - length(regexp_replace(t, '{rx}', '', 'g'))}}"
+    for k, rx in _CLASS_PATTERNS.items())
+
+
+def _jsd(p: str, q: str) -> str:
+    """Terms of the divergence of one histogram entry (base 2, not halved)."""
+    return (f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0.0::DOUBLE END + "
+            f"CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0.0::DOUBLE END")
+
+
+ORACLE_SQL["op2_quality_rules"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+             [{_CLASS_ROWS}] AS cs FROM d),
+w AS (SELECT rid, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s),
+c AS (SELECT rid, lang, unnest(cs, recursive := true) FROM s),
+tot AS (SELECT lang, count(*) AS total FROM w WHERE lang IS NOT NULL GROUP BY lang),
+ref AS (SELECT lang, total FROM tot
+        WHERE total >= {_P.lang_share}::DOUBLE * (SELECT sum(total) FROM tot)),
+rw AS (SELECT lang, w, count(*) AS n, any_value(total) AS total FROM w JOIN ref USING (lang)
+       GROUP BY lang, w HAVING count(*) >= {_P.word_share}::DOUBLE * any_value(total)),
+rc AS (SELECT lang, k, sum(n)::DOUBLE AS n, sum(sum(n)) OVER (PARTITION BY lang)::DOUBLE AS total
+       FROM c JOIN ref USING (lang) GROUP BY lang, k),
+pair AS (SELECT s.rid, r.lang AS ref FROM s JOIN ref r
+         ON s.lang = r.lang OR s.lang IS NULL OR s.lang NOT IN (SELECT lang FROM ref)),
+n AS (SELECT rid, len(ws) AS n_words, length(t) AS n_chars FROM s),
+cd AS (SELECT pair.rid, min(sqrt(least(1.0, greatest(0.0, v)))) AS char_d FROM (
+         SELECT p.rid, p.ref, sum({_jsd("(c.n::DOUBLE / greatest(n.n_chars, 1))", "(rc.n / rc.total)")}) / 2 AS v
+         FROM pair p JOIN c ON c.rid = p.rid JOIN n ON n.rid = p.rid
+         JOIN rc ON rc.lang = p.ref AND rc.k = c.k GROUP BY p.rid, p.ref) pair GROUP BY pair.rid),
+wh AS (SELECT p.rid, p.ref, rw.w, count(*) AS n, any_value(rw.n) AS m, any_value(rw.total) AS total
+       FROM pair p JOIN w ON w.rid = p.rid JOIN rw ON rw.lang = p.ref AND rw.w = w.w
+       GROUP BY p.rid, p.ref, rw.w),
+rt AS (SELECT lang, any_value(total)::DOUBLE AS total, sum(n)::DOUBLE AS common FROM rw GROUP BY lang),
+ww AS (SELECT p.rid, p.ref,
+         coalesce(sum({_jsd("(wh.n::DOUBLE / n.n_words)", "(wh.m::DOUBLE / wh.total)")}), 0) AS seen,
+         coalesce(sum(wh.m::DOUBLE / wh.total), 0) AS q_seen, coalesce(sum(wh.n), 0) AS k_seen
+       FROM pair p JOIN n ON n.rid = p.rid LEFT JOIN wh ON wh.rid = p.rid AND wh.ref = p.ref
+       GROUP BY p.rid, p.ref),
+wo AS (SELECT ww.rid, ww.ref, seen, coalesce(rt.common / rt.total, 0) - q_seen AS q_unseen,
+         (n.n_words - k_seen)::DOUBLE / greatest(n.n_words, 1) AS po,
+         1 - coalesce(rt.common / rt.total, 0) AS qo
+       FROM ww JOIN n ON n.rid = ww.rid LEFT JOIN rt ON rt.lang = ww.ref),
+wd AS (SELECT rid, min(sqrt(least(1.0, greatest(0.0,
+         (seen + q_unseen + {_jsd("po", "qo")}) / 2)))) AS word_d FROM wo GROUP BY rid),
+win AS (SELECT rid, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w
+        WINDOW o AS (PARTITION BY rid ORDER BY i)),
+again AS (SELECT rid, i FROM win WHERE w3 IS NOT NULL
+          QUALIFY count(*) OVER (PARTITION BY rid, w, w2, w3) > 1),
+rep AS (SELECT rid, count(DISTINCT j) AS n_repeat FROM
+        (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY rid),
+ln AS (SELECT rid, count(*) - count(DISTINCT x) AS n_dup FROM
+       (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM s)
+       WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+base AS (SELECT s.rid, s.doc_id, n.n_words, n.n_chars,
+           (SELECT sum(n) FROM c WHERE c.rid = s.rid AND k <> 'space') AS word_chars,
+           (SELECT sum(n) FROM c WHERE c.rid = s.rid AND k = 'symbol') AS n_symbols,
+           coalesce(ln.n_dup, 0) AS n_dup_lines, coalesce(rep.n_repeat, 0) AS n_repeat_words
+         FROM s JOIN n ON n.rid = s.rid LEFT JOIN ln ON ln.rid = s.rid
+         LEFT JOIN rep ON rep.rid = s.rid),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT b.doc_id, b.n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
+       n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed
+       AND NOT (coalesce(char_d, 0) > {_P.max_char_distance}::DOUBLE AND n_chars >= {_P.min_chars})
+       AND NOT (coalesce(word_d, 0) > {_P.max_word_distance}::DOUBLE AND n_words >= {_P.min_words})
+         AS kept
+FROM b LEFT JOIN cd ON cd.rid = b.rid LEFT JOIN wd ON wd.rid = b.rid
+"""
