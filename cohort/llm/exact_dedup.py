@@ -56,14 +56,16 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     text = text_or_empty(text_col)
     classes = _classes(docs, id_col, text_col, keep, hash_fn)
-    per_hash = classes.groupBy("h").agg(
-        F.count(F.lit(1)).alias("classes"), F.max("keep_id").alias("keep_id"),
-        F.max("group_size").alias("group_size"))
+    clash = cut_lineage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"))
+                        .where("classes > 1").select("h"))
+    clashes = not clash.isEmpty()
+    if clashes:
+        classes = cut_lineage(classes.join(clash, "h", "left_anti"))
     narrow = docs.select(F.col(id_col).alias("id"), hash_fn(text).alias("h"),
                          F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"))
-    out = narrow.join(per_hash.where("classes = 1").drop("classes"), "h")
-    clash = per_hash.where("classes > 1").select("h")
-    if not clash.isEmpty():
+    # both sides of this join are plain exchanges, so AQE can split a hot hash
+    out = narrow.join(classes.drop("sha"), "h")
+    if clashes:
         # different texts under one hash: these rows alone are matched by text
         pick = {"max": F.max, "min": F.min}[keep]
         hit = _rows(docs, id_col, text_col, hash_fn).join(clash, "h", "left_semi")
