@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort.session import cut_lineage  # noqa: F401  (re-exported general helper)
+from cohort.session import cut_lineage, ensure_checkpoint_dir  # noqa: F401  (general helpers)
 
 #: Text handled at once inside a task; bounds the arrays derived from it.
 CHUNK_BYTES = 2 << 20
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage_dir(spark: SparkSession) -> str:
+    """Folder shared by driver and executors for written stage tables: the
+    session's checkpoint folder, as the URI Spark knows it by."""
+    return ensure_checkpoint_dir(spark)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
