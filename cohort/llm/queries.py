@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import (bpe, exact_dedup, html_extract, language_crf, packing, pii, quality_rules,
-                        simhash, toxicity)
+from cohort.llm import (bpe, exact_dedup, html_extract, language_crf, ordinal_quality, packing,
+                        pii, quality_rules, simhash, toxicity)
 from cohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,9 @@ def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.classify(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "labels"))
