@@ -209,7 +209,9 @@ def cut_start(base: dict[int, dict[int, int]]):
 
 def pack(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows, histogram = ranked(pieces(docs, p))
+    # written first: range partitioning reads its input twice (once for a sample
+    # of the bounds), and these narrow rows stand for all of the tokenising
+    rows, histogram = ranked(cut_lineage(pieces(docs, p)))
     placed, _ = sweep(histogram, p.capacity)
     placed = placed[np.lexsort((placed[:, 1], placed[:, 0]))]
     # lengths are at most the capacity; a rank run is found by one search
