@@ -18,7 +18,7 @@ TITLE_CODES = {
     "Don": 1, "Mme": 3, "Capt": 5, "Sir": 5,
 }
 # Titles kept as their own group when profiling; all others become 'Other'.
-KEPT_TITLES = ("Mr", "Mrs", "Miss", "Master")
+KEPT_TITLES = ("Mr", "Miss", "Mrs", "Master")
 # First letter of the cabin -> deck area.
 CABIN_AREAS = {
     "A": "Top_Deck", "B": "Top_Deck", "C": "Middle_Deck",

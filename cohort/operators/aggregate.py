@@ -46,12 +46,14 @@ def rate_by_keys_long(df: DataFrame, keys: Sequence[str], label: Column | str,
             .agg((F.avg("__y") * F.lit(scale)).alias("rate"), F.count(F.lit(1)).alias("n")))
 
 
-def fill_by_type(df: DataFrame, col: str, default_text: str = "Unknown") -> Column:
-    """Fill a key's nulls - text keys with the mode (else 'Unknown'),
-    numeric keys with the exact median (else 0). One small job to fit."""
+def fill_by_type(df: DataFrame, col: str, default_text: str = "Unknown",
+                 categories: Sequence | None = None) -> Column:
+    """Fill a key's nulls - text keys with the mode (else 'Unknown'; a tie
+    goes by category order if there is one), numeric keys with the exact median
+    (else 0). One small job to fit."""
     dtype = dict(df.dtypes)[col]
     if dtype == "string":
-        m = mode_value(df, col, default_text)
+        m = mode_value(df, col, default_text, categories)
         return F.coalesce(F.col(col), F.lit(m))
     q = exact_quantiles(df, col, [0.5]).collect()
     med = q[0]["value"] if q else None
@@ -64,7 +66,7 @@ def rate_by_derived_key(df: DataFrame, key: Column, label: Column | str,
     ``categories`` (an ordered category list, like a binned column) every
     category appears, empty ones with a null rate."""
     tmp = df.select(key.alias("key"), _c(label).cast("double").alias("__y"))
-    filled = tmp.select(fill_by_type(tmp, "key").alias("key"), "__y")
+    filled = tmp.select(fill_by_type(tmp, "key", categories=categories).alias("key"), "__y")
     rates = filled.groupBy("key").agg((F.avg("__y") * F.lit(scale)).alias("rate"))
     if categories is not None:
         cats = df.sparkSession.createDataFrame([(c,) for c in categories],
@@ -154,17 +156,10 @@ DRILLDOWN_RULES = (("Age", "AgeGroup"), ("Fare", "FareGroup"), ("Sex", "Sex"),
                    ("Pclass", "Pclass"), ("Embarked", "Embarked"))
 
 
-def drilldown_key(name: Column) -> Column:
-    """Map a derived feature name back to a profile key by substring."""
-    expr = F.when(name.isin(*DRILLDOWN_KEYS), name)
-    for sub, key in DRILLDOWN_RULES:
-        expr = expr.when(name.contains(sub), F.lit(key))
-    return expr
-
-
 class DerivedKey:
     """a profile key: its name, the source columns it needs, and a
-    function building the key column from the frame."""
+    function building the key column from the frame (None: the key does not
+    apply to this frame and is skipped)."""
 
     def __init__(self, name: str, required: Sequence[str], build, categories=None):
         self.name, self.required, self.build, self.categories = name, list(required), build, categories
@@ -193,12 +188,15 @@ def passenger_keys(roles: dict) -> list:
     ]
 
 
-def _fare_quintile_label(df: DataFrame, fare: str) -> Column:
+def _fare_quintile_label(df: DataFrame, fare: str) -> Column | None:
+    """None when tied edges collapse and the labels no longer fit them."""
     from cohort.functions import binning as B
     from cohort.operators.pipeline import column_quantiles, quantile_edges
     med = column_quantiles(df, [fare], [0.5])[fare][0]
     filled = F.coalesce(F.col(fare), F.lit(med))
     edges = quantile_edges(df.select(filled.alias(fare)), fare, [0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    if len(edges) != len(B.FARE_QUINTILE_LABELS) + 1:
+        return None
     return B.quantile_label(filled, F.array(*[F.lit(e) for e in edges]), B.FARE_QUINTILE_LABELS)
 
 
@@ -210,7 +208,10 @@ def profile_rates(df: DataFrame, label: str, keys: Sequence[DerivedKey]) -> Data
     for k in keys:
         if not all(c in df.columns for c in k.required):
             continue
-        r = rate_by_derived_key(df, k.build(df), label, categories=k.categories)
+        key = k.build(df)
+        if key is None:
+            continue
+        r = rate_by_derived_key(df, key, label, categories=k.categories)
         r = r.select(F.lit(k.name).alias("key_name"), F.col("key").cast("string").alias("category"),
                      "rate")
         out = r if out is None else out.unionByName(r)

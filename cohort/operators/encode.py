@@ -21,13 +21,17 @@ from cohort.sources.files import with_generated_ids
 INLINE_MAX = 10_000
 
 
-def mode_value(df: DataFrame, col: str | Column, default=None):
-    """Most frequent non-null value; a tie goes to the smallest value.
+def mode_value(df: DataFrame, col: str | Column, default=None,
+               categories: Sequence | None = None):
+    """Most frequent non-null value; a tie goes to the smallest value,
+    or to the first in category order where the categories are ordered.
     Counting is distributed; only the top row reaches the driver."""
     c = F.col(col) if isinstance(col, str) else col
     top = (df.select(c.alias("__v")).where(F.col("__v").isNotNull())
            .groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
-           .orderBy(F.desc("__n"), F.asc("__v")).limit(1).collect())
+           .orderBy(F.desc("__n"), *([] if categories is None else [F.array_position(
+               F.array(*[F.lit(x) for x in categories]), F.col("__v"))]), F.asc("__v"))
+           .limit(1).collect())
     return top[0]["__v"] if top else default
 
 

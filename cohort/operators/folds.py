@@ -15,7 +15,7 @@ over many tasks. ``hash_folds`` is the unordered alternative.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohort.operators.ordering import positions
@@ -35,8 +35,9 @@ def _fold_bounds(s: int, n: int, k: int) -> list[int]:
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int,
                      name: str = "fold") -> DataFrame:
-    """Exact unshuffled stratified k-fold column (0..k-1)."""
-    cls = (df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"))
+    """Exact unshuffled stratified k-fold column (0..k-1). A row without a
+    label belongs to no class and keeps a null fold."""
+    cls = (df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"))
            .orderBy("first").collect())  # one row per class (few classes)
     start, rows = 0, []
     for r in cls:
@@ -46,12 +47,20 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int,
     ltype = dict(df.dtypes)[label]
     bounds = spark.createDataFrame(rows, f"{label} {ltype}, __b array<long>")
     pos = positions(df, [label], [id_col], "__j")
-    return (pos.join(F.broadcast(bounds), label)
-            .withColumn(name, F.size(F.filter("__b", lambda b: b <= F.col("__j"))).cast("int"))
+    return (pos.join(F.broadcast(bounds), label, "left")
+            .withColumn(name, F.when(F.col("__b").isNotNull(), F.size(
+                F.filter("__b", lambda b: b <= F.col("__j"))).cast("int")))
             .drop("__b", "__j"))
 
 
 def hash_folds(df: DataFrame, id_col: str, k: int, seed: int = 42,
                name: str = "fold") -> DataFrame:
-    """Scalable fold column with no ordering: pmod(xxhash64(id, seed), k)."""
-    return df.withColumn(name, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(k)).cast("int"))
+    """Scalable fold column with no ordering, by a hash that any engine has:
+    the first 32 bits of md5('seed:id') modulo k."""
+    return df.withColumn(name, F.pmod(hash32(F.col(id_col), seed), F.lit(k)).cast("int"))
+
+
+def hash32(value: Column, seed: int) -> Column:
+    """First 32 bits of md5('seed:value') as a long."""
+    text = F.concat(F.lit(f"{seed}:"), value.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")

@@ -1,128 +1,184 @@
 """Exact k-nearest-neighbour classification (Euclidean, uniform or
 distance weights).
 
-The training matrix is broadcast in blocks whose byte size is checked
-(``BLOCK_BYTES``); each query partition computes distances to a block in
-NumPy (``mapInPandas``) and keeps only its k best candidates per query, so no
-query x train pair is ever emitted as a row. With more than one block the
-per-block candidates (k per query per block) are merged by query id. Squared
-distances are summed dimension by dimension in order, so ties compare the
-same way as a SQL ``sum`` over the dimensions.
+Both sides are dealt into blocks of at most ``BLOCK_ROWS`` rows by a hash of
+the row, and each pair of a query block and a training block meets in one
+cogroup: distances in NumPy, the k best candidates of each query out. No block
+passes through the driver and no query x train pair becomes a row. With more
+than one training block the candidates (k per query and block) are merged per
+query. A query row travels with its candidates, so nothing is joined back and
+ids may repeat. Squared distances are summed dimension by dimension in order,
+so ties compare the same way as a SQL ``sum`` over the dimensions; equal
+distances go by training id.
 """
 
 from __future__ import annotations
 
+import json
+import os
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from cohort.session import cut_lineage
 
-BLOCK_BYTES = 256 * 1024 * 1024
+BLOCK_ROWS = 8192
 QUERY_CHUNK_ELEMS = 4_000_000
+MAX_CLASSES = 1000
+
+
+def _smallest(d2: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest entries of each row, by (value, column)."""
+    rows, n = d2.shape
+    k = min(k, n)
+    part = np.argpartition(d2, k - 1, axis=1)[:, :k] if k < n else \
+        np.broadcast_to(np.arange(n), (rows, n)).copy()
+    limit = np.take_along_axis(d2, part, 1).max(axis=1, keepdims=True)
+    tied = np.nonzero((d2 <= limit).sum(axis=1) > k)[0]
+    if len(tied):  # the limit is shared with entries left out: lowest columns first
+        d, lim = d2[tied], limit[tied]
+        less, same = d < lim, d == lim
+        fill = same & (np.cumsum(same, axis=1) <= k - less.sum(axis=1, keepdims=True))
+        part[tied] = np.nonzero(less | fill)[1].reshape(len(tied), k)
+    part.sort(axis=1)
+    order = np.argsort(np.take_along_axis(d2, part, 1), axis=1, kind="stable")
+    return np.take_along_axis(part, order, 1)
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    f = t.column("f").combine_chunks()
+    return f.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1)
 
 
-def _topk_fn(bc, k: int, id_col: str, vec_col: str, exclude_self: bool):
-    def run(batches):
-        X, y, tid = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            Q = np.stack(pdf[vec_col].to_numpy()).astype("float64")
-            qid = pdf[id_col].to_numpy()
-            m = max(1, QUERY_CHUNK_ELEMS // max(1, X.shape[0]))
-            out_d, out_l, out_t = [], [], []
-            for s in range(0, len(Q), m):
-                q = Q[s:s + m]
-                d2 = np.zeros((q.shape[0], X.shape[0]))
-                for j in range(X.shape[1]):  # in dimension order
-                    diff = q[:, j:j + 1] - X[None, :, j]
+def _meet(k: int, exclude_self: bool, schema: pa.Schema):
+    """cogroup body: one query block against one training block. Query rows
+    pass through as they are."""
+    def run(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows:
+            return schema.empty_table()
+        d_out, t_out, l_out = ([[]] * q.num_rows for _ in range(3))
+        if t.num_rows:
+            tid = t.column("tid").to_numpy()
+            order = np.argsort(tid, kind="stable")  # columns in id order
+            tid, x, y = tid[order], _matrix(t)[order], t.column("y").to_numpy()[order]
+            a, qid = _matrix(q), q.column("qid").to_numpy()
+            m = max(1, QUERY_CHUNK_ELEMS // len(x))
+            for s in range(0, len(a), m):
+                part = a[s:s + m]
+                d2 = np.zeros((len(part), len(x)))
+                for j in range(x.shape[1]):  # in dimension order
+                    diff = part[:, j:j + 1] - x[None, :, j]
                     d2 += diff * diff
                 if exclude_self:
                     d2[qid[s:s + m][:, None] == tid[None, :]] = np.inf
-                kk = min(k, X.shape[0])
-                if kk < X.shape[0]:
-                    part = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-                else:
-                    part = np.broadcast_to(np.arange(X.shape[0]), (q.shape[0], X.shape[0]))
-                pd2 = np.take_along_axis(d2, part, 1)
-                thr = pd2.max(axis=1)
-                # rows whose k-th distance is shared with rows left out need the
-                # full (distance, id) order among all tied candidates
-                tied = (d2 <= thr[:, None]).sum(axis=1) > kk
-                order = np.lexsort((tid[part], pd2), axis=1)
-                sel_all = np.take_along_axis(part, order, 1)
-                for r in range(q.shape[0]):
-                    if tied[r]:
-                        pool = np.nonzero(d2[r] <= thr[r])[0]
-                        sel = pool[np.lexsort((tid[pool], d2[r, pool]))[:kk]]
-                    else:
-                        sel = sel_all[r]
-                    sel = sel[np.isfinite(d2[r, sel])]
-                    out_d.append(np.sqrt(d2[r, sel]).tolist())
-                    out_l.append(y[sel].tolist())
-                    out_t.append(tid[sel].tolist())
-            yield pd.DataFrame({id_col: qid, "__d": out_d, "__l": out_l, "__t": out_t})
+                best = _smallest(d2, k)
+                dist = np.take_along_axis(d2, best, 1)
+                for r in range(len(part)):
+                    ok = np.isfinite(dist[r])
+                    d_out[s + r] = np.sqrt(dist[r][ok])
+                    t_out[s + r], l_out[s + r] = tid[best[r][ok]], y[best[r][ok]]
+        return pa.Table.from_arrays(
+            [q.column("key"), q.column("row"),
+             *(pa.array(v, schema.field(n).type) for v, n in ((d_out, "d"), (t_out, "t"), (l_out, "l")))],
+            schema=pa.schema([schema.field("key"), q.schema.field("row"), *[schema.field(n) for n in "dtl"]]))
     return run
 
 
 class KNNModel:
-    def __init__(self, blocks, classes, k, weights, key, id_col, exclude_self=False):
-        self.blocks, self.classes = blocks, classes
+    """``train``: tid, f (array), y; written once, never collected."""
+
+    def __init__(self, train: DataFrame, rows: int, classes: list, k: int, weights: str,
+                 key: str, id_col: str | None, exclude_self: bool = False):
+        self.train, self.rows, self.classes = train, rows, classes
         self.k, self.weights, self.key, self.id_col = k, weights, key, id_col
         self.exclude_self = exclude_self
 
-    def neighbours(self, df: DataFrame) -> DataFrame:
-        """(id, dist array, label array, train-id array): the k nearest."""
-        spark = df.sparkSession
-        q = df.select(self.id_col, vector_to_array("features").alias("__f"))
-        id_type = dict(q.dtypes)[self.id_col]
+    def _packed(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Query rows as one struct; Arrow takes no vectors, so these travel
+        as arrays."""
+        vectors = [f.name for f in df.schema.fields if isinstance(f.dataType, VectorUDT)]
+        cols = [(vector_to_array(c) if c in vectors else F.col(c)).alias(c) for c in df.columns]
+        qid = F.col(self.id_col) if self.exclude_self else F.lit(None)
+        return df.select(F.struct(*cols).alias("row"), vector_to_array("features").alias("f"),
+                         qid.cast(dict(self.train.dtypes)["tid"]).alias("qid"),
+                         F.monotonically_increasing_id().alias("key")), vectors
+
+    def neighbours(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """(row, d, t, l) per query row - the k nearest by (distance, id) -
+        and the row's vector columns."""
+        packed, vectors = self._packed(df)
+        # keys must be the same in every use of the rows
+        packed = cut_lineage(packed)
+        n_q = packed.count()
+        q_blocks, t_blocks = max(1, -(-n_q // BLOCK_ROWS)), max(1, -(-self.rows // BLOCK_ROWS))
+        spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        q = packed.select(
+            "key", "f", "qid", "row", spread("key", q_blocks).alias("qb"),
+            F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("tb"))
+        # the whole row goes with one copy only
+        q = q.withColumn("row", F.when(F.col("tb") == 0, F.col("row")))
+        t = self.train.select(
+            "tid", "f", "y", spread("tid", t_blocks).alias("tb"),
+            F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+        tid_type = self.train.schema["tid"].dataType
         schema = T.StructType([
-            T.StructField(self.id_col, T._parse_datatype_string(id_type)),
-            T.StructField("__d", T.ArrayType(T.DoubleType())),
-            T.StructField("__l", T.ArrayType(T.DoubleType())),
-            T.StructField("__t", T.ArrayType(T.LongType()))])
-        parts = []
-        for blk in self.blocks:
-            bc = spark.sparkContext.broadcast(blk)
-            parts.append(q.mapInPandas(_topk_fn(bc, self.k, self.id_col, "__f", self.exclude_self),
-                                       schema))
-        cand = parts[0]
-        for p in parts[1:]:
-            cand = cand.unionByName(p)
-        if len(parts) > 1:
-            z = F.arrays_zip("__d", "__t", "__l")
-            cand = (cand.select(self.id_col, F.explode(z).alias("__z"))
-                    .groupBy(self.id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct(
-                        F.col("__z.__d").alias("d"), F.col("__z.__t").alias("t"),
-                        F.col("__z.__l").alias("l")))), 1, self.k).alias("__s"))
-                    .select(self.id_col, F.col("__s.d").alias("__d"), F.col("__s.l").alias("__l"),
-                            F.col("__s.t").alias("__t")))
-        return cand
+            T.StructField("key", T.LongType()), T.StructField("row", packed.schema["row"].dataType),
+            T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("t", T.ArrayType(tid_type)),
+            T.StructField("l", T.ArrayType(T.DoubleType()))])
+        met = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInArrow(
+            _meet(self.k, self.exclude_self, to_arrow_schema(schema)), schema)
+        if t_blocks == 1:
+            return met.select("row", "d", "t", "l"), vectors
+        cand = F.explode_outer(F.arrays_zip("d", "t", "l")).alias("c")
+        merged = met.select("key", "row", cand).groupBy("key").agg(
+            F.max_by("row", F.col("row").isNotNull()).alias("row"),
+            F.slice(F.array_sort(F.collect_list(F.when(F.col("c.d").isNotNull(), F.struct(
+                "c.d", "c.t", "c.l")))), 1, self.k).alias("s"))
+        return merged.select("row", F.col("s.d").alias("d"), F.col("s.t").alias("t"),
+                             F.col("s.l").alias("l")), vectors
 
     def transform(self, df: DataFrame) -> DataFrame:
-        nb = self.neighbours(df)
-        key = self.key
-        w = (F.transform("__d", lambda d: F.lit(1.0)) if self.weights == "uniform" else
+        nb, vectors = self.neighbours(df)
+        w = (F.transform("d", lambda d: F.lit(1.0)) if self.weights == "uniform" else
              # distance weights; an exact match (d = 0) takes all the weight
-             F.when(F.exists("__d", lambda d: d == 0),
-                    F.transform("__d", lambda d: F.when(d == 0, 1.0).otherwise(0.0)))
-             .otherwise(F.transform("__d", lambda d: 1.0 / d)))
-        nb = nb.withColumn("__w", w)
+             F.when(F.exists("d", lambda d: d == 0),
+                    F.transform("d", lambda d: F.when(d == 0, 1.0).otherwise(0.0)))
+             .otherwise(F.transform("d", lambda d: 1.0 / d)))
+        nb = nb.withColumn("w", w)
+
         def vote_for(c):
-            return lambda acc, e: acc + F.when(e["__l"] == F.lit(c), e["__w"]).otherwise(0.0)
-        score = [F.aggregate(F.arrays_zip("__l", "__w"), F.lit(0.0), vote_for(c))
+            return lambda acc, e: acc + F.when(e["l"] == F.lit(c), e["w"]).otherwise(0.0)
+        score = [F.aggregate(F.arrays_zip("l", "w"), F.lit(0.0), vote_for(c))
                  for c in self.classes]
-        nb = nb.withColumn("__sc", F.array(*score))
-        tot = F.aggregate("__sc", F.lit(0.0), lambda a, b: a + b)
-        probs = F.transform("__sc", lambda s: s / tot)
+        nb = nb.withColumn("sc", F.array(*score))
+        tot = F.aggregate("sc", F.lit(0.0), lambda a, b: a + b)
+        probs = F.transform("sc", lambda s: s / tot)
         # argmax; the first (smallest) class wins a tie
-        best = (F.array_position("__sc", F.array_max("__sc")) - 1).cast("int")
+        best = (F.array_position("sc", F.array_max("sc")) - 1).cast("int")
         cls = F.array(*[F.lit(float(c)) for c in self.classes])
-        res = nb.select(self.id_col, F.element_at(cls, best + 1).alias(f"pred_{key}"),
-                        array_to_vector(probs).alias(f"prob_{key}"))
-        return df.join(res, self.id_col, "left")
+        back = [(array_to_vector(F.col(f"row.`{c}`")) if c in vectors else F.col(f"row.`{c}`"))
+                .alias(c) for c in df.columns]
+        return nb.select(*back, F.element_at(cls, best + 1).alias(f"pred_{self.key}"),
+                         array_to_vector(probs).alias(f"prob_{self.key}"))
+
+    def save(self, path: str) -> None:
+        self.train.write.mode("overwrite").parquet(os.path.join(path, "train"))
+        meta = json.dumps({"rows": self.rows, "classes": self.classes, "k": self.k,
+                           "weights": self.weights, "key": self.key, "id_col": self.id_col,
+                           "exclude_self": self.exclude_self})
+        self.train.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1) \
+            .write.mode("overwrite").json(os.path.join(path, "knn"))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "KNNModel":
+        m = json.loads(spark.read.json(os.path.join(path, "knn")).first()["meta"])
+        return cls(spark.read.parquet(os.path.join(path, "train")), **m)
 
 
 class KNNClassifier:
@@ -132,26 +188,16 @@ class KNNClassifier:
         self.id_col, self.exclude_self = id_col, exclude_self
 
     def fit(self, df: DataFrame) -> KNNModel:
-        rows = df.select(self.id_col, vector_to_array("features").alias("f"),
-                         F.col(self.label).cast("double").alias("y"))
-        n = rows.count()
-        first = rows.first()
-        dim = len(first["f"]) if first else 0
-        per_block = max(1, BLOCK_BYTES // max(1, (dim + 2) * 8))
-        classes = sorted(r["y"] for r in rows.select("y").distinct().collect())
-        blocks = []
-        # blocks of bounded byte size, streamed partition by partition
-        buf_x, buf_y, buf_t = [], [], []
-        for r in rows.toLocalIterator():
-            buf_x.append(r["f"])
-            buf_y.append(r["y"])
-            buf_t.append(r[self.id_col])
-            if len(buf_x) >= per_block:
-                blocks.append((np.asarray(buf_x, "float64"), np.asarray(buf_y), np.asarray(buf_t, "int64")))
-                buf_x, buf_y, buf_t = [], [], []
-        if buf_x or not blocks:
-            blocks.append((np.asarray(buf_x, "float64").reshape(len(buf_x), dim),
-                           np.asarray(buf_y), np.asarray(buf_t, "int64")))
-        del n
-        return KNNModel(blocks, classes, self.k, self.weights, self.key, self.id_col,
-                        self.exclude_self)
+        """The training rows are written once; a frame without the id column
+        is numbered by its rows' hash."""
+        has_id = self.id_col in df.columns
+        f = vector_to_array("features")
+        train = cut_lineage(df.select(
+            (F.col(self.id_col) if has_id else F.xxhash64(f)).alias("tid"), f.alias("f"),
+            F.col(self.label).cast("double").alias("y")).where("y IS NOT NULL"))
+        per_class = train.groupBy("y").agg(F.count(F.lit(1)).alias("n")) \
+            .limit(MAX_CLASSES + 1).collect()
+        if len(per_class) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes: not a classification label")
+        return KNNModel(train, sum(r["n"] for r in per_class), sorted(r["y"] for r in per_class),
+                        self.k, self.weights, self.key, self.id_col, self.exclude_self)

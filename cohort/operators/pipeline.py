@@ -62,7 +62,6 @@ FEATURE_NAMES = [f for f, _ in FEATURES]
 OTHER_PREFIX = "OTHER"
 UNKNOWN_AREA = "Unknown"
 DEFAULT_PORT = "S"
-DEFAULT_AGE_FOR_BINS = 30.0
 FARE_QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
@@ -287,16 +286,16 @@ class FeaturePipelineModel:
                  else F.lit(1))
         if has("cabin"):
             has_cabin = F.col("__has_cabin") if st.get("flag_before_impute") else T.presence_flag(r["cabin"])
-            cabin_num = F.coalesce(T.first_number(r["cabin"]),
-                                   F.lit(st.get("median_cabin_number")).cast("double"),
-                                   F.lit(0.0))
+            cabin_num = T.first_number(r["cabin"])
         else:
-            has_cabin, cabin_num = F.lit(0), F.lit(0.0)
-        age_v = age if age is not None else F.lit(0.0)
-        fare_v = fare if fare is not None else F.lit(0.0)
-        age_for_bins = age if age is not None else F.lit(
-            st.get("median_age") if st.get("median_age") is not None else DEFAULT_AGE_FOR_BINS)
-        age_band = B.cut_left(age_for_bins, B.AGE_BAND5_EDGES)
+            has_cabin, cabin_num = F.lit(0), F.lit(None)
+        cabin_num = F.coalesce(cabin_num, F.lit(st.get("median_cabin_number")).cast("double"),
+                               F.lit(0.0))
+        # an absent age or fare takes its fitted median, if both were fitted
+        both = st.get("median_age") is not None and st.get("median_fare") is not None
+        age_v = age if age is not None else F.lit(float(st["median_age"]) if both else 0.0)
+        fare_v = fare if fare is not None else F.lit(float(st["median_fare"]) if both else 0.0)
+        age_band = B.cut_left(age_v, B.AGE_BAND5_EDGES)
         alone = N.is_alone(fs)
         clc = F.col("cabin_location_code")
         emb = F.col("embarked_code")
@@ -317,13 +316,12 @@ class FeaturePipelineModel:
             "age_fare": age_v * fare_v, "fare_sq": fare_v * fare_v,
             "sex_x_class": P(sex, pclass), "age_band_x_sex": P(age_band, sex),
             "embarked_x_class": P(emb, pclass), "family_x_class": P(fs, pclass),
-            "fare_x_cabin_location_code": P(fare, clc) if fare is not None else F.lit(0.0),
-            "age_x_family_size": P(age, fs) if age is not None else F.lit(0.0),
-            "fare_per_person_x_class": P(N.guarded_ratio(fare_v, fs), pclass)
-            if fare is not None else F.lit(0.0),
+            "fare_x_cabin_location_code": P(fare_v, clc),
+            "age_x_family_size": P(age_v, fs),
+            "fare_per_person_x_class": P(N.guarded_ratio(fare_v, fs), pclass),
             "cabin_location_code_x_age_band": P(clc, age_band),
             "title_code_x_class": P(title, pclass),
-            "loneliness_score": N.loneliness(alone, age_v) if age is not None else F.lit(0),
+            "loneliness_score": N.loneliness(alone, age_v),
             "ticket_frequency_x_class": P(tf, pclass),
             "ticket_prefix_code_x_class": P(tp, pclass),
             "fare_sq_x_sex_code": P(fare_v * fare_v, sex),

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,23 +115,47 @@ def corr_pairwise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*pairs)).alias("__p")).select("__p.*")
 
 
+def _moment_partials(k: int, shift: np.ndarray):
+    """mapInArrow body: per partition and column pair, the count, sums, sums
+    of squares and cross product over the rows where both are present."""
+    def run(batches):
+        total = np.zeros((6, k, k))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in b.columns])
+            there = ~np.isnan(x)
+            x = np.where(there, x - shift, 0.0)
+            m, sq = there.astype("float64"), x * x
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x])
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.astype("int32")), pa.array(j.astype("int32")),
+             *(pa.array(t[i, j]) for t in total)], ["i", "j", "n", "sa", "sb", "qa", "qb", "p"])
+    return run
+
+
 def corr_vector(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Wide correlation via ``ml.stat.Correlation`` on an assembled
-    vector (complete rows required: nulls are filled with 0 first, as the
-    reference does before scaling). NaN (constant column) -> null."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    """Wide correlation over pairwise-complete rows. Each task adds up
+    its moments as a few k x k matrix products (values are shifted by the
+    column mean first, so the sums do not cancel); the k * (k + 1) / 2 cells of
+    all tasks meet in one aggregate. A constant column gives null."""
     cols = list(cols)
-    filled = df.select([F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(filled).select("__v")
-    m = Correlation.corr(vec, "__v").head()[0].toArray()
-    k = len(cols)
-    # a constant column has NaN off the diagonal; its own correlation is
-    # undefined too (Spark reports 1.0 there)
-    const = [k > 1 and all(math.isnan(m[i, j]) for j in range(k) if j != i) for i in range(k)]
-    rows = [(a, b, None if (math.isnan(m[i, j]) or (i == j and const[i])) else float(m[i, j]))
-            for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+    x = df.select([F.col(c).cast("double").alias(c) for c in cols])
+    # a NaN counts as absent
+    means = x.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in cols]).first()
+    shift = np.array([m if m is not None else 0.0 for m in means])
+    cells = x.mapInArrow(_moment_partials(len(cols), shift), "i int, j int, n double, sa double, "
+                         "sb double, qa double, qb double, p double")
+    s = cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+    cov = F.col("p") - F.col("sa") * F.col("sb") / F.col("n")
+    va = F.col("qa") - F.col("sa") * F.col("sa") / F.col("n")
+    vb = F.col("qb") - F.col("sb") * F.col("sb") / F.col("n")
+    # sums of squares that are rounding noise of a constant column
+    flat = (va <= 1e-12 * F.col("qa")) | (vb <= 1e-12 * F.col("qb"))
+    s = s.select("i", "j", F.when((F.col("n") > 0) & ~flat, cov / F.sqrt(va * vb)).alias("corr"))
+    both = s.unionByName(s.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return both.select(F.element_at(names, F.col("i") + 1).alias("col_a"),
+                       F.element_at(names, F.col("j") + 1).alias("col_b"), "corr")
 
 
 def histogram(df: DataFrame, x: str, hue: str | None = None, bins: int = 30) -> DataFrame:

@@ -153,6 +153,20 @@ def missing_column_defaults(spark, sf):
                       "ticket_prefix_code", "has_cabin", "cabin_location_code", "cabin_number")
 
 
+ABSENT = ["age", "fare", "age_sq", "age_fare", "fare_sq", "cabin_number", "has_cabin",
+          "fare_x_cabin_location_code", "age_band_x_sex", "age_x_family_size",
+          "fare_per_person_x_class", "loneliness_score", "fare_sq_x_sex_code",
+          "age_fare_x_sex_code"]
+
+
+@query("transform_absent_columns")
+def transform_absent_columns(spark, sf):
+    """Fitted on all columns, then a batch without age, fare and cabin
+    takes the fitted medians."""
+    v = passenger_view(spark, sf)
+    return view_pipeline().fit(v).transform(v.drop("age", "fare", "cabin")).select("id", *ABSENT)
+
+
 POLY = ["age", "fare", "age_sq", "age_fare", "fare_sq"]
 INTERACT = ["age_x_class", "fare_x_class", "sex_x_class", "age_band_x_sex", "embarked_x_class",
             "family_x_class", "fare_x_cabin_location_code", "age_x_family_size",
@@ -466,12 +480,25 @@ def corr_matrix(spark, sf):
 
 @query("corr_matrix_features")
 def corr_matrix_features(spark, sf):
-    """37 features + label through ml.stat.Correlation."""
+    """37 features + label, pairwise-complete."""
     fm = _fitted_matrix(spark, sf)
     c = PR.corr_vector(fm, FEATURE_NAMES + ["label"])
     return c.select("col_a", "col_b", r6("corr").alias("corr"))
 
 
+@query("missing_rows")
+def missing_rows(spark, sf):
+    """N10, row level: the missingness matrix."""
+    return PR.missing_rows(passenger_view(spark, sf), "id")
+
+
+@query("box_outliers")
+def box_outliers(spark, sf):
+    """The rows beyond whiskers of half the box's height."""
+    li = lineitem(spark, sf).withColumn("l_extendedprice", F.col("l_extendedprice").cast("double"))
+    return PR.box_outliers(li, "l_extendedprice", ["l_linenumber"], ["l_orderkey"], whisker=0.5)
+
+
 # given predictions for metric operators: five fixed rules over lineitem
 RULES = ("quantity", "discount", "tax", "price", "line")
 
@@ -583,6 +610,7 @@ def mean_abs_rank(spark, sf):
 # ---------------------------------------------------------------------------
 # metrics and folds (V, C6, C7)
 from cohort.operators import metrics as MT  # noqa: E402
+from cohort.operators.folds import hash_folds as _hash_folds  # noqa: E402
 from cohort.operators.folds import stratified_folds as _strat  # noqa: E402
 
 
@@ -622,6 +650,12 @@ def stratified_folds(spark, sf):
     return _strat(v, "label", "id", 3)
 
 
+@query("hash_folds")
+def hash_folds(spark, sf):
+    """V1: five folds by a seeded hash of the id, no ordering."""
+    return _hash_folds(passenger_view(spark, sf).select("id", "label"), "id", 5)
+
+
 @query("vote_hard")
 def vote_hard(spark, sf):
     """Majority of the five rule models' predictions."""

@@ -36,6 +36,37 @@ ORACLE: dict = {
         CAST(0 AS DOUBLE) AS embarked_code, CAST(1 AS DOUBLE) AS ticket_frequency,
         CAST(0 AS DOUBLE) AS ticket_prefix_code, CAST(0 AS DOUBLE) AS has_cabin,
         CAST(0 AS DOUBLE) AS cabin_location_code, CAST(0 AS DOUBLE) AS cabin_number FROM {V}""",
+    "transform_absent_columns": f"""SELECT id, f.age, f.fare, f.age * f.age AS age_sq, f.age * f.fare AS age_fare,
+        f.fare * f.fare AS fare_sq, f.cabin_number, CAST(0 AS DOUBLE) AS has_cabin,
+        f.fare * f.code AS fare_x_cabin_location_code, f.band * coalesce(sexc, 0) AS age_band_x_sex,
+        f.age * fs AS age_x_family_size, f.fare / fs * pclass AS fare_per_person_x_class,
+        CAST(CASE WHEN fs = 1 AND f.age > 30 THEN 1 ELSE 0 END AS DOUBLE) AS loneliness_score,
+        f.fare * f.fare * coalesce(sexc, 0) AS fare_sq_x_sex_code,
+        f.age * f.fare * coalesce(sexc, 0) AS age_fare_x_sex_code
+        FROM (SELECT id, {FS} AS fs, pclass, CASE WHEN sex = 'female' THEN 0.0::DOUBLE WHEN sex = 'male' THEN 1.0::DOUBLE END AS sexc
+              FROM {V}),
+          (SELECT m.*, CAST(CASE WHEN age < 12 THEN 0 WHEN age < 20 THEN 1 WHEN age < 40 THEN 2
+                       WHEN age < 60 THEN 3 ELSE 4 END AS DOUBLE) AS band,
+             CAST((SELECT count(DISTINCT area) FROM (SELECT {AREA_CASE} AS area FROM {V})
+                   WHERE area < 'Unknown') AS DOUBLE) AS code
+           FROM (SELECT quantile_cont(age, 0.5) AS age, quantile_cont(fare, 0.5) AS fare,
+             coalesce(quantile_cont(TRY_CAST(nullif(regexp_extract(coalesce(cabin, (
+               SELECT cabin FROM {V} WHERE cabin IS NOT NULL GROUP BY cabin ORDER BY count(*) DESC, cabin LIMIT 1)),
+               '([0-9]+)', 1), '') AS DOUBLE), 0.5), 0.0) AS cabin_number FROM {V}) m) f""",
+    "missing_rows": "SELECT id, " + ", ".join(
+        f"CAST({c} IS NULL AS INT) AS {c}" for c in ("label", "pclass", "name", "sex", "age", "sibsp",
+        "parch", "ticket", "fare", "cabin", "embarked")) + f" FROM {V}",
+    "box_outliers": """WITH q AS (SELECT l_linenumber, quantile_cont(l_extendedprice, 0.25) AS q1,
+          quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)
+        SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice
+        FROM lineitem JOIN q USING (l_linenumber)
+        WHERE l_extendedprice < q1 - 0.5 * (q3 - q1) OR l_extendedprice > q3 + 0.5 * (q3 - q1)""",
+    "sample_n": f"""SELECT id, label, pclass, age, sibsp, parch, fare FROM {V}
+        WHERE label IS NOT NULL AND pclass IS NOT NULL AND age IS NOT NULL AND sibsp IS NOT NULL
+          AND parch IS NOT NULL AND fare IS NOT NULL
+        ORDER BY ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT, id LIMIT 200""",
+    "hash_folds": f"""SELECT id, label,
+        CAST(('0x' || substr(md5('42:' || id), 1, 8))::BIGINT % 5 AS INT) AS fold FROM {V}""",
     "poly_features": f"SELECT id, age, fare, age_sq, age_fare, fare_sq FROM {FM}",
     "interaction_features": f"""SELECT id, age_x_class, fare_x_class, sex_x_class, age_band_x_sex,
         embarked_x_class, family_x_class, fare_x_cabin_location_code, age_x_family_size,

@@ -24,10 +24,16 @@ def _values(labels):
     return "(VALUES " + ", ".join(f"('{x}')" for x in labels) + ") c(key)"
 
 
+def _first_of(cats):
+    """Tie order of a mode: the category order if there is one, else the text."""
+    return "key" if cats is None else \
+        "list_position([" + ", ".join(f"'{x}'" for x in cats) + "], key)"
+
+
 def _mode_filled_rates(key_sql, src, cats=None):
     base = f"""WITH t AS (SELECT {key_sql} AS key, label FROM {src}),
       f AS (SELECT coalesce(key, (SELECT key FROM t WHERE key IS NOT NULL GROUP BY key
-                                  ORDER BY count(*) DESC, key LIMIT 1), 'Unknown') AS key, label FROM t),
+                                  ORDER BY count(*) DESC, {_first_of(cats)} LIMIT 1), 'Unknown') AS key, label FROM t),
       r AS (SELECT key, avg(label) AS rate FROM f GROUP BY key)"""
     if cats is None:
         return base + " SELECT key, round(rate, 6) AS rate FROM r"
@@ -49,7 +55,7 @@ FARE_QUINTILE_SQL = f"""WITH f AS (SELECT coalesce(fare, (SELECT quantile_cont(f
   t AS (SELECT CASE WHEN len(edges) = 6 AND fare IS NOT NULL
           THEN {QL}[greatest(len(list_filter(edges, lambda x: x < f.fare)) - 1, 0) + 1] END AS key, label FROM f, e),
   fl AS (SELECT coalesce(key, (SELECT key FROM t WHERE key IS NOT NULL GROUP BY key
-                              ORDER BY count(*) DESC, key LIMIT 1), 'Unknown') AS key, label FROM t),
+                              ORDER BY count(*) DESC, list_position({QL}, key) LIMIT 1), 'Unknown') AS key, label FROM t),
   r AS (SELECT key, avg(label) AS rate FROM fl GROUP BY key)
   SELECT c.key, round(r.rate, 6) AS rate FROM {_values(FARE_QUINTILE_LABELS)} LEFT JOIN r USING (key)"""
 
@@ -75,9 +81,9 @@ DESCRIBE_SQL = "WITH long AS (" + " UNION ALL ".join(
   FROM cols LEFT JOIN cat USING (col) LEFT JOIN num USING (col)"""
 
 
-def _corr_sql(cols, src, fill0=False):
+def _corr_sql(cols, src):
     def c(x):
-        return f"coalesce(CAST({x} AS DOUBLE), 0)" if fill0 else f"CAST({x} AS DOUBLE)"
+        return f"CAST({x} AS DOUBLE)"
     aggs, sels = [], []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -150,7 +156,7 @@ ORACLE_PROFILE = {
         FROM {V} WHERE sex IS NOT NULL GROUP BY sex""",
     "describe_all": DESCRIBE_SQL,
     "corr_matrix": _corr_sql(["id", "label", "pclass", "age", "sibsp", "parch", "fare"], V),
-    "corr_matrix_features": _corr_sql(FEATURE_NAMES + ["label"], f"({FEATURE_MATRIX_SQL}) fm", fill0=True),
+    "corr_matrix_features": _corr_sql(FEATURE_NAMES + ["label"], f"({FEATURE_MATRIX_SQL}) fm"),
     "actual_vs_predicted_by_group": f"""SELECT key_name, key_value, round(avg(y) * 100, 6) AS actual_rate,
         round(avg(p) * 100, 6) AS predicted_rate, count(*) AS n FROM (
         SELECT 'l_linestatus' AS key_name, CAST(l_linestatus AS VARCHAR) AS key_value, CAST({LBL} AS DOUBLE) AS y,

@@ -4,7 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohort.operators import metrics as MT
-from cohort.operators.knn import KNNClassifier
+from cohort.operators.knn import KNNClassifier, KNNModel
 
 
 def test_macro_metrics_zero_division(spark):
@@ -61,7 +61,26 @@ def test_knn_multi_block_same_answer(spark, monkeypatch):
     pdf = pd.DataFrame({"id": np.arange(120), "label": y, "f": list(X)})
     df = spark.createDataFrame(pdf).select("id", "label", array_to_vector(F.col("f")).alias("features"))
     one = KNNClassifier(k=3).fit(df).transform(df).orderBy("id").select("pred_knn").collect()
-    monkeypatch.setattr(K, "BLOCK_BYTES", 40 * 6 * 8)  # forces 3 blocks
+    monkeypatch.setattr(K, "BLOCK_ROWS", 40)  # forces 3 blocks on both sides
     many = KNNClassifier(k=3).fit(df)
-    assert len(many.blocks) == 3
     assert many.transform(df).orderBy("id").select("pred_knn").collect() == one
+
+
+def test_knn_string_ids_repeats_extra_columns_and_save(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    X = rng.integers(0, 3, size=(60, 2)).astype(float)
+    pdf = pd.DataFrame({"id": [f"r{i % 50:02d}" for i in range(60)], "label": rng.integers(0, 2, 60),
+                        "f": list(X), "note": [None, "x"] * 30})
+    df = spark.createDataFrame(pdf).select(
+        "id", "label", "note", array_to_vector(F.col("f")).alias("features"),
+        array_to_vector(F.col("f")).alias("other"))
+    m = KNNClassifier(k=3, weights="distance").fit(df)
+    out = m.transform(df)
+    assert out.columns == [*df.columns, "pred_knn", "prob_knn"] and out.count() == 60
+    assert sorted((r.id, r.note or "", tuple(r.other)) for r in out.collect()) == \
+        sorted((r.id, r.note or "", tuple(r.other)) for r in df.collect())
+    m.save(str(tmp_path / "knn"))
+    again = KNNModel.load(spark, str(tmp_path / "knn")).transform(df)
+    key = lambda r: (r.id, r.label, tuple(r.features), r.pred_knn, tuple(r.prob_knn))
+    assert sorted(map(key, out.collect())) == sorted(map(key, again.collect()))
+    assert m.transform(df.where("false")).collect() == []
