@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from cohort.operators.scale import ScalerModel, fit_scaler
 
 SEED = 42
+#: Rows of a training matrix per partition: its layout follows from the data
+#: alone, so a seeded fit is the same on any number of cores.
+ROWS_PER_PARTITION = 250_000
+LEAST_PARTITIONS = 8
+# Model names and order, hyper-parameters, dashboard grids.
 MODEL_NAMES = ("Logistic Regression", "Decision Tree", "KNN", "Random Forest", "XGBoost")
 KEYS = {"Logistic Regression": "lr", "Decision Tree": "dt", "KNN": "knn",
         "Random Forest": "rf", "XGBoost": "gb"}
 
-# Reference hyper-parameters (batch run) and dashboard grids.
 DEFAULT_PARAMS = {
     "lr": {"C": 1.0, "max_iter": 1000, "tol": 1e-4},
     "dt": {"max_depth": 5, "min_samples_leaf": 1},
@@ -34,6 +38,8 @@ DEFAULT_PARAMS = {
     "rf": {"n_estimators": 100, "max_depth": 7, "min_samples_leaf": 1},
     "gb": {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0},
 }
+# Spark ML trees have no minimum number of rows to split a node; that dashboard
+# parameter (min_samples_split) is refused by ``estimator`` as unknown.
 APP_GRIDS = {
     "lr": {"C": [0.1, 1.0, 10.0]},
     "dt": {"max_depth": [3, 5, 7], "min_samples_leaf": [1, 2]},
@@ -43,6 +49,29 @@ APP_GRIDS = {
 }
 
 
+def settle(data: DataFrame, id_col: str = "id") -> DataFrame:
+    """The matrix in a layout that depends on its rows only: hashed by id into
+    a number of partitions given by the row count, sorted by id in each. Seeded
+    fits draw per partition, so this keeps them alike on any cluster."""
+    n = max(LEAST_PARTITIONS, -(-data.count() // ROWS_PER_PARTITION))
+    return data.repartition(n, id_col).sortWithinPartitions(id_col)
+
+
+#: Further model kinds: key -> (default parameters, factory(params, columns)).
+EXTRA: dict = {}
+
+
+def register(key: str, defaults: dict, factory) -> None:
+    """make an estimator known under a key of its own. ``factory(params,
+    columns)`` returns a Spark ML style estimator that writes the columns named
+    in ``columns`` (featuresCol, labelCol, predictionCol, probabilityCol,
+    rawPredictionCol); it then takes part in grids, ensembles and curves."""
+    if key in DEFAULT_PARAMS:
+        raise ValueError(f"model key {key!r} is taken")
+    DEFAULT_PARAMS[key] = dict(defaults)
+    EXTRA[key] = factory
+
+
 @dataclass
 class Prepared:
     """Fitted preparation: column list, scaler; ``apply`` aligns, fills 0,
@@ -71,6 +100,9 @@ def estimator(key: str, params: dict | None = None, n_rows: int | None = None,
               label: str = "label"):
     """Spark ML estimator for a model key with reference-style params."""
     p = dict(DEFAULT_PARAMS[key])
+    unknown = set(params or {}) - set(p)
+    if unknown:
+        raise ValueError(f"{key} has no parameter {sorted(unknown)}; it has {sorted(p)}")
     p.update(params or {})
     common = {"featuresCol": "features", "labelCol": label,
               "predictionCol": f"pred_{key}", "probabilityCol": f"prob_{key}",
@@ -98,7 +130,7 @@ def estimator(key: str, params: dict | None = None, n_rows: int | None = None,
     if key == "knn":
         from cohort.operators.knn import KNNClassifier
         return KNNClassifier(k=p["n_neighbors"], weights=p["weights"], key=key, label=label)
-    raise KeyError(key)
+    return EXTRA[key](p, common)
 
 
 def positive_prob(key: str):

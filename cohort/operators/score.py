@@ -1,6 +1,6 @@
 """Scoring (C9, C10, S6): the fitted feature pipeline + matrix preparation
-+ a fitted Spark ML model, applied to a batch (or a stream), saved and
-loaded as one folder."""
++ a fitted model (single, voting or stacking), applied to a batch, a single
+record or a stream, saved and loaded as one folder."""
 
 from __future__ import annotations
 
@@ -15,40 +15,90 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohort.operators.knn import KNNModel
 from cohort.operators.models import Prepared
 from cohort.operators.pipeline import FeaturePipelineModel
 from cohort.operators.scale import ScalerModel
+from cohort.operators.selection import StackingModel, VotingModel
 
 _LOADERS = {"lr": LogisticRegressionModel, "dt": DecisionTreeClassificationModel,
             "rf": RandomForestClassificationModel, "gb": GBTClassificationModel}
 
 
+def _write_meta(path: str, meta: dict) -> None:
+    SparkSession.getActiveSession().createDataFrame([(json.dumps(meta),)], "meta string") \
+        .coalesce(1).write.mode("overwrite").json(path)
+
+
+def _read_meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.json(path).first()["meta"])
+
+
+def save_model(key: str, model, path: str) -> None:
+    """Any model kind: ``vote`` and ``stack`` save their members beside them."""
+    if key in ("vote", "stack"):
+        meta = {"members": list(model.members)}
+        if key == "vote":
+            meta["voting"] = model.voting
+        else:
+            meta["meta_cols"] = model.meta_cols
+            model.meta.write().overwrite().save(os.path.join(path, "meta"))
+        for k, m in model.members.items():
+            save_model(k, m, os.path.join(path, "members", k))
+        _write_meta(os.path.join(path, "ensemble"), meta)
+    elif isinstance(model, KNNModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, key: str, path: str):
+    if key in ("vote", "stack"):
+        meta = _read_meta(spark, os.path.join(path, "ensemble"))
+        members = {k: load_model(spark, k, os.path.join(path, "members", k))
+                   for k in meta["members"]}
+        if key == "vote":
+            return VotingModel(members, meta["voting"])
+        return StackingModel(members, LogisticRegressionModel.load(os.path.join(path, "meta")),
+                             meta["meta_cols"])
+    if key == "knn":
+        return KNNModel.load(spark, path)
+    if key not in _LOADERS:
+        raise ValueError(f"no loader for model key {key!r}; add one to _LOADERS")
+    return _LOADERS[key].load(path)
+
+
 class Scorer:
     def __init__(self, features: FeaturePipelineModel, prepared: Prepared, key: str, model):
         self.features, self.prepared, self.key, self.model = features, prepared, key, model
 
     def score(self, df: DataFrame, id_col: str = "id") -> DataFrame:
-        """id, int prediction, class probabilities and confidence (max)."""
+        """Int prediction, positive probability and confidence (the larger
+        class probability), with the id where the rows have one. A hard vote
+        has no probability: both are null."""
         fm = self.features.transform(df)
         out = self.model.transform(self.prepared.apply(fm))
-        probs = vector_to_array(F.col(f"prob_{self.key}"))
-        return out.select(id_col, F.col(f"pred_{self.key}").cast("int").alias("prediction"),
-                          probs[1].alias("p1"), F.array_max(probs).alias("confidence"))
+        if self.key in ("vote", "stack"):
+            p1 = F.col(f"p1_{self.key}")
+            confidence = F.greatest(p1, 1 - p1)
+        else:
+            probs = vector_to_array(F.col(f"prob_{self.key}"))
+            p1, confidence = probs[1], F.array_max(probs)
+        keep = [id_col] if id_col in out.columns else []
+        return out.select(*keep, F.col(f"pred_{self.key}").cast("int").alias("prediction"),
+                          p1.alias("p1"), confidence.alias("confidence"))
 
     def save(self, path: str) -> None:
         self.features.save(os.path.join(path, "features"))
-        self.model.write().overwrite().save(os.path.join(path, "model"))
-        spark = SparkSession.getActiveSession()
-        meta = json.dumps({"key": self.key, "columns": self.prepared.columns,
-                           "keep": self.prepared.keep, "means": self.prepared.scaler.means,
-                           "stds": self.prepared.scaler.stds})
-        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite") \
-            .json(os.path.join(path, "prepared"))
+        save_model(self.key, self.model, os.path.join(path, "model"))
+        _write_meta(os.path.join(path, "prepared"), {
+            "key": self.key, "columns": self.prepared.columns, "keep": self.prepared.keep,
+            "means": self.prepared.scaler.means, "stds": self.prepared.scaler.stds})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Scorer":
-        meta = json.loads(spark.read.json(os.path.join(path, "prepared")).first()["meta"])
+        meta = _read_meta(spark, os.path.join(path, "prepared"))
         prep = Prepared(meta["columns"], ScalerModel(meta["means"], meta["stds"]), meta["keep"])
         feats = FeaturePipelineModel.load(spark, os.path.join(path, "features"))
-        model = _LOADERS[meta["key"]].load(os.path.join(path, "model"))
-        return cls(feats, prep, meta["key"], model)
+        return cls(feats, prep, meta["key"],
+                   load_model(spark, meta["key"], os.path.join(path, "model")))

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort.operators import metrics as MT
-from cohort.operators.models import KEYS, estimator, positive_prob
+from cohort.operators.models import KEYS, estimator, positive_prob, settle
+from cohort.session import cut_lineage
 
 METRICS = ("f1_macro", "accuracy", "precision_macro", "recall_macro")
 # Independent fits are submitted from this many driver threads (like
@@ -105,6 +106,12 @@ def grid_search(key: str, param_grid: dict, data: DataFrame, folds: int, label:
     return table, best_params, model
 
 
+def _chain(members: dict) -> list:
+    """Members in the order they are applied: k-NN, which writes its query
+    rows, first."""
+    return sorted(members.items(), key=lambda kv: kv[0] != "knn")
+
+
 class VotingModel:
     """C6/C7 over fitted members (each adds its own pred/prob columns)."""
 
@@ -113,8 +120,12 @@ class VotingModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
-        for key, m in self.members.items():
+        for _, m in _chain(self.members):
             out = m.transform(out)
+        return self.vote(out)
+
+    def vote(self, out: DataFrame) -> DataFrame:
+        """The vote over rows that carry the members' columns."""
         if self.voting == "hard":
             pred = MT.hard_vote([F.col(f"pred_{k}") for k in self.members])
             p1 = F.lit(None).cast("double")
@@ -123,10 +134,14 @@ class VotingModel:
         return out.withColumn("pred_vote", pred.cast("double")).withColumn("p1_vote", p1)
 
 
+def fit_members(keys: Sequence[str], params: dict, train: DataFrame, label: str = "label") -> dict:
+    models = run_parallel(lambda k: _fit(k, params.get(k, {}), train, label), keys)
+    return dict(zip(keys, models))
+
+
 def fit_voting(keys: Sequence[str], params: dict, train: DataFrame, voting: str,
                label: str = "label") -> VotingModel:
-    models = run_parallel(lambda k: _fit(k, params.get(k, {}), train, label), keys)
-    return VotingModel(dict(zip(keys, models)), voting)
+    return VotingModel(fit_members(keys, params, train, label), voting)
 
 
 class StackingModel:
@@ -136,69 +151,102 @@ class StackingModel:
     def __init__(self, members: dict, meta, meta_cols: list):
         self.members, self.meta, self.meta_cols = members, meta, meta_cols
 
-    def _meta_input(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
+    def transform(self, df: DataFrame) -> DataFrame:
         out = df
-        for k, m in self.members.items():
-            out = m.transform(out).withColumn(f"__p_{k}", positive_prob(k))
-        return VectorAssembler(inputCols=self.meta_cols, outputCol="__meta").transform(out)
+        for _, m in _chain(self.members):
+            out = m.transform(out)
+        return self.stack(out)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = self.meta.transform(self._meta_input(df))
+    def stack(self, out: DataFrame) -> DataFrame:
+        """The meta-learner over rows that carry the members' columns."""
+        from pyspark.ml.feature import VectorAssembler
+        out = out.withColumns({f"__p_{k}": positive_prob(k) for k in self.members})
+        out = VectorAssembler(inputCols=self.meta_cols, outputCol="__meta").transform(out)
+        out = self.meta.transform(out)
         return out.withColumn("pred_stack", F.col("pred_meta")) \
                   .withColumn("p1_stack", positive_prob("meta"))
 
 
 def fit_stacking(keys: Sequence[str], params: dict, train: DataFrame, folds: int = 5,
-                 label: str = "label", id_col: str = "id") -> StackingModel:
-    """Out-of-fold base probabilities on ``folds`` hashed folds of the
-    training rows -> meta logistic regression (C=1)."""
+                 label: str = "label", id_col: str = "id",
+                 members: dict | None = None) -> StackingModel:
+    """Out-of-fold base probabilities on ``folds`` unshuffled stratified folds
+    of the training rows -> meta logistic regression (C=1). ``members`` already
+    fitted on all rows are taken as they are."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    from cohort.operators.folds import hash_folds
-    data = hash_folds(train, id_col, folds, name="__sf")
+    from cohort.operators.folds import stratified_folds
+    data = cut_lineage(settle(stratified_folds(
+        train.where(F.col(label).isNotNull()), label, id_col, folds, "__sf"), id_col))
     jobs = [(f, k) for f in range(folds) for k in keys]
     fitted = dict(zip(jobs, run_parallel(
         lambda j: _fit(j[1], params.get(j[1], {}), data.where(F.col("__sf") != j[0]), label), jobs)))
     oof = None
     for f in range(folds):
         cur = data.where(F.col("__sf") == f).select(id_col, label, "features")
-        for k in keys:
+        for k, _ in _chain(dict.fromkeys(keys)):
             cur = fitted[(f, k)].transform(cur).withColumn(f"__p_{k}", positive_prob(k)) \
                 .drop(f"pred_{k}", f"prob_{k}", f"raw_{k}")
+        cur = cur.select(id_col, label, *[f"__p_{k}" for k in keys])
         oof = cur if oof is None else oof.unionByName(cur)
     cols = [f"__p_{k}" for k in keys]
-    meta_in = VectorAssembler(inputCols=cols, outputCol="__meta").transform(oof)
+    meta_in = cut_lineage(VectorAssembler(inputCols=cols, outputCol="__meta").transform(oof)
+                          .select(id_col, label, "__meta"))
     n = meta_in.count()
     meta = LogisticRegression(featuresCol="__meta", labelCol=label, regParam=1.0 / n,
                               standardization=False, predictionCol="pred_meta",
-                              probabilityCol="prob_meta", rawPredictionCol="raw_meta").fit(meta_in)
-    members = dict(zip(keys, run_parallel(lambda k: _fit(k, params.get(k, {}), train, label), keys)))
+                              probabilityCol="prob_meta", rawPredictionCol="raw_meta") \
+        .fit(settle(meta_in, id_col))
+    if members is None:
+        members = fit_members(keys, params, train, label)
     return StackingModel(members, meta, cols)
 
 
-def ensemble_cv(kind: str, keys: Sequence[str], params: dict, data: DataFrame, folds: int,
-                label: str = "label", id_col: str = "id") -> DataFrame:
-    """V3: CV scores of an ensemble; F1 and accuracy (and the rest) from the
-    same fits."""
+def ensemble_cv(kinds: Sequence[str], keys: Sequence[str], params: dict, data: DataFrame,
+                folds: int, label: str = "label", id_col: str = "id") -> DataFrame:
+    """V3: CV scores of the ensembles; all four metrics from the same fits, and
+    the members of a fold fitted once for every ensemble."""
     def one(f):
-        tr = data.where(F.col("fold") != f)
-        te = data.where(F.col("fold") == f)
-        if kind == "Stacking":
-            m = fit_stacking(keys, params, tr, 5, label, id_col)
-            out = m.transform(te).select("fold", id_col, label,
-                                         F.col("pred_stack").cast("int").alias("prediction"))
-        else:
-            m = fit_voting(keys, params, tr, "soft" if kind == "Voting Soft" else "hard", label)
-            out = m.transform(te).select("fold", id_col, label,
-                                         F.col("pred_vote").cast("int").alias("prediction"))
-        return out
+        tr, te = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+        members = fit_members(keys, params, tr, label)
+        out = te.select("fold", id_col, label, "features")
+        for _, m in _chain(members):
+            out = m.transform(out)
+        cols = {}
+        for kind in kinds:
+            if kind == "Stacking":
+                out = fit_stacking(keys, params, tr, 5, label, id_col, members).stack(out)
+                cols[kind] = F.col("pred_stack").cast("int")
+            elif kind == "Voting Soft":
+                cols[kind] = MT.soft_vote([positive_prob(k) for k in members])[1]
+            else:
+                cols[kind] = MT.hard_vote([F.col(f"pred_{k}") for k in members])
+        return out.select("fold", id_col, label, F.explode(F.array(*[
+            F.struct(F.lit(k).alias("model"), c.cast("int").alias("prediction"))
+            for k, c in cols.items()])).alias("__e")).select("fold", id_col, label, "__e.*")
     parts = run_parallel(one, range(folds), 2)
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
-    return cv_scores(allp, label).withColumn("model", F.lit(kind))
+    return cv_scores(allp, label, ["model"])
+
+
+def search_all(grids: dict, data: DataFrame, folds: int, label: str = "label"):
+    """C11: every model's grid; the best macro-F1 over all candidates wins (the
+    earlier model and candidate on a tie) and is refitted on all rows. Returns
+    (results DataFrame, key, params, model)."""
+    tables = run_parallel(lambda k: grid_search(k, grids[k], data, folds, label, refit=False)[0],
+                          list(grids), 2)
+    rows = [r for t in tables for r in t.orderBy("candidate").collect()]  # one per candidate
+    best = max(range(len(rows)), key=lambda i: (rows[i]["f1_macro"], -i))
+    key, params = rows[best]["model"], grid(grids[rows[best]["model"]])[rows[best]["candidate"]]
+    spark = data.sparkSession
+    table = spark.createDataFrame(
+        [(*r, i == best) for i, r in enumerate(rows)],
+        "model string, candidate int, params string, f1_macro double, accuracy double, "
+        "precision_macro double, recall_macro double, chosen boolean")
+    return table, key, params, _fit(key, params, data, label)
 
 
 def comparison(results: DataFrame) -> DataFrame:
@@ -227,19 +275,20 @@ def learning_curve(key: str, params: dict, data: DataFrame, folds: int,
     """V8: for each fraction of the largest training split and each fold,
     fit on the first n training rows (id order), score macro-F1 on those rows
     and on the validation fold; mean/std over folds and mean fit time."""
-    from cohort.operators.ordering import positions
+    from cohort.operators.ordering import running_sums
     spark = data.sparkSession
     n_max = data.where(F.col("fold") != 0).count()
     abs_sizes = sorted({max(1, int(s * n_max)) for s in sizes})
-    # every row joins the training split of each fold it is not in; row
-    # positions inside each split (id order) come from one ranged pass
-    member = data.select("*", F.explode(F.array(*[F.when(F.col("fold") != f, F.lit(f))
-                                                   for f in range(folds)])).alias("__split")) \
-        .where(F.col("__split").isNotNull())
-    ranked = positions(member, ["__split"], [id_col], "__pos")
+    # one ordered pass counts the rows of each fold up to a row; a row outside
+    # fold f stands in that split at the sum of the other folds' counts
+    marked = data.withColumns({f"__in{f}": (F.col("fold") == f).cast("int") for f in range(folds)})
+    ranked = cut_lineage(running_sums(marked, [], [id_col], [f"__in{f}" for f in range(folds)],
+                                      "__c"))
+
     def one(job):
         f, n = job
-        sub = ranked.where((F.col("__split") == f) & (F.col("__pos") < n)).drop("__pos", "__split")
+        pos = sum((F.col(f"__c__in{g}") for g in range(folds) if g != f), F.lit(0))
+        sub = ranked.where((F.col("fold") != f) & (pos <= n)).select(*data.columns)
         te = data.where(F.col("fold") == f)
         t0 = time.time()
         m = _fit(key, params, sub, label, n_rows=n)
@@ -297,5 +346,6 @@ def validation_curve(key: str, param: str, values: Sequence, data: DataFrame, fo
 
 
 __all__ = ["KEYS", "grid_search", "cv_predictions", "cv_scores", "VotingModel", "fit_voting",
-           "StackingModel", "fit_stacking", "ensemble_cv", "comparison", "select_best",
+           "StackingModel", "fit_stacking", "fit_members", "ensemble_cv", "search_all",
+           "comparison", "select_best",
            "learning_curve", "validation_curve"]

@@ -18,50 +18,32 @@ from pyspark.sql import functions as F
 from cohort.operators import aggregate as A
 from cohort.operators import explain as X
 from cohort.operators import selection as SEL
-from cohort.operators.folds import stratified_folds
 from cohort.operators.knn import KNNClassifier
-from cohort.operators.models import MODEL_NAMES, KEYS, fit_model, prepare, scored
+from cohort.operators.models import (APP_GRIDS, DEFAULT_PARAMS, KEYS, MODEL_NAMES, fit_model,
+                                     prepare, scored)
 from cohort.operators.pipeline import FEATURE_NAMES
+from cohort.operators.run import batch_run, matrix
 from cohort.operators.score import Scorer
+from cohort.operators.tree_shap import tree_shapley
 from cohort.plans.catalog import passenger_view, query, view_pipeline
-from cohort.session import cut_lineage, scratch_dir
-from cohort.sources.files import read_table
+from cohort.session import scratch_dir
+from cohort.sources.files import read_csv, read_table
 from cohort.streaming.score_stream import read_scored, score_stream
 
-# Registered runs keep the reference's hyper-parameters except boosting
-# rounds (each round is a Spark job; the API default stays 100).
-GB_ROUNDS = 20
-RUN_PARAMS = {"gb": {"n_estimators": GB_ROUNDS}}
 
 
 def ml_data(spark: SparkSession, sf: str, k: int = 3):
     """(matrix with id, label, fold, features; fitted feature pipeline;
-    prepared scaler). Folds are the exact stratified ones, computed on the
-    feature rows themselves (no join back by id); the matrix is written once
-    with a reliable checkpoint because every fit re-reads it."""
-    v = passenger_view(spark, sf)
-    fp = view_pipeline().fit(v)
-    fm = fp.transform(v).cache()  # read by the scaler fit and the fold numbering
-    prep = prepare(fm, FEATURE_NAMES, keep=["id", "label", "fold"])
-    folded = stratified_folds(fm, "label", "id", k)
-    data = cut_lineage(spread(prep.apply(folded)))
-    fm.unpersist()
+    prepared scaler): exact stratified folds on the feature rows themselves, in
+    a layout that depends on the data only, written once because every fit
+    re-reads it."""
+    fp, prep, data = matrix(view_pipeline(), passenger_view(spark, sf), "label", "id", k)
     return data, fp, prep
 
 
-def spread(data: DataFrame) -> DataFrame:
-    """Model fits run one task per partition: a small matrix that AQE
-    coalesced into fewer partitions than the cluster has cores is spread
-    out; a large one is left as it is."""
-    cores = data.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < cores:
-        return data.repartition(cores)
-    return data
-
-
 def _predictions(spark, sf, key):
     data, _, _ = ml_data(spark, sf)
-    m = fit_model(key, data, RUN_PARAMS.get(key))
+    m = fit_model(key, data)
     return scored(m, key, data, ["id", "label"])
 
 
@@ -131,10 +113,7 @@ def _results(spark, sf, names, folds=3):
 
 
 def _one(key):
-    from cohort.operators.models import DEFAULT_PARAMS
-    p = dict(DEFAULT_PARAMS[key])
-    p.update(RUN_PARAMS.get(key, {}))
-    return {k: [v] for k, v in p.items()}
+    return {k: [v] for k, v in DEFAULT_PARAMS[key].items()}
 
 
 @query("model_comparison")
@@ -145,34 +124,31 @@ def model_comparison(spark, sf):
 
 @query("select_best")
 def select_best(spark, sf):
-    """Argmax macro-F1 among base models (first wins a tie)."""
-    return SEL.select_best(_results(spark, sf, ["Logistic Regression", "Decision Tree", "KNN"]))
+    """Argmax macro-F1 among the five base models (first wins a tie)."""
+    return SEL.select_best(_results(spark, sf, MODEL_NAMES))
 
 
 @query("train_selected")
 def train_selected(spark, sf):
-    """C11: one chosen model with its dashboard grid (tree: depth x leaf)."""
+    """C11: the dashboard grids of all five models, the best one marked."""
     data, _, _ = ml_data(spark, sf)
-    from cohort.operators.models import APP_GRIDS
-    table, best, model = SEL.grid_search("dt", APP_GRIDS["dt"], data, 3)
+    table, _, _, _ = SEL.search_all(APP_GRIDS, data, 3)
     return table
 
 
 @query("ensemble_cv")
 def ensemble_cv(spark, sf):
-    """V3: CV scores of hard and soft voting over logistic, tree and k-NN."""
-    data, _, _ = ml_data(spark, sf)
-    keys = ["lr", "dt", "knn"]
-    a = SEL.ensemble_cv("Voting Hard", keys, {}, data, 3)
-    b = SEL.ensemble_cv("Voting Soft", keys, {}, data, 3)
-    return a.unionByName(b)
+    """V3: stacking, soft and hard voting over the five models, 5 folds."""
+    data, _, _ = ml_data(spark, sf, 5)
+    return SEL.ensemble_cv(SEL.ENSEMBLES, [KEYS[n] for n in MODEL_NAMES], {}, data, 5)
 
 
 @query("stacking")
 def stacking(spark, sf):
-    """5-fold out-of-fold base probabilities -> logistic meta-learner."""
+    """5-fold out-of-fold probabilities of the five models -> logistic
+    meta-learner."""
     data, _, _ = ml_data(spark, sf)
-    m = SEL.fit_stacking(["lr", "dt"], {}, data, 5)
+    m = SEL.fit_stacking([KEYS[n] for n in MODEL_NAMES], {}, data, 5)
     return m.transform(data).select("id", "label", F.col("pred_stack").cast("int").alias("prediction"),
                                     F.col("p1_stack").alias("p1"))
 
@@ -184,11 +160,20 @@ def learning_curve(spark, sf):
     return SEL.learning_curve("lr", {}, data, 3)
 
 
+# The parameter ranges of the validation curves.
+CURVES = {"dt": ("max_depth", [2, 3, 5, 7, 10, 12]), "rf": ("max_depth", [2, 3, 5, 7, 10, 12]),
+          "gb": ("n_estimators", [50, 100, 150, 200, 250])}
+
+
 @query("validation_curve")
 def validation_curve(spark, sf):
-    """V9: tree depth 2, 3, 5, 7, 10, 12 x 3 folds."""
-    data, _, _ = ml_data(spark, sf)
-    return SEL.validation_curve("dt", "max_depth", [2, 3, 5, 7, 10, 12], data, 3)
+    """V9: tree and forest depth and boosting rounds, 5 folds."""
+    data, _, _ = ml_data(spark, sf, 5)
+    out = None
+    for key, (param, values) in CURVES.items():
+        t = SEL.validation_curve(key, param, values, data, 5).withColumn("model", F.lit(key))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 @query("feature_importance")
@@ -208,14 +193,39 @@ def shapley_linear(spark, sf):
     return X.shapley_linear(m, data, data, FEATURE_NAMES, ["id"])
 
 
-@query("shapley_sampled")
-def shapley_sampled(spark, sf):
-    """Permutation-sampled Shapley values of the tree's probability
-    for every row (background: 5 rows sampled by seeded id hash)."""
+def _tree_attributions(spark, sf, key):
     data, _, _ = ml_data(spark, sf)
-    m = fit_model("dt", data)
-    bg = X.sample_rows(data, 5, 42, "id")
-    return X.shapley_sampled(m, "dt", data, bg, len(FEATURE_NAMES), FEATURE_NAMES, "id", n_perm=1)
+    bg = X.sample_rows(data, 100, 42, "id")
+    return tree_shapley(fit_model(key, data), data, bg, FEATURE_NAMES, ["id"])
+
+
+@query("shapley_tree")
+def shapley_tree(spark, sf):
+    """Exact attributions of the tree's probability for every row over
+    100 background rows (sampled by seeded id hash)."""
+    return _tree_attributions(spark, sf, "dt")
+
+
+@query("shapley_forest")
+def shapley_forest(spark, sf):
+    """The same for the forest's probability."""
+    return _tree_attributions(spark, sf, "rf")
+
+
+@query("shapley_boosted")
+def shapley_boosted(spark, sf):
+    """The same for the boosted model's margin."""
+    return _tree_attributions(spark, sf, "gb")
+
+
+@query("batch_run")
+def batch_run_query(spark, sf):
+    """The whole batch run in one call; returns the chosen model's submission."""
+    v = passenger_view(spark, sf)
+    out = scratch_dir(spark, f"run-{uuid.uuid4().hex}")
+    r = batch_run(view_pipeline(), v, v.drop("label"), out)
+    return read_csv(spark, f"{out}/submission", "id long, label int").withColumn(
+        "model", F.lit(r.key))
 
 
 @query("drilldown_features")

@@ -1,12 +1,15 @@
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohort.operators import explain as X
 from cohort.operators import selection as SEL
 from cohort.operators.folds import hash_folds
-from cohort.operators.models import fit_model
+from cohort.operators.models import DEFAULT_PARAMS, EXTRA, fit_model, register, settle
+from cohort.operators.tree_shap import leaves, tree_shapley
 
 
 def _separable(spark, n=300, seed=0):
@@ -47,22 +50,105 @@ def test_grid_search_and_selection_rule(spark):
     assert SEL.select_best(zero).first()["model"] == "Voting Soft"
 
 
-def test_shapley_efficiency_and_linear(spark):
+def _brute_shapley(f, x, background, dim):
+    """Average over the background of exact two-point Shapley values."""
+    from itertools import combinations
+    from math import factorial
+    phi = np.zeros(dim)
+    for b in background:
+        cache = {}
+
+        def value(on):
+            if on not in cache:
+                cache[on] = f(np.array([x[j] if j in on else b[j] for j in range(dim)]))
+            return cache[on]
+        for j in range(dim):
+            rest = [k for k in range(dim) if k != j]
+            for n in range(dim):
+                w = factorial(n) * factorial(dim - n - 1) / factorial(dim)
+                for sub in combinations(rest, n):
+                    s = frozenset(sub)
+                    phi[j] += w * (value(s | {j}) - value(s))
+    return phi / len(background)
+
+
+def test_tree_shapley_matches_enumeration_and_adds_up(spark):
+    df = _separable(spark, 120)
+    names, bg = ["a", "b", "c", "d"], X.sample_rows(_separable(spark, 120), 6, 42, "id")
+    b = [r.features.toArray() for r in bg.collect()]
+    rows = df.where("id < 8")
+    for key, params in (("dt", {"max_depth": 4}), ("rf", {"n_estimators": 5, "max_depth": 4}),
+                        ("gb", {"n_estimators": 4})):
+        m = fit_model(key, df, params)
+        parts = leaves(m)
+
+        def f(x):
+            return sum(p.value for p in parts
+                       if all(lo < x[j] <= hi for j, lo, hi in zip(p.features, p.low, p.high)))
+        out = m.transform(df).select("features", f"prob_{key}", f"raw_{key}").limit(20).collect()
+        for r in out:           # the leaves are the model
+            want = r[f"raw_{key}"][1] if key == "gb" else r[f"prob_{key}"][1]
+            assert abs(f(r.features.toArray()) * (1 if key != "gb" else 1) - want) < 1e-9
+        frame = tree_shapley(m, rows, bg, names, ["id"])
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: np.array([r[n] for n in names]) for r in frame.collect()}
+        for r in rows.collect():
+            x = r.features.toArray()
+            assert np.allclose(got[r.id], _brute_shapley(f, x, b, 4), atol=1e-9)
+            assert abs(got[r.id].sum() - (f(x) - np.mean([f(v) for v in b]))) < 1e-9
+
+
+def test_shapley_linear(spark):
     df = _separable(spark, 120)
-    m = fit_model("lr", df)
-    bg = X.sample_rows(df, 4, 42, "id")
-    rows = df.where("id < 10")
-    sh = X.shapley_sampled(m, "lr", rows, bg, 4, ["a", "b", "c", "d"], "id", n_perm=1).toPandas()
-    tot = sh.groupby("id")["shap"].sum()
-    p = m.transform(rows).select("id", F.col("prob_lr")).toPandas()
-    fx = {r.id: r.prob_lr[1] for r in p.itertuples()}
-    fb = np.mean([r["prob_lr"][1] for r in m.transform(bg).select("prob_lr").collect()])
-    for i, s in tot.items():
-        assert abs(s - (fx[i] - fb)) < 1e-9
-    lin = X.shapley_linear(m, rows, bg, ["a", "b", "c", "d"], ["id"]).toPandas()
+    lin = X.shapley_linear(fit_model("lr", df), df.where("id < 10"), X.sample_rows(df, 4, 42, "id"),
+                           ["a", "b", "c", "d"], ["id"]).toPandas()
     assert lin.shape == (10, 5)
 
 
+def test_fits_do_not_depend_on_the_partitioning(spark):
+    df = _separable(spark, 200)
+    a, b = (fit_model("rf", settle(df.repartition(n)), {"n_estimators": 8}) for n in (2, 8))
+    assert a.featureImportances == b.featureImportances
+    assert [r.prob_rf for r in a.transform(df).orderBy("id").collect()] == \
+        [r.prob_rf for r in b.transform(df).orderBy("id").collect()]
+
+
+def test_ensembles_cv_and_search_over_all_models(spark):
+    df = _separable(spark, 150)
+    params = {"rf": {"n_estimators": 5}, "gb": {"n_estimators": 3}}
+    keys = ["lr", "dt", "knn", "rf", "gb"]
+    rows = SEL.ensemble_cv(SEL.ENSEMBLES, keys, params, df, 3).collect()
+    assert {r.model for r in rows} == {"Stacking", "Voting Soft", "Voting Hard"}
+    assert all(r.accuracy > 0.7 for r in rows)
+    table, key, best, model = SEL.search_all(
+        {"dt": {"max_depth": [1, 3]}, "knn": {"n_neighbors": [3]}}, df, 3)
+    got = table.collect()
+    assert len(got) == 3 and sum(r.chosen for r in got) == 1
+    top = max(r.f1_macro for r in got)
+    assert [r.f1_macro for r in got if r.chosen] == [top] and key in ("dt", "knn")
+
+
+def test_unknown_parameters_and_registered_kinds(spark):
+    df = _separable(spark, 100)
+    with pytest.raises(ValueError, match="min_samples_split"):
+        fit_model("dt", df, {"min_samples_split": 2})
+    register("shallow", {"depth": 2}, lambda p, c: DecisionTreeClassifier(maxDepth=p["depth"], **c))
+    try:
+        table, best, model = SEL.grid_search("shallow", {"depth": [1, 2]}, df, 3)
+        assert table.count() == 2 and "pred_shallow" in model.transform(df).columns
+        with pytest.raises(ValueError):
+            register("shallow", {}, None)
+    finally:
+        DEFAULT_PARAMS.pop("shallow"), EXTRA.pop("shallow")
+
+
+def test_learning_curve_counts(spark):
+    df = _separable(spark, 90)
+    rows = SEL.learning_curve("dt", {}, df, 3).orderBy("train_size").collect()
+    assert [r.train_size for r in rows] == sorted(r.train_size for r in rows) and len(rows) == 5
+    assert all(0 <= r.validation_mean <= 1 for r in rows)
+
+
 def test_drilldown_rule():
     assert X.drilldown(["Age Fare", "Sex*Class", "Fare^2", "Pclass", "Age"]) == \
         ["AgeGroup", "Sex", "FareGroup", "Pclass"]

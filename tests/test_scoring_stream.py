@@ -50,3 +50,48 @@ def test_profile_rates_skips_absent(spark):
     assert full == {"Sex", "Pclass", "Embarked", "AgeGroup", "FareGroup", "FamilyType", "Title_Grouped"}
     part = {r["key_name"] for r in profile_rates(df.drop("Name", "Fare"), "Survived", keys).collect()}
     assert part == full - {"FareGroup", "Title_Grouped"}
+
+
+def test_record_without_id(spark):
+    _, sc = _scorer(spark, "fitted")
+    form = spark.createDataFrame(
+        [(1, "Doe, Mrs. Jane", "female", 30.0, 1, 0, "113803", 53.1, "C123", "S")],
+        "Pclass int, Name string, Sex string, Age double, SibSp int, Parch int, "
+        "Ticket string, Fare double, Cabin string, Embarked string")
+    out = sc.score(form, "PassengerId")
+    assert out.columns == ["prediction", "p1", "confidence"] and out.count() == 1
+
+
+def test_every_model_kind_saves_and_loads(spark, tmp_path):
+    from cohort.operators import selection as SEL
+    df = _passengers(spark, 120, 1)
+    fp = FeaturePipeline(bins="fitted").fit(df)
+    fm = fp.transform(df).withColumnRenamed("Survived", "label").withColumnRenamed("PassengerId", "id")
+    prep = prepare(fm, FEATURE_NAMES, keep=["id", "label"])
+    data = prep.apply(fm).cache()
+    params = {"rf": {"n_estimators": 4}, "gb": {"n_estimators": 3}}
+    kinds = {k: fit_model(k, data, params.get(k)) for k in ("lr", "dt", "knn", "rf", "gb")}
+    kinds["vote"] = SEL.VotingModel({k: kinds[k] for k in ("lr", "dt", "knn")}, "soft")
+    kinds["stack"] = SEL.fit_stacking(["lr", "dt"], {}, data, 3)
+    batch = df.withColumnRenamed("PassengerId", "id")
+    fp.state["roles"]["id"] = "id"
+    for key, model in kinds.items():
+        sc = Scorer(fp, prep, key, model)
+        sc.save(str(tmp_path / key))
+        again = Scorer.load(spark, str(tmp_path / key))
+        a, b = (s.score(batch).orderBy("id").collect() for s in (sc, again))
+        assert a == b and len(a) == 120, key
+
+
+def test_batch_run_end_to_end(spark, tmp_path):
+    from cohort.operators.run import batch_run
+    from cohort.sources.files import read_csv
+    df = _passengers(spark, 150, 2)
+    r = batch_run(FeaturePipeline(), df, df.drop("Survived"), str(tmp_path), folds=3, background=10,
+                  grids={"lr": {"C": [1.0]}, "dt": {"max_depth": [2, 3]}})
+    assert r.key in ("lr", "dt") and r.comparison.count() == 3
+    sub = read_csv(spark, str(tmp_path / "submission"), "PassengerId int, Survived int")
+    assert sub.count() == 150 and r.attributions.count() == 150
+    again = Scorer.load(spark, str(tmp_path / "model")).score(df.drop("Survived"), "PassengerId")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, r.predictions.collect()))
+    assert set(r.profile_keys) <= {"AgeGroup", "FareGroup", "Sex", "Pclass", "Embarked"}
