@@ -99,8 +99,14 @@ def train(docs: DataFrame, p: Params = Params()) -> net.Weights | None:
         # a training text is a stretch about its first digit; scoring reads all
         F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 200), 2000)")
         .alias("text"))
-    sample = (map_arrow(candidates, spanned, "rank long, text string")
-              .orderBy("rank", "text").limit(p.sample_docs).collect())
+    spans = map_arrow(candidates, spanned, "rank long, text string")
+    # the hash is uniform, so a bound on it bounds what any number of tasks send
+    n = spans.count()
+    share = min(1.0, 2.0 * p.sample_docs / max(n, 1))
+    bound = min(2 ** 63 - 1, int(-2 ** 63 + share * 2 ** 64))
+    near = map_arrow(candidates.where(F.col("rank") <= bound), spanned, "rank long, text string")
+    sample = sorted(near.limit(4 * p.sample_docs).collect(),
+                    key=lambda r: (r["rank"], r["text"]))[:p.sample_docs]
     if not sample:
         return None
     x, y = training_windows([r["text"] for r in sample], p)
