@@ -23,7 +23,7 @@ from cohort.session import cut_lineage
 METRICS = ("f1_macro", "accuracy", "precision_macro", "recall_macro")
 # Independent fits are submitted from this many driver threads (like
 # CrossValidator's ``parallelism``); each fit is itself a distributed job.
-PARALLELISM = 4
+PARALLELISM = 8
 
 
 def run_parallel(fn, items, parallelism: int | None = None) -> list:
