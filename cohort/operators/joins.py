@@ -15,18 +15,39 @@ from pyspark.sql import functions as F
 from cohort.session import cut_lineage
 
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 128 << 20
 HOT_KEYS_MAX = 100_000
 
 
+def broadcast_fits(table: DataFrame, rows: int | None = None) -> bool:
+    """True if the table's counted rows and bytes (16 a value, and the length
+    of every string) are within the bounds."""
+    if rows is not None and rows > BROADCAST_ROWS:
+        return False
+    text = [c for c, t in table.dtypes if t == "string"]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(16 * len(table.columns)))
+    n, total = table.agg(F.count(F.lit(1)), F.sum(size.cast("bigint"))).first()
+    return n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES
+
+
 def lookup_join(df: DataFrame, table: DataFrame, on: list[str] | str,
                 table_rows: int | None = None, how: str = "left") -> DataFrame:
-    """Attach ``table`` (unique on ``on``) to ``df``; broadcast when the
-    table's row count is within bound, else a shuffle join (AQE splits
+    """Attach ``table`` (unique on ``on``) to ``df``; broadcast when its
+    counted rows and bytes are within bounds, else a shuffle join (AQE splits
     skewed partitions of ``df``)."""
-    n = table.count() if table_rows is None else table_rows
-    if n <= BROADCAST_ROWS:
-        return df.join(F.broadcast(table), on, how)
-    return df.join(table, on, how)
+    return df.join(F.broadcast(table) if broadcast_fits(table, table_rows) else table, on, how)
+
+
+def group_join(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with one row per group in ``table``, in which a null group
+    is a group; broadcast within the same bounds."""
+    right = table.withColumnsRenamed({k: f"__r_{k}" for k in on})
+    if broadcast_fits(right):
+        right = F.broadcast(right)
+    cond = F.col(on[0]).eqNullSafe(F.col(f"__r_{on[0]}"))
+    for k in on[1:]:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return df.join(right, cond).drop(*[f"__r_{k}" for k in on])
 
 
 def attach_counts(df: DataFrame, key: str, name: str,
@@ -42,8 +63,7 @@ def attach_counts(df: DataFrame, key: str, name: str,
     # read the same aggregate instead of scanning the input twice for it
     counts = cut_lineage(df.where(F.col(key).isNotNull()).groupBy(key)
                          .agg(F.count(F.lit(1)).alias(name)))
-    n_keys = counts.count()
-    if n_keys <= BROADCAST_ROWS:
+    if broadcast_fits(counts):
         return df.join(F.broadcast(counts), key, "left")
     total = df.count() if total_rows is None else total_rows
     threshold = max(1, total // HOT_KEYS_MAX)
@@ -51,5 +71,7 @@ def attach_counts(df: DataFrame, key: str, name: str,
     cold = counts.where(F.col(name) < threshold)
     tagged = df.join(F.broadcast(hot), key, "left")
     hot_rows = tagged.where(F.col(name).isNotNull())
-    cold_rows = tagged.where(F.col(name).isNull()).drop(name).join(cold, key, "left")
-    return hot_rows.unionByName(cold_rows)
+    rest = tagged.where(F.col(name).isNull())
+    cold_rows = rest.where(F.col(key).isNotNull()).drop(name).join(cold, key, "left")
+    # rows without a key go round the join instead of to one task of it
+    return hot_rows.unionByName(cold_rows).unionByName(rest.where(F.col(key).isNull()))

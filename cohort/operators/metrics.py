@@ -25,7 +25,7 @@ def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = (),
         classes = sorted(r[0] for r in df.select(label).union(df.select(pred)).distinct().collect()
                          if r[0] is not None)
     cl = F.array(*[F.lit(c) for c in classes])
-    grid = (df.select(*g).distinct() if g else df.sparkSession.range(1).select())
+    grid = (counts.select(*g).distinct() if g else df.sparkSession.range(1).select())
     grid = grid.select(*g, F.explode(cl).alias("label")).select(
         *g, "label", F.explode(cl).alias("prediction"))
     return grid.join(counts, g + ["label", "prediction"], "left").select(

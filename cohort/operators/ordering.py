@@ -18,8 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohort.operators.joins import lookup_join
 from cohort.session import cut_lineage
@@ -66,9 +69,43 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
         .rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.select("__pid", *g, *[F.coalesce(F.sum(f"__s_{v}").over(w), F.lit(0))
                                       .alias(f"__o_{v}") for v in vals])
-    wl = Window.partitionBy("__pid", *g).orderBy("__li").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = t.select("*", *[F.sum(v).over(wl).alias(f"__l_{v}") for v in vals])
+    # the rows lie sorted in their partitions: summed up in place, no shuffle
+    types = dict(df.dtypes)
+    kinds = {v: "double" if types[v] in ("float", "double") else "bigint" for v in vals}
+    fields = T.StructType([*t.schema.fields, *[T.StructField(
+        f"__l_{v}", T.DoubleType() if kinds[v] == "double" else T.LongType()) for v in vals]])
+    local = t.mapInArrow(_cumulate(g, vals, kinds), fields)
     out = lookup_join(local, offs, ["__pid", *g])
     return out.select(*df.columns, *[(F.col(f"__o_{v}") + F.col(f"__l_{v}")).alias(f"{prefix}{v}")
                                      for v in vals])
+
+
+def _cumulate(g: list[str], vals: list[str], kinds: dict[str, str]):
+    """mapInArrow body: inclusive sums that start over where the group
+    changes; the state at the end of a batch goes on into the next."""
+    def run(batches):
+        last, carry = None, [0] * len(vals)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            keys = list(zip(*(b.column(c).to_pylist() for c in g))) if g else [()] * n
+            start = np.fromiter((i for i in range(1, n) if keys[i] != keys[i - 1]), np.int64) \
+                if g else np.zeros(0, np.int64)
+            if last is not None and keys[0] != last:
+                carry = [0] * len(vals)
+            cols = []
+            for j, v in enumerate(vals):
+                kind = np.float64 if kinds[v] == "double" else np.int64
+                x = b.column(v).fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+                out = np.empty(n, kind)
+                for a, e in zip([0, *start], [*start, n]):
+                    out[a:e] = np.cumsum(x[a:e])
+                    if a == 0:
+                        out[a:e] += kind(carry[j])
+                carry[j] = out[-1]
+                cols.append(pa.array(out))
+            last = keys[-1]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *cols], [*b.schema.names, *(f"__l_{v}" for v in vals)])
+    return run

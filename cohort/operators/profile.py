@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohort.operators.joins import lookup_join
+from cohort.operators.joins import group_join, lookup_join
 from cohort.operators.quantiles import exact_quantiles
+from cohort.session import cut_lineage
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -61,20 +62,25 @@ def describe_all(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     Top is the most frequent value, smallest on a tie."""
     cols = list(cols or df.columns)
     num = [c for c in cols if c in numeric_columns(df)]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("s"),
-                 (F.col(c).cast("double") if c in num else F.lit(None).cast("double")).alias("x"))
-        for c in cols])).alias("__s")).select("__s.*")
-    vc = (long.where(F.col("s").isNotNull()).groupBy("column", "s")
+    text = [c for c in cols if c not in num]
+    # values are counted for text columns only; numbers need their moments
+    long_t = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("s"))
+        for c in text or cols])).alias("__s")).select("__s.*").where(F.col("column").isin(text))
+    vc = (long_t.where(F.col("s").isNotNull()).groupBy("column", "s")
           .agg(F.count(F.lit(1)).alias("n")))
     cat = vc.groupBy("column").agg(
-        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
+        F.sum("n").alias("tcount"), F.count(F.lit(1)).alias("unique"),
         F.min_by("s", F.struct(-F.col("n"), F.col("s"))).alias("top"),
         F.max("n").alias("freq"))
-    stats = long.where(F.col("x").isNotNull()).groupBy("column").agg(
-        F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
-    q = (exact_quantiles(long.where(F.col("x").isNotNull()), "x", [0.25, 0.5, 0.75], ["column"])
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+        for c in num or cols])).alias("__s")).select("__s.*") \
+        .where(F.col("x").isNotNull() & F.col("column").isin(num))
+    stats = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("ncount"), F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = (exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["column"])
          .groupBy("column").pivot("q_idx", [0, 1, 2]).agg(F.first("value")))
     q = q.select("column", F.col("0").alias("q25"), F.col("1").alias("q50"), F.col("2").alias("q75"))
     names = df.sparkSession.createDataFrame([(c, c in num) for c in cols],
@@ -83,7 +89,7 @@ def describe_all(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
            .join(q, "column", "left"))
     isn = F.col("is_numeric")
     return out.select(
-        "column", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+        "column", F.coalesce("tcount", "ncount", F.lit(0)).cast("long").alias("count"),
         F.when(~isn, F.col("unique")).cast("long").alias("unique"),
         F.when(~isn, F.col("top")).alias("top"),
         F.when(~isn, F.col("freq")).cast("long").alias("freq"),
@@ -178,31 +184,38 @@ def histogram(df: DataFrame, x: str, hue: str | None = None, bins: int = 30) ->
                          "hue", "n")
 
 
-def _density_partials(stats: pd.DataFrame, grid: int, group_cols: list[str]):
-    """mapInPandas body: per partition, sum Gaussian kernels of the
-    (value, count) rows on each group's grid."""
-    key_of = {tuple(r[g] for g in group_cols): r for _, r in stats.iterrows()}
+#: Groups whose partial densities a task holds before it hands them on.
+GROUPS_HELD = 1000
+
+
+def _density_partials(grid: int, group_cols: list[str]):
+    """mapInPandas body: sums of Gaussian kernels of the (value, count) rows
+    on their group's grid."""
+    def rows(acc):
+        for key, tot in acc.items():
+            out = {g: [k] * grid for g, k in zip(group_cols, key)}
+            out["grid_idx"] = np.arange(grid, dtype="int32")
+            out["partial"] = tot
+            yield pd.DataFrame(out)
 
     def run(batches):
         acc: dict = {}
         for pdf in batches:
             for key, part in pdf.groupby(group_cols, dropna=False, sort=False):
-                key = key if isinstance(key, tuple) else (key,)
-                st = key_of.get(key)
-                if st is None or not (st["bw"] > 0):
-                    continue
-                pts = np.linspace(st["gmin"], st["gmax"], grid)
+                key = tuple(None if isinstance(k, float) and np.isnan(k) else k
+                            for k in (key if isinstance(key, tuple) else (key,)))
+                bw = part["bw"].iloc[0]
+                pts = np.linspace(part["gmin"].iloc[0], part["gmax"].iloc[0], grid)
                 xv = part["x"].to_numpy(dtype="float64")
                 w = part["n"].to_numpy(dtype="float64")
                 tot = acc.setdefault(key, np.zeros(grid))
                 for s in range(0, len(xv), 4096):
-                    z = (pts[None, :] - xv[s:s + 4096, None]) / st["bw"]
+                    z = (pts[None, :] - xv[s:s + 4096, None]) / bw
                     tot += (w[s:s + 4096, None] * np.exp(-0.5 * z * z)).sum(axis=0)
-        for key, tot in acc.items():
-            out = {g: [k] * grid for g, k in zip(group_cols, key)}
-            out["grid_idx"] = np.arange(grid, dtype="int32")
-            out["partial"] = tot
-            yield pd.DataFrame(out)
+            if len(acc) >= GROUPS_HELD:
+                yield from rows(acc)
+                acc = {}
+        yield from rows(acc)
     return run
 
 
@@ -211,7 +224,10 @@ def kde(df: DataFrame, x: str, group_cols: Sequence[str], grid: int = 200,
     """Gaussian KDE per group with Scott's bandwidth
     (sample std x n^(-1/5)), a ``grid``-point support from min - cut*bw to
     max + cut*bw; with ``common_norm`` each group's density is scaled by its
-    share of all rows. Values are first compressed to (group, value, count)."""
+    share of all rows. Values are first compressed to (group, value, count);
+    the groups' statistics stay a table, whatever their number. A null group is
+    a group. A group of one row or of one value has no bandwidth: it gives one
+    row with its value and a null density."""
     g = list(group_cols)
     xs = F.col(x).cast("double")
     base = df.select(*g, xs.alias("x")).where(F.col("x").isNotNull())
@@ -219,23 +235,25 @@ def kde(df: DataFrame, x: str, group_cols: Sequence[str], grid: int = 200,
     st = base.groupBy(*g).agg(
         F.count(F.lit(1)).cast("double").alias("cnt"), F.stddev_samp("x").alias("sd"),
         F.min("x").alias("xmin"), F.max("x").alias("xmax"))
-    stats = st.toPandas()  # one row per group (groups are few: checked below)
-    if len(stats) > 100_000:
-        raise ValueError("too many groups for a per-group density grid")
-    total = float(stats["cnt"].sum()) if len(stats) else 0.0
-    stats["bw"] = stats["sd"].fillna(0.0) * stats["cnt"] ** (-0.2)
-    stats["gmin"] = stats["xmin"] - cut * stats["bw"]
-    stats["gmax"] = stats["xmax"] + cut * stats["bw"]
+    bw = F.col("sd") * F.pow("cnt", F.lit(-0.2))
+    st = cut_lineage(st.withColumn("bw", bw).select(
+        *g, "cnt", "bw", "xmin", (F.col("xmin") - F.lit(cut) * F.col("bw")).alias("gmin"),
+        (F.col("xmax") + F.lit(cut) * F.col("bw")).alias("gmax")))
+    total = st.agg(F.sum("cnt")).first()[0] or 0.0
+    spread = st.where("bw > 0")
     schema = T.StructType([f for f in comp.schema.fields if f.name in g] + [
         T.StructField("grid_idx", T.IntegerType()), T.StructField("partial", T.DoubleType())])
-    parts = comp.mapInPandas(_density_partials(stats, grid, g), schema)
+    parts = group_join(comp, spread, g).mapInPandas(_density_partials(grid, g), schema)
     sums = parts.groupBy(*g, "grid_idx").agg(F.sum("partial").alias("ksum"))
-    sp = df.sparkSession.createDataFrame(stats[g + ["cnt", "bw", "gmin", "gmax"]])
     norm = F.lit(total) if common_norm else F.col("cnt")
     step = (F.col("gmax") - F.col("gmin")) / F.lit(grid - 1)
-    return (sums.join(F.broadcast(sp), g).select(
+    dense = group_join(sums, spread, g).select(
         *g, "grid_idx", (F.col("gmin") + F.col("grid_idx") * step).alias("x"),
-        (F.col("ksum") / (norm * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))).alias("density")))
+        (F.col("ksum") / (norm * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+    flat = st.where("bw IS NULL OR NOT bw > 0").select(
+        *g, F.lit(0).alias("grid_idx"), F.col("xmin").alias("x"),
+        F.lit(None).cast("double").alias("density"))
+    return dense.unionByName(flat)
 
 
 def box_stats(df: DataFrame, x: str, group_cols: Sequence[str], whisker: float = 1.5) -> DataFrame:
