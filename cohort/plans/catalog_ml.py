@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohort.operators import aggregate as A
 from cohort.operators import explain as X
 from cohort.operators import selection as SEL
+from cohort.operators.folds import hash_folds
 from cohort.operators.knn import KNNClassifier
 from cohort.operators.models import (APP_GRIDS, DEFAULT_PARAMS, KEYS, MODEL_NAMES, fit_model,
                                      prepare, scored)
@@ -97,6 +98,40 @@ def grid_search(spark, sf):
     return table
 
 
+def _knn_data(spark, sf):
+    """Embeddings with three hashed folds: neighbours, folds and metrics are
+    all exact, so SQL can state the whole selection."""
+    return hash_folds(embeddings_matrix(spark, sf), "id", 3)
+
+
+KNN_GRID = {"n_neighbors": [3, 5, 7], "weights": ["uniform"]}
+
+
+def _rounded(df, *keep):
+    return df.select(*[c if c in keep else F.round(F.col(c), 6).alias(c) for c in df.columns])
+
+
+@query("knn_grid_search")
+def knn_grid_search(spark, sf):
+    """V2: k in {3, 5, 7}, 3 folds, four metrics, exact k-NN on embeddings."""
+    t, _, _ = SEL.grid_search("knn", KNN_GRID, _knn_data(spark, sf), 3, refit=False)
+    return _rounded(t, "model", "candidate", "params")
+
+
+@query("knn_train_selected")
+def knn_train_selected(spark, sf):
+    """The chosen candidate over k-NN grids (first best macro-F1)."""
+    t, _, _, _ = SEL.search_all({"knn": KNN_GRID}, _knn_data(spark, sf), 3)
+    return t.where("chosen").select("model", "candidate", "params")
+
+
+@query("knn_validation_curve")
+def knn_validation_curve(spark, sf):
+    """V9: training and validation macro-F1 by number of neighbours."""
+    t = SEL.validation_curve("knn", "n_neighbors", [3, 5, 7], _knn_data(spark, sf), 3)
+    return _rounded(t, "param_value")
+
+
 def _results(spark, sf, names, folds=3):
     data, _, _ = ml_data(spark, sf, folds)
 

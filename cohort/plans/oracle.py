@@ -168,6 +168,42 @@ ORACLE["clf_knn_exact"] = """WITH e AS (SELECT vec_id, label, CAST(embedding AS
   SELECT e.vec_id, e.label, CAST(best.prediction AS INT) AS prediction FROM e JOIN best ON e.vec_id = best.q"""
 
 
+_KNN_CTES = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v,
+    CAST(('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT % 3 AS INT) AS own FROM embeddings),
+  f AS (SELECT unnest([0, 1, 2]) AS fold),
+  d AS (SELECT a.id AS q, b.id AS t, a.own AS q_own, b.own AS t_own, a.label AS y, b.label AS tl,
+          list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2
+        FROM e a JOIN e b ON true),
+  r AS (SELECT fold, CASE WHEN q_own = fold THEN 'validation' ELSE 'train' END AS part, q, y, tl,
+          row_number() OVER (PARTITION BY fold, q ORDER BY d2, t) AS rn
+        FROM d JOIN f ON t_own <> fold),
+  p AS (SELECT k, fold, part, q, y, first(tl ORDER BY c DESC, tl) AS p FROM (
+          SELECT k, fold, part, q, y, tl, count(*) AS c FROM r, (VALUES (3), (5), (7)) g(k)
+          WHERE rn <= k GROUP BY ALL) GROUP BY k, fold, part, q, y),
+  cl AS (SELECT k, fold, part, c, sum(a) AS actual, sum(b) AS predicted, sum(tp) AS tp FROM (
+          SELECT k, fold, part, y AS c, 1 AS a, 0 AS b, CAST(y = p AS INT) AS tp FROM p
+          UNION ALL SELECT k, fold, part, p, 0, 1, 0 FROM p) GROUP BY ALL),
+  pr AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS prec,
+          CASE WHEN actual > 0 THEN tp / actual ELSE 0 END AS rec FROM cl),
+  m AS (SELECT k, fold, part, sum(tp) / sum(actual) AS accuracy, avg(prec) AS prec, avg(rec) AS rec,
+          avg(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END) AS f1
+        FROM pr GROUP BY ALL),
+  cv AS (SELECT 'knn' AS model, CAST((k - 3) / 2 AS INT) AS candidate,
+          '{''n_neighbors'': ' || k || ', ''weights'': ''uniform''}' AS params, avg(f1) AS f1_macro,
+          avg(accuracy) AS accuracy, avg(prec) AS precision_macro, avg(rec) AS recall_macro
+        FROM m WHERE part = 'validation' GROUP BY k)"""
+ORACLE["knn_grid_search"] = f"""WITH {_KNN_CTES} SELECT model, candidate, params,
+  round(f1_macro, 6) AS f1_macro, round(accuracy, 6) AS accuracy,
+  round(precision_macro, 6) AS precision_macro, round(recall_macro, 6) AS recall_macro FROM cv"""
+ORACLE["knn_train_selected"] = f"""WITH {_KNN_CTES} SELECT model, candidate, params FROM cv
+  ORDER BY round(f1_macro, 12) DESC, candidate LIMIT 1"""
+ORACLE["knn_validation_curve"] = f"""WITH {_KNN_CTES} SELECT CAST(k AS DOUBLE) AS param_value,
+  round(avg(f1) FILTER (WHERE part = 'train'), 6) AS train_mean,
+  round(stddev_pop(f1) FILTER (WHERE part = 'train'), 6) AS train_std,
+  round(avg(f1) FILTER (WHERE part = 'validation'), 6) AS validation_mean,
+  round(stddev_pop(f1) FILTER (WHERE part = 'validation'), 6) AS validation_std FROM m GROUP BY k"""
+
+
 def _unsigned_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + CAST(0 AS DOUBLE))``.
     DuckDB rounds a tiny negative to -0.0, Spark's decimal rounding gives
