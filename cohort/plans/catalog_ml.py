@@ -196,7 +196,7 @@ def learning_curve(spark, sf):
 
 
 # The parameter ranges of the validation curves.
-CURVES = {"dt": ("max_depth", [2, 3, 5, 7, 10, 12]), "rf": ("max_depth", [2, 3, 5, 7, 10, 12]),
+CURVES = {"dt": ("max_depth", [2, 3, 5, 7, 10, 12]), "rf": ("max_depth", [3, 5, 7, 10, 12, 15]),
           "gb": ("n_estimators", [50, 100, 150, 200, 250])}
 
 
