@@ -10,9 +10,9 @@ of marginals and its score that sum per word.
 
 Training sequences are made from stretches of labelled documents of different
 languages put in a row, so that word labels and switches are known. The sample
-is bounded: the ``max_langs`` most frequent languages, ``per_lang`` documents of
-each, by lowest hash, ``stretches`` of at most ``stretch_words`` words of a
-document. Scoring reads whole texts where they lie; nothing is shuffled, and
+is bounded per language, and every language of the rows is learned: ``per_lang``
+documents of each, by lowest hash, ``stretches`` of at most ``stretch_words``
+words of a document; the number of sequences follows that of languages. Scoring reads whole texts where they lie; nothing is shuffled, and
 the model is a table of 2**``hash_bits`` rows.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
@@ -42,16 +42,17 @@ UNKNOWN = "und"
 class Params:
     hash_bits: int = 16
     ngrams: tuple[int, ...] = (2, 3, 4)
-    max_langs: int = 64
     per_lang: int = 300
     stretches: int = 4
     stretch_words: int = 40
-    sequences: int = 3000
+    sequences: int = 3000       # at least
+    sequences_per_lang: int = 50
     sequence_words: int = 48
     epochs: int = 8
     rate: float = 0.3
     cache_words: int = 400_000
     chunk_bytes: int = 8 << 20
+    full_langs: int = 8         # with more languages chunks and cache shrink in proportion
 
 
 def words_of(text: str | None) -> list[str]:
@@ -159,7 +160,7 @@ def make_sequences(stretches: dict[str, list[list[str]]], p: Params):
     """Rows of words and labels: stretches of random languages one after another."""
     rng, langs = random.Random(13), sorted(stretches)
     seqs, labels = [], []
-    for _ in range(p.sequences):
+    for _ in range(max(p.sequences, p.sequences_per_lang * len(langs))):
         ws: list[str] = []
         ys: list[int] = []
         while len(ws) < p.sequence_words:
@@ -219,16 +220,16 @@ def train(docs: DataFrame, p: Params = Params()) -> Model | None:
     source = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL") \
         .where(~held_out(F.col("doc_id"))).select(F.col("lang").cast("string"), "doc_id", "text")
     counts = (source.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(p.max_langs).collect())
+              .orderBy("lang").collect())
     if not counts:
         return None
     # a bound on a uniform hash per language keeps what is collected bounded
     rank = F.xxhash64(F.col("doc_id").cast("string"))
-    bound = F.lit(None).cast("long")
+    bounds = []
     for r in counts:
         share = min(1.0, 1.5 * p.per_lang / r["n"])
-        bound = F.when(F.col("lang") == r["lang"],
-                       F.lit(min(2 ** 63 - 1, int(-2 ** 63 + share * 2 ** 64)))).otherwise(bound)
+        bounds.append((r["lang"], min(2 ** 63 - 1, int(-2 ** 63 + share * 2 ** 64))))
+    limits = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
@@ -240,7 +241,8 @@ def train(docs: DataFrame, p: Params = Params()) -> Model | None:
         yield pa.RecordBatch.from_arrays(
             [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()),
              pa.array([o[2] for o in out], pa.list_(pa.string()))], ["lang", "rank", "parts"])
-    few = source.select("lang", rank.alias("rank"), "doc_id", "text").where(F.col("rank") <= bound)
+    few = (source.join(F.broadcast(limits), "lang").withColumn("rank", rank)
+           .where("rank <= bound").select("lang", "rank", "doc_id", "text"))
     rows = map_arrow(few, cut, "lang string, rank long, parts array<string>") \
         .limit(4 * p.per_lang * len(counts)).collect()
     found: dict[str, list[list[str]]] = {}
@@ -254,19 +256,25 @@ def train(docs: DataFrame, p: Params = Params()) -> Model | None:
 
 # -- scoring ------------------------------------------------------------------
 
+def _room(model: Model | None, p: Params) -> float:
+    """Share of the words held at once that as many languages leave room for."""
+    return min(1.0, p.full_langs / len(model.langs)) if model is not None else 1.0
+
+
 class Labeller:
     """Word marginals of texts; keeps the emissions of at most ``cache_words``
-    words."""
+    words (fewer with many languages)."""
 
     def __init__(self, model: Model, p: Params):
         self.model, self.p = model, p
         self.number: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.langs)), np.float32)
         self.used = 0
+        self.cache_words = int(p.cache_words * _room(model, p))
 
     def look_up(self, words: list[str]) -> np.ndarray:
         new = list({w for w in words if w not in self.number})
-        if self.used + len(new) > self.p.cache_words:
+        if self.used + len(new) > self.cache_words:
             self.number.clear()
             self.used = 0
             new = list(set(words))
@@ -317,7 +325,7 @@ def identify(docs: DataFrame, p: Params = Params(), model: Model | None = None)
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if model is not None and not labellers:
             labellers.append(Labeller(model, p))
-        for c in chunks(batch, limit=p.chunk_bytes):
+        for c in chunks(batch, limit=int(p.chunk_bytes * _room(model, p))):
             texts = c.column(1).to_pylist()
             langs, s = labellers[0].predict(texts) if labellers else \
                 ([UNKNOWN] * len(texts), np.zeros(len(texts)))

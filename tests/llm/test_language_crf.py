@@ -132,3 +132,18 @@ def test_null_letterless_long_repeated_empty(spark, model):
     assert L.train(df, P) is None
     assert {r.lang_pred for r in L.identify(df, P).collect()} == {"und"}
     assert L.identify(df.where("false"), P).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    # 70 languages, each with words of its own; the last ones are the rarest
+    rng = random.Random(4)
+    rows = []
+    for k in range(70):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        for _ in range(12 if k < 64 else 8):
+            rows.append((len(rows), " ".join(rng.choice(own) for _ in range(25)), "x", f"l{k:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, lang string")
+    p = L.Params(hash_bits=13, per_lang=20, epochs=3)
+    got = {r.doc_id: r.lang_pred for r in L.identify(docs, p).collect()}
+    assert set(got.values()) == {r[3] for r in rows}
+    assert sum(got[r[0]] == r[3] for r in rows) > 0.95 * len(rows)
