@@ -3,8 +3,8 @@
 Documents are tokenised where they lie; from then on only piece descriptions
 (id, piece, start, length, checksum) move. The pieces are range-sorted by
 length, so a length holds a contiguous run of ranks however many partitions it
-spans, and so do the gaps of equal size. The sweeps work on these runs instead
-of on rows: a round takes the run of the longest unplaced pieces, finds by a
+spans; gaps of equal size are runs too, in a list on the driver. The best-fit
+loop runs there, on these runs instead of on rows: a round takes the run of the longest unplaced pieces, finds by a
 successor search the run of the smallest gaps that hold it, places as many as
 both runs have at once (the k-th ranked piece into the k-th ranked gap, which
 settles every conflict), returns the smaller gaps to the sorted list, and
