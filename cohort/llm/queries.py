@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import (bpe, exact_dedup, html_extract, language_crf, ordinal_quality, packing,
-                        pii, quality_rules, simhash, toxicity)
+from cohort.llm import (bpe, exact_dedup, html_extract, language_crf, line_dedup, ordinal_quality,
+                        packing, pii, quality_rules, simhash, toxicity)
 from cohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,27 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.classify(table(spark, sf_dir, "documents"),
                                     table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+_LINE = line_dedup.Params()
+_TRIM = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+ORACLE_SQL["op12_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, string_split(t, chr(10)) AS ls FROM d),
+l AS (SELECT rid, doc_id, t, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM s),
+k AS (SELECT *, translate(trim(line, {_TRIM}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE length(key) >= {_LINE.min_chars} GROUP BY key
+      HAVING count(DISTINCT (doc_id, t)) >= {_LINE.min_docs}),
+m AS (SELECT k.*, f.key IS NULL AS stays FROM k LEFT JOIN f ON f.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines,
+       count(*) FILTER (NOT stays)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
+FROM m GROUP BY rid
+"""
