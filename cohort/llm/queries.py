@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohort.llm import (bpe, exact_dedup, html_extract, language_crf, line_dedup, ordinal_quality,
-                        packing, pii, quality_rules, simhash, toxicity)
+from cohort.llm import (bpe, exact_dedup, hard_negatives, html_extract, language_crf, line_dedup,
+                        merkle, ordinal_quality, packing, pii, quality_rules, simhash, toxicity)
 from cohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +184,92 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
 FROM m GROUP BY rid
 """
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.audit(docs, merkle.every_fifth(F.col("doc_id")))
+
+
+def _merkle_sql(arity: int = 16, levels: int = 8) -> str:
+    """The trees level by level, enough for arity ** levels rows a source."""
+    def field(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = ("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    bits = ", ".join(["-1"] * 8)
+    crc = (f"""xor(list_reduce(flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1),
+        lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, {bits}])),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384)
+                          ELSE a // 2 END, 4294967295::BIGINT), 4294967295::BIGINT)""")
+    sql = [f"""leaves AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, '') AS k,
+        sha256({head} || {field('text')}) AS leaf,
+        CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0
+             THEN sha256({head} || {field(low)}) END AS bad FROM documents)""",
+           """a0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k
+               ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY k) AS m,
+               leaf AS d, rid FROM leaves)""",
+           """ta0 AS (SELECT l.rid, l.doc_id, l.k, l.leaf, a0.pos, coalesce(l.bad, l.leaf) AS cur,
+               '' AS proof FROM leaves l JOIN a0 ON a0.rid = l.rid)"""]
+
+    def climb(t: str) -> None:
+        for i in range(levels):
+            run = f"PARTITION BY k, pos // {arity} ORDER BY pos ROWS BETWEEN"
+            sql.append(f"""{t}g{i} AS (SELECT k, pos, m,
+                coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS bef,
+                coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS aft
+                FROM {t}{i})""")
+            sql.append(f"""t{t}{i + 1} AS MATERIALIZED (SELECT x.* EXCLUDE (pos, cur, proof),
+                x.pos // {arity} AS pos, x.proof || bef || aft AS proof,
+                CASE WHEN m = 1 THEN cur ELSE sha256(bef || cur || aft) END AS cur
+                FROM t{t}{i} x JOIN {t}g{i} g ON g.k = x.k AND g.pos = x.pos)""")
+            sql.append(f"""{t}{i + 1} AS MATERIALIZED (SELECT k, pos // {arity} AS pos,
+                (any_value(m) + {arity - 1}) // {arity} AS m, CASE WHEN any_value(m) = 1
+                THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d
+                FROM {t}{i} GROUP BY k, pos // {arity})""")
+    climb("a")
+    sql.append(f"""b0 AS MATERIALIZED (SELECT '' AS k, k AS source, d, count(*) OVER () AS m,
+        row_number() OVER (ORDER BY k) - 1 AS pos FROM a{levels})""")
+    sql.append(f"""tb0 AS (SELECT x.rid, x.doc_id, '' AS k, x.leaf, b0.d AS subroot, b0.pos, x.cur, x.proof
+        FROM ta{levels} x JOIN b0 ON b0.source = x.k)""")
+    climb("b")
+    return "WITH " + ",\n".join(sql) + f"""
+SELECT x.doc_id, x.leaf, x.subroot, r.d AS root, sha256(x.proof) AS proof_sha256,
+       x.cur AS folded_root, x.cur = r.d AS verified FROM tb{levels} x CROSS JOIN b{levels} r
+"""
+
+
+ORACLE_SQL["op11_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, vec_id % 100 == 0)
+
+
+_HARD = hard_negatives.Params()
+
+ORACLE_SQL["op13_hard_negatives"] = f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             embedding::DOUBLE[] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT vec_id, label, list_transform(v, lambda x: floor({_HARD.scale} * x)) AS q FROM e
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+        list_dot_product(a.q, r.q)::BIGINT AS score
+      FROM r a JOIN r ON r.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {_HARD.positives}),
+n AS (SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score,
+        s.score AS negative_score, row_number() OVER (
+          PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+        AND {_HARD.low} * positive_score <= 100 * s.score AND 100 * s.score <= {_HARD.high} * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= {_HARD.negatives}
+"""
