@@ -1,103 +1,244 @@
 """Exact k-nearest-neighbour classification (Euclidean, uniform or
-distance weights).
-
-Both sides are dealt into blocks of at most ``BLOCK_ROWS`` rows by a hash of
-the row, and each pair of a query block and a training block meets in one
-cogroup: distances in NumPy, the k best candidates of each query out. No block
-passes through the driver and no query x train pair becomes a row. With more
-than one training block the candidates (k per query and block) are merged per
-query. A query row travels with its candidates, so nothing is joined back and
-ids may repeat. Squared distances are summed dimension by dimension in order,
-so ties compare the same way as a SQL ``sum`` over the dimensions; equal
-distances go by training id.
+distance weights) over a metric partition.
+
+Fit: pivots from a bounded sample cut the training rows into cells by their
+nearest pivot and, by distance to it, into blocks of about ``BLOCK_ROWS`` rows; a
+block that a frequent vector makes larger is split by hash. Each block keeps its
+number of rows, its bounding box and the least and greatest distance to every
+pivot; these bounds (at most ``2 * MAX_BLOCKS`` blocks) go to every task.
+
+Search, in two rounds of cogroups by block: a query first meets the block with
+the lowest bound, which gives its k-th distance; then only the blocks whose
+lower bound does not exceed that. Bounds are safe against rounding, so the result is
+that of comparing all pairs. A block that many queries meet is copied to as
+many tasks as it needs, so no task gets more than about ``BLOCK_ROWS`` queries.
+
+Inside a task a matrix product finds the candidates, with a margin for its
+rounding, and their squared distances are then summed dimension by dimension in
+order, so ties compare the same way as a SQL ``sum`` over the dimensions; equal
+distances go by training id. A query row travels with its candidates, so nothing
+is joined back and ids may repeat.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cohort.operators.shared_pass import matrix
 from cohort.session import cut_lineage
 
-BLOCK_ROWS = 8192
-QUERY_CHUNK_ELEMS = 4_000_000
+BLOCK_ROWS = 2048
+MAX_BLOCKS = 8192
+PIVOTS = 64
+SAMPLE_ROWS = 4096
+CHUNK_ELEMS = 4_000_000
 MAX_CLASSES = 1000
+#: Share by which a bound or an approximate distance may be off.
+SLACK = 1e-11
+
+
+# ---------------------------------------------------------------- partition
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Approximate squared distances of all pairs."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
+
+
+def find_pivots(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """k-means centres from farthest-first starts."""
+    start, d = [0], squared(x, x[:1])[:, 0]
+    while len(start) < min(k, len(x)) and d.max() > 0:
+        start.append(int(d.argmax()))
+        d = np.minimum(d, squared(x, x[start[-1:]])[:, 0])
+    c = x[start].copy()
+    for _ in range(rounds):
+        own = squared(x, c).argmin(axis=1)
+        for j in range(len(c)):
+            if (own == j).any():
+                c[j] = x[own == j].mean(axis=0)
+    return c
+
+
+@dataclass
+class Partition:
+    """Pivots, for each the distances at which its cell is cut, and the number
+    of the first block of each cell."""
+    pivots: np.ndarray
+    edges: list
+    first: np.ndarray
+
+    @classmethod
+    def fit(cls, x: np.ndarray, n_blocks: int) -> "Partition":
+        pivots = find_pivots(x, min(PIVOTS, n_blocks))
+        d = np.sqrt(squared(x, pivots))
+        own = d.argmin(axis=1)
+        edges = []
+        for j in range(len(pivots)):
+            mine = np.sort(d[own == j, j])
+            m = max(1, round(n_blocks * len(mine) / len(x)))
+            edges.append(np.unique(mine[(np.arange(1, m) * len(mine)) // m]) if m > 1 else np.zeros(0))
+        return cls(pivots, edges, np.cumsum([0, *(len(e) + 1 for e in edges)]))
+
+    def block(self, x: np.ndarray) -> np.ndarray:
+        d = np.sqrt(squared(x, self.pivots))
+        own = d.argmin(axis=1)
+        out = np.zeros(len(x), np.int64)
+        for j in np.unique(own):
+            rows = own == j
+            out[rows] = self.first[j] + np.searchsorted(self.edges[j], d[rows, j], side="right")
+        return out
+
 
+@dataclass
+class Bounds:
+    """Per block: its number, rows, bounding box and distances to the pivots."""
+    block: np.ndarray
+    rows: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    pivots: np.ndarray
 
-def _smallest(d2: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k smallest entries of each row, by (value, column)."""
-    rows, n = d2.shape
-    k = min(k, n)
-    part = np.argpartition(d2, k - 1, axis=1)[:, :k] if k < n else \
-        np.broadcast_to(np.arange(n), (rows, n)).copy()
-    limit = np.take_along_axis(d2, part, 1).max(axis=1, keepdims=True)
-    tied = np.nonzero((d2 <= limit).sum(axis=1) > k)[0]
-    if len(tied):  # the limit is shared with entries left out: lowest columns first
-        d, lim = d2[tied], limit[tied]
-        less, same = d < lim, d == lim
-        fill = same & (np.cumsum(same, axis=1) <= k - less.sum(axis=1, keepdims=True))
-        part[tied] = np.nonzero(less | fill)[1].reshape(len(tied), k)
-    part.sort(axis=1)
-    order = np.argsort(np.take_along_axis(d2, part, 1), axis=1, kind="stable")
-    return np.take_along_axis(part, order, 1)
+    def lower(self, q: np.ndarray) -> np.ndarray:
+        """Safe lower bounds of the squared distances, queries x blocks."""
+        box = np.zeros((len(q), len(self.block)))
+        for j in range(q.shape[1]):
+            v = q[:, j, None]
+            gap = np.maximum(self.low[None, :, j] - v, v - self.high[None, :, j])
+            np.maximum(gap, 0.0, out=gap)
+            box += gap * gap
+        d = np.sqrt(squared(q, self.pivots))
+        ring = np.zeros_like(box)
+        for p in range(len(self.pivots)):
+            v = d[:, p, None]
+            np.maximum(ring, np.maximum(self.near[None, :, p] - v, v - self.far[None, :, p]), out=ring)
+        # distances to pivots come from a matrix product: off by the root of its rounding
+        size = (q * q).sum(1)[:, None] + (self.pivots * self.pivots).sum(1).max()
+        ring = np.maximum(ring - 2 * np.sqrt(SLACK * size), 0.0)
+        return np.maximum(box * (1 - 1e-9), ring * ring * (1 - 1e-9))
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    f = t.column("f").combine_chunks()
-    return f.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1)
+# ---------------------------------------------------------------- in a task
+
+def nearest(a: np.ndarray, x: np.ndarray, k: int, limit: np.ndarray | None = None,
+            same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, column, squared distance) of each query's k nearest rows of
+    ``x`` by (distance, column), at most ``limit`` away; pairs in ``same`` are left
+    out. Queries ascend, their neighbours by distance."""
+    d = squared(a, x)
+    if same is not None:
+        d[same] = np.inf
+    margin = SLACK * ((a * a).sum(1) + (x * x).sum(1).max(initial=0.0)) + 1e-300
+    reach = np.full(len(a), np.inf)
+    if len(x) > k:
+        reach = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * margin
+    if limit is not None:
+        reach = np.minimum(reach, limit + margin)
+    i, j = np.nonzero((d <= reach[:, None]) & (d < np.inf))
+    exact = np.zeros(len(i))
+    for c in range(a.shape[1]):  # in dimension order
+        diff = a[i, c] - x[j, c]
+        exact += diff * diff
+    if limit is not None:
+        ok = exact <= limit[i]
+        i, j, exact = i[ok], j[ok], exact[ok]
+    order = np.lexsort((j, exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = rank < k
+    return i[keep], j[keep], exact[keep]
 
 
 def _meet(k: int, exclude_self: bool, schema: pa.Schema):
-    """cogroup body: one query block against one training block. Query rows
-    pass through as they are."""
+    """cogroup body: queries against one block; their other columns pass."""
     def run(q: pa.Table, t: pa.Table) -> pa.Table:
         if not q.num_rows:
             return schema.empty_table()
-        d_out, t_out, l_out = ([[]] * q.num_rows for _ in range(3))
+        parts = []
         if t.num_rows:
-            tid = t.column("tid").to_numpy()
-            order = np.argsort(tid, kind="stable")  # columns in id order
-            tid, x, y = tid[order], _matrix(t)[order], t.column("y").to_numpy()[order]
-            a, qid = _matrix(q), q.column("qid").to_numpy()
-            m = max(1, QUERY_CHUNK_ELEMS // len(x))
+            t = t.take(pc.sort_indices(t.column("tid")))  # columns in id order
+            x, a = matrix(t.column("f")), matrix(q.column("f"))
+            limit = None if "kth" not in q.column_names else q.column("kth").to_numpy()
+            m = max(1, CHUNK_ELEMS // len(x))
             for s in range(0, len(a), m):
-                part = a[s:s + m]
-                d2 = np.zeros((len(part), len(x)))
-                for j in range(x.shape[1]):  # in dimension order
-                    diff = part[:, j:j + 1] - x[None, :, j]
-                    d2 += diff * diff
+                same = None
                 if exclude_self:
-                    d2[qid[s:s + m][:, None] == tid[None, :]] = np.inf
-                best = _smallest(d2, k)
-                dist = np.take_along_axis(d2, best, 1)
-                for r in range(len(part)):
-                    ok = np.isfinite(dist[r])
-                    d_out[s + r] = np.sqrt(dist[r][ok])
-                    t_out[s + r], l_out[s + r] = tid[best[r][ok]], y[best[r][ok]]
+                    qid, tid = q.column("qid").slice(s, m).to_numpy(), t.column("tid").to_numpy()
+                    same = qid[:, None] == tid[None, :]
+                i, j, d = nearest(a[s:s + m], x, k, None if limit is None else limit[s:s + m], same)
+                parts.append((i + s, j, d))
+        i, j, d = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros(0, int),) * 3
+        offs = pa.array(np.searchsorted(i, np.arange(q.num_rows + 1)), pa.int32())
+        lists = {"d": pa.array(np.asarray(d, float))}
+        if t.num_rows:
+            lists |= {"t": t.column("tid").take(pa.array(j)).combine_chunks(),
+                      "l": t.column("y").take(pa.array(j)).combine_chunks()}
+        else:
+            lists |= {n: pa.array([], schema.field(n).type.value_type) for n in "tl"}
         return pa.Table.from_arrays(
-            [q.column("key"), q.column("row"),
-             *(pa.array(v, schema.field(n).type) for v, n in ((d_out, "d"), (t_out, "t"), (l_out, "l")))],
-            schema=pa.schema([schema.field("key"), q.schema.field("row"), *[schema.field(n) for n in "dtl"]]))
+            [pa.ListArray.from_arrays(offs, lists[n]) if n in lists else q.column(n) for n in schema.names],
+            schema=schema)
     return run
 
 
+# ---------------------------------------------------------------- model
+
+class Base:
+    """The partitioned training rows (tid, f, y, b), written, with the bounds
+    of the blocks and the classes."""
+
+    def __init__(self, train: DataFrame, bounds: Bounds, classes: list):
+        self.train, self.bounds, self.classes = train, bounds, classes
+
+    def meet(self, asked: DataFrame, k: int, exclude_self: bool, extra: Sequence[str]) -> DataFrame:
+        """Cogroup queries (b, f, qid, [kth], extra...) with their blocks."""
+        spark = asked.sparkSession
+        counts = asked.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()  # one per block
+        copies = spark.createDataFrame([(r["b"], -(-r["n"] // BLOCK_ROWS)) for r in counts],
+                                       "b long, copies int")
+        q = asked.join(F.broadcast(copies), "b").withColumn(
+            "s", F.pmod(F.xxhash64("key"), F.col("copies")).cast("int"))
+        t = self.train.join(F.broadcast(copies), "b").select(
+            "tid", "f", "y", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("s"))
+        types = {f.name: f for f in asked.schema.fields}
+        fields = T.StructType([
+            *[types[c] for c in extra], T.StructField("d", T.ArrayType(T.DoubleType())),
+            T.StructField("t", T.ArrayType(self.train.schema["tid"].dataType)),
+            T.StructField("l", T.ArrayType(T.DoubleType()))])
+        return q.groupBy("b", "s").cogroup(t.groupBy("b", "s")).applyInArrow(
+            _meet(k, exclude_self, to_arrow_schema(fields)), fields)
+
+
 class KNNModel:
-    """``train``: tid, f (array), y; written once, never collected."""
+    """``cut`` gives a model with other neighbours or weights over the same
+    training rows."""
 
-    def __init__(self, train: DataFrame, rows: int, classes: list, k: int, weights: str,
-                 key: str, id_col: str | None, exclude_self: bool = False):
-        self.train, self.rows, self.classes = train, rows, classes
-        self.k, self.weights, self.key, self.id_col = k, weights, key, id_col
-        self.exclude_self = exclude_self
+    def __init__(self, base: Base, k: int, weights: str, key: str, id_col: str | None,
+                 exclude_self: bool = False):
+        self.base, self.k, self.weights, self.key = base, k, weights, key
+        self.id_col, self.exclude_self = id_col, exclude_self
+
+    @property
+    def classes(self) -> list:
+        return self.base.classes
+
+    def cut(self, k: int, weights: str) -> "KNNModel":
+        return KNNModel(self.base, k, weights, self.key, self.id_col, self.exclude_self)
 
     def _packed(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
         """Query rows as one struct; Arrow takes no vectors, so these travel
@@ -106,79 +247,137 @@ class KNNModel:
         cols = [(vector_to_array(c) if c in vectors else F.col(c)).alias(c) for c in df.columns]
         qid = F.col(self.id_col) if self.exclude_self else F.lit(None)
         return df.select(F.struct(*cols).alias("row"), vector_to_array("features").alias("f"),
-                         qid.cast(dict(self.train.dtypes)["tid"]).alias("qid"),
+                         qid.cast(dict(self.base.train.dtypes)["tid"]).alias("qid"),
                          F.monotonically_increasing_id().alias("key")), vectors
 
-    def neighbours(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        """(row, d, t, l) per query row - the k nearest by (distance, id) -
-        and the row's vector columns."""
+    def neighbours(self, df: DataFrame, k: int | None = None) -> tuple[DataFrame, list[str]]:
+        """(row, d, t, l) per query row - the k nearest by (distance, id), the
+        distance squared - and the row's vector columns."""
+        k = k or self.k
+        bounds = self.base.bounds
         packed, vectors = self._packed(df)
+        if not len(bounds.block):
+            none = F.array().cast
+            return packed.select("row", none("array<double>").alias("d"), F.array().cast(
+                T.ArrayType(self.base.train.schema["tid"].dataType)).alias("t"),
+                none("array<double>").alias("l")), vectors
+        shared = df.sparkSession.sparkContext.broadcast(bounds)  # at most 2 * MAX_BLOCKS blocks
+        home_fields = T.StructType([*packed.schema.fields, T.StructField("b", T.LongType())])
+        home_schema = to_arrow_schema(home_fields)
+
+        def home(batches):
+            for b in batches:
+                if b.num_rows:
+                    at = _chunked(matrix(b.column("f")), len(shared.value.block),
+                                  lambda q: shared.value.lower(q).argmin(axis=1))
+                    yield pa.RecordBatch.from_arrays(
+                        [*b.columns, pa.array(shared.value.block[np.concatenate(at)])], schema=home_schema)
         # keys must be the same in every use of the rows
-        packed = cut_lineage(packed)
-        n_q = packed.count()
-        q_blocks, t_blocks = max(1, -(-n_q // BLOCK_ROWS)), max(1, -(-self.rows // BLOCK_ROWS))
-        spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        q = packed.select(
-            "key", "f", "qid", "row", spread("key", q_blocks).alias("qb"),
-            F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("tb"))
-        # the whole row goes with one copy only
-        q = q.withColumn("row", F.when(F.col("tb") == 0, F.col("row")))
-        t = self.train.select(
-            "tid", "f", "y", spread("tid", t_blocks).alias("tb"),
-            F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-        tid_type = self.train.schema["tid"].dataType
-        schema = T.StructType([
-            T.StructField("key", T.LongType()), T.StructField("row", packed.schema["row"].dataType),
-            T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("t", T.ArrayType(tid_type)),
-            T.StructField("l", T.ArrayType(T.DoubleType()))])
-        met = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInArrow(
-            _meet(self.k, self.exclude_self, to_arrow_schema(schema)), schema)
-        if t_blocks == 1:
-            return met.select("row", "d", "t", "l"), vectors
+        asked = cut_lineage(packed.mapInArrow(home, home_fields))
+        first = self.base.meet(asked, k, self.exclude_self, ["key", "row", "f", "qid", "b"])
+        if len(bounds.block) == 1:
+            return first.select("row", "d", "t", "l"), vectors
+        first = cut_lineage(first)
+        types = {f.name: f for f in first.schema.fields}
+        more_fields = T.StructType([types["key"], types["f"], types["qid"],
+                                    T.StructField("kth", T.DoubleType()), T.StructField("b", T.LongType())])
+        more_schema = to_arrow_schema(more_fields)
+
+        def others(batches):
+            bnd = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                d = b.column("d")
+                size = np.diff(d.offsets.to_numpy())
+                last = d.values.to_numpy(zero_copy_only=False)[np.maximum(d.offsets.to_numpy()[1:] - 1, 0)] \
+                    if len(d.values) else np.zeros(len(size))
+                kth = np.where(size >= k, last, np.inf)
+                own, done = b.column("b").to_numpy(), 0
+                for part in _chunked(matrix(b.column("f")), len(bnd.block), bnd.lower):
+                    rows = slice(done, done + len(part))
+                    i, j = np.nonzero((part <= kth[rows, None]) & (bnd.block[None, :] != own[rows, None]))
+                    done += len(part)
+                    i += rows.start
+                    at = pa.array(i)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("key").take(at), b.column("f").take(at), b.column("qid").take(at),
+                         pa.array(kth[i]), pa.array(bnd.block[j])], schema=more_schema)
+        asked = cut_lineage(first.select("key", "f", "qid", "b", "d").mapInArrow(others, more_fields))
+        second = self.base.meet(asked, k, self.exclude_self, ["key"])
+        both = first.select("key", "row", "d", "t", "l").unionByName(
+            second.withColumn("row", F.lit(None).cast(packed.schema["row"].dataType)))
         cand = F.explode_outer(F.arrays_zip("d", "t", "l")).alias("c")
-        merged = met.select("key", "row", cand).groupBy("key").agg(
+        merged = both.select("key", "row", cand).groupBy("key").agg(
             F.max_by("row", F.col("row").isNotNull()).alias("row"),
             F.slice(F.array_sort(F.collect_list(F.when(F.col("c.d").isNotNull(), F.struct(
-                "c.d", "c.t", "c.l")))), 1, self.k).alias("s"))
+                "c.d", "c.t", "c.l")))), 1, k).alias("s"))
         return merged.select("row", F.col("s.d").alias("d"), F.col("s.t").alias("t"),
                              F.col("s.l").alias("l")), vectors
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        nb, vectors = self.neighbours(df)
-        w = (F.transform("d", lambda d: F.lit(1.0)) if self.weights == "uniform" else
+    def _vote(self) -> tuple[Column, Column]:
+        """(class, probabilities) from columns d and l of at least k neighbours."""
+        d, lab = F.slice("d", 1, self.k), F.slice("l", 1, self.k)
+        w = (F.transform(d, lambda v: F.lit(1.0)) if self.weights == "uniform" else
              # distance weights; an exact match (d = 0) takes all the weight
-             F.when(F.exists("d", lambda d: d == 0),
-                    F.transform("d", lambda d: F.when(d == 0, 1.0).otherwise(0.0)))
-             .otherwise(F.transform("d", lambda d: 1.0 / d)))
-        nb = nb.withColumn("w", w)
+             F.when(F.exists(d, lambda v: v == 0), F.transform(d, lambda v: F.when(v == 0, 1.0).otherwise(0.0)))
+             .otherwise(F.transform(d, lambda v: 1.0 / F.sqrt(v))))
+        pairs = F.arrays_zip(lab.alias("l"), w.alias("w"))
 
         def vote_for(c):
             return lambda acc, e: acc + F.when(e["l"] == F.lit(c), e["w"]).otherwise(0.0)
-        score = [F.aggregate(F.arrays_zip("l", "w"), F.lit(0.0), vote_for(c))
-                 for c in self.classes]
-        nb = nb.withColumn("sc", F.array(*score))
-        tot = F.aggregate("sc", F.lit(0.0), lambda a, b: a + b)
-        probs = F.transform("sc", lambda s: s / tot)
+        sc = F.array(*[F.aggregate(pairs, F.lit(0.0), vote_for(c)) for c in self.classes])
+        tot = F.aggregate(sc, F.lit(0.0), lambda a, b: a + b)
         # argmax; the first (smallest) class wins a tie
-        best = (F.array_position("sc", F.array_max("sc")) - 1).cast("int")
+        best = F.array_position(sc, F.array_max(sc)).cast("int")
         cls = F.array(*[F.lit(float(c)) for c in self.classes])
-        back = [(array_to_vector(F.col(f"row.`{c}`")) if c in vectors else F.col(f"row.`{c}`"))
-                .alias(c) for c in df.columns]
-        return nb.select(*back, F.element_at(cls, best + 1).alias(f"pred_{self.key}"),
+        return F.element_at(cls, best), F.transform(sc, lambda s: s / tot)
+
+    def views(self, df: DataFrame, models: Sequence["KNNModel"]) -> tuple[DataFrame, list]:
+        """The rows with their neighbours, found once, and per model (of the
+        same base) its prediction and probability of class 1 as columns."""
+        nb, vectors = self.neighbours(df, max(m.k for m in models))
+        out = nb.select(*_unpacked(df.columns, vectors), "d", "l")
+        at = self.classes.index(1.0) if 1.0 in self.classes else None
+        got = []
+        for m in models:
+            pred, probs = m._vote()
+            got.append((pred, F.lit(0.0) if at is None else probs[at]))
+        return out, got
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        nb, vectors = self.neighbours(df)
+        pred, probs = self._vote()
+        return nb.select(*_unpacked(df.columns, vectors), pred.alias(f"pred_{self.key}"),
                          array_to_vector(probs).alias(f"prob_{self.key}"))
 
     def save(self, path: str) -> None:
-        self.train.write.mode("overwrite").parquet(os.path.join(path, "train"))
-        meta = json.dumps({"rows": self.rows, "classes": self.classes, "k": self.k,
-                           "weights": self.weights, "key": self.key, "id_col": self.id_col,
-                           "exclude_self": self.exclude_self})
-        self.train.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1) \
-            .write.mode("overwrite").json(os.path.join(path, "knn"))
+        spark = self.base.train.sparkSession
+        self.base.train.write.mode("overwrite").parquet(os.path.join(path, "train"))
+        meta = json.dumps({"k": self.k, "weights": self.weights, "key": self.key, "id_col": self.id_col,
+                           "exclude_self": self.exclude_self, "classes": self.classes})
+        blob = io.BytesIO()
+        np.savez_compressed(blob, **vars(self.base.bounds))
+        spark.createDataFrame([(meta, bytearray(blob.getvalue()))], "meta string, bounds binary").coalesce(1) \
+            .write.mode("overwrite").parquet(os.path.join(path, "knn"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "KNNModel":
-        m = json.loads(spark.read.json(os.path.join(path, "knn")).first()["meta"])
-        return cls(spark.read.parquet(os.path.join(path, "train")), **m)
+        r = spark.read.parquet(os.path.join(path, "knn")).first()
+        m, z = json.loads(r["meta"]), np.load(io.BytesIO(bytes(r["bounds"])))
+        base = Base(spark.read.parquet(os.path.join(path, "train")), Bounds(**{n: z[n] for n in z.files}),
+                    m.pop("classes"))
+        return cls(base, **m)
+
+
+def _unpacked(columns: Sequence[str], vectors: Sequence[str]) -> list[Column]:
+    return [(array_to_vector(F.col(f"row.`{c}`")) if c in vectors else F.col(f"row.`{c}`")).alias(c)
+            for c in columns]
+
+
+def _chunked(q: np.ndarray, width: int, fn) -> list:
+    m = max(1, CHUNK_ELEMS // max(1, width))
+    return [fn(q[s:s + m]) for s in range(0, len(q), m)]
 
 
 class KNNClassifier:
@@ -192,12 +391,77 @@ class KNNClassifier:
         is numbered by its rows' hash."""
         has_id = self.id_col in df.columns
         f = vector_to_array("features")
-        train = cut_lineage(df.select(
+        src = cut_lineage(df.select(
             (F.col(self.id_col) if has_id else F.xxhash64(f)).alias("tid"), f.alias("f"),
             F.col(self.label).cast("double").alias("y")).where("y IS NOT NULL"))
-        per_class = train.groupBy("y").agg(F.count(F.lit(1)).alias("n")) \
+        per_class = src.groupBy("y").agg(F.count(F.lit(1)).alias("n")) \
             .limit(MAX_CLASSES + 1).collect()
         if len(per_class) > MAX_CLASSES:
             raise ValueError(f"more than {MAX_CLASSES} classes: not a classification label")
-        return KNNModel(train, sum(r["n"] for r in per_class), sorted(r["y"] for r in per_class),
-                        self.k, self.weights, self.key, self.id_col, self.exclude_self)
+        rows = sum(r["n"] for r in per_class)
+        classes = sorted(r["y"] for r in per_class)
+        train, bounds = _partitioned(src, rows)
+        return KNNModel(Base(train, bounds, classes), self.k, self.weights, self.key, self.id_col,
+                        self.exclude_self)
+
+
+def _partitioned(src: DataFrame, rows: int) -> tuple[DataFrame, Bounds]:
+    """The rows with their block, written, and the blocks' bounds."""
+    if not rows:
+        none = np.zeros((0, 0))
+        return src.withColumn("b", F.lit(0).cast("long")), Bounds(
+            np.zeros(0, np.int64), np.zeros(0, np.int64), none, none, none, none, none)
+    want = min(MAX_BLOCKS, max(1, -(-rows // BLOCK_ROWS)))
+    sample = src.orderBy(F.xxhash64("tid", "f")).limit(SAMPLE_ROWS).select("f").toArrow()
+    shape = Partition.fit(matrix(sample.column("f")), want)
+    fields = T.StructType([*src.schema.fields, T.StructField("b", T.LongType())])
+    schema = to_arrow_schema(fields)
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(shape.block(matrix(b.column("f"))))], schema=schema)
+    placed = cut_lineage(src.mapInArrow(place, fields))
+    # a block far above its size (a frequent vector) is split by hash
+    most = 2 * -(-rows // want)
+    counts = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()  # at most want + pivots
+    number, splits = 0, []
+    for r in sorted(counts):
+        m = 1 if r["n"] <= most else -(-2 * r["n"] // most)
+        splits.append((r["b"], number, m))
+        number += m
+    if number > len(counts) or [s[1] for s in splits] != [s[0] for s in splits]:
+        table = src.sparkSession.createDataFrame(splits, "b long, number long, m long")
+        placed = cut_lineage(placed.join(F.broadcast(table), "b").select(
+            "tid", "f", "y", (F.col("number") + F.pmod(F.xxhash64("tid", "f"), F.col("m"))).alias("b")))
+    pivots = shape.pivots
+
+    def measure(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, b = matrix(batch.column("f")), batch.column("b").to_numpy()
+            d = np.sqrt(squared(x, pivots))
+            order = np.argsort(b, kind="stable")
+            at = np.flatnonzero(np.diff(b[order], prepend=-1))
+            stats = [np.minimum.reduceat(x[order], at), np.maximum.reduceat(x[order], at),
+                     np.minimum.reduceat(d[order], at), np.maximum.reduceat(d[order], at)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b[order][at]), pa.array(np.diff(at, append=len(b))),
+                 pa.array([np.concatenate(r).tobytes() for r in zip(*stats)], pa.binary())],
+                ["b", "n", "blob"])
+
+    dims, n_pivots = pivots.shape[1], len(pivots)
+
+    def merge(t: pa.Table) -> pa.Table:
+        v = np.array([np.frombuffer(x, np.float64) for x in t.column("blob").to_pylist()])
+        lo, hi, near, far = np.split(v, [dims, 2 * dims, 2 * dims + n_pivots], axis=1)
+        row = np.concatenate([lo.min(0), hi.max(0), near.min(0), far.max(0)])
+        return pa.table({"b": t.column("b").slice(0, 1), "n": [pc.sum(t.column("n")).as_py()],
+                         "blob": pa.array([row.tobytes()], pa.binary())})
+    got = placed.mapInArrow(measure, "b long, n long, blob binary").groupBy("b") \
+        .applyInArrow(merge, "b long, n long, blob binary").orderBy("b").toArrow()
+    v = np.array([np.frombuffer(x, np.float64) for x in got.column("blob").to_pylist()])
+    lo, hi, near, far = np.split(v, [dims, 2 * dims, 2 * dims + n_pivots], axis=1)
+    return placed, Bounds(got.column("b").to_numpy(), got.column("n").to_numpy(), lo, hi, near, far, pivots)

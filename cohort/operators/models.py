@@ -1,8 +1,10 @@
-"""Classifiers (C1, C2, C4, C5) as Spark ML estimators with the reference's
-hyper-parameters, and the shared matrix preparation (P4 align, N7 fill 0,
-E4 population-std scaling, vector assembly).
+"""Classifiers (C1-C5) by key, with the reference's hyper-parameters, and the
+shared matrix preparation (P4 align, N7 fill 0, E4 population-std scaling,
+vector assembly).
 
-Every model writes its own ``pred_<name>`` / ``prob_<name>`` columns so
+``fit_all`` trains many fits of a kind (candidates x folds) at once: logistic
+regression and the tree kinds in shared passes over one packed matrix, k-NN and
+registered kinds one by one. Every model writes its own ``pred_<name>`` / ``prob_<name>`` columns so
 several models can be applied to the same frame one after another (voting,
 stacking) without joining prediction sets back together.
 """
@@ -12,14 +14,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
-                                       LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohort.operators import hist_trees, logistic
 from cohort.operators.scale import ScalerModel, fit_scaler
+from cohort.operators.shared_pass import Fit, Packed
 
 SEED = 42
 #: Rows of a training matrix per partition: its layout follows from the data
@@ -32,17 +34,15 @@ KEYS = {"Logistic Regression": "lr", "Decision Tree": "dt", "KNN": "knn",
         "Random Forest": "rf", "XGBoost": "gb"}
 
 DEFAULT_PARAMS = {
-    "lr": {"C": 1.0, "max_iter": 1000, "tol": 1e-4},
-    "dt": {"max_depth": 5, "min_samples_leaf": 1},
+    "lr": {"C": 1.0, "max_iter": 1000, "tol": 1e-10},
+    "dt": {"max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 1},
     "knn": {"n_neighbors": 5, "weights": "uniform"},
-    "rf": {"n_estimators": 100, "max_depth": 7, "min_samples_leaf": 1},
+    "rf": {"n_estimators": 100, "max_depth": 7, "min_samples_split": 2, "min_samples_leaf": 1},
     "gb": {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0},
 }
-# Spark ML trees have no minimum number of rows to split a node; that dashboard
-# parameter (min_samples_split) is refused by ``estimator`` as unknown.
 APP_GRIDS = {
     "lr": {"C": [0.1, 1.0, 10.0]},
-    "dt": {"max_depth": [3, 5, 7], "min_samples_leaf": [1, 2]},
+    "dt": {"max_depth": [3, 5, 7], "min_samples_split": [2, 5], "min_samples_leaf": [1, 2]},
     "knn": {"n_neighbors": [3, 5, 7], "weights": ["uniform", "distance"]},
     "rf": {"n_estimators": [100], "max_depth": [5, 7]},
     "gb": {"n_estimators": [100], "max_depth": [3, 5]},
@@ -96,41 +96,49 @@ def prepare(train: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> Pr
     return Prepared(cols, fit_scaler(filled, cols), list(keep))
 
 
-def estimator(key: str, params: dict | None = None, n_rows: int | None = None,
-              label: str = "label"):
-    """Spark ML estimator for a model key with reference-style params."""
+SHARED = ("lr", "dt", "rf", "gb")
+
+
+def checked(key: str, params: dict | None = None) -> dict:
+    """All parameters of a key; an unknown one is an error."""
     p = dict(DEFAULT_PARAMS[key])
     unknown = set(params or {}) - set(p)
     if unknown:
         raise ValueError(f"{key} has no parameter {sorted(unknown)}; it has {sorted(p)}")
-    p.update(params or {})
-    common = {"featuresCol": "features", "labelCol": label,
-              "predictionCol": f"pred_{key}", "probabilityCol": f"prob_{key}",
-              "rawPredictionCol": f"raw_{key}"}
-    if key == "lr":
-        # sklearn C on the summed loss == Spark regParam 1/(C n) on the mean loss
-        n = max(n_rows or 1, 1)
-        return LogisticRegression(regParam=1.0 / (p["C"] * n), elasticNetParam=0.0,
-                                  standardization=False, maxIter=p["max_iter"], tol=p["tol"],
-                                  **common)
-    if key == "dt":
-        return DecisionTreeClassifier(maxDepth=p["max_depth"], impurity="gini",
-                                      minInstancesPerNode=p["min_samples_leaf"], seed=SEED, **common)
-    if key == "rf":
-        return RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=p["max_depth"],
-                                      minInstancesPerNode=p["min_samples_leaf"],
-                                      featureSubsetStrategy="sqrt", seed=SEED, **common)
-    if key == "gb":
-        common.pop("probabilityCol")
-        common.pop("rawPredictionCol")
-        gb = GBTClassifier(maxIter=p["n_estimators"], maxDepth=p["max_depth"],
-                           stepSize=p["learning_rate"], subsamplingRate=p["subsample"],
-                           lossType="logistic", seed=SEED, **common)
-        return gb.setProbabilityCol(f"prob_{key}").setRawPredictionCol(f"raw_{key}")
+    return p | (params or {})
+
+
+def estimator(key: str, params: dict | None = None, label: str = "label"):
+    """Estimator of a kind that is fitted one by one (k-NN, registered kinds)."""
+    p = checked(key, params)
     if key == "knn":
         from cohort.operators.knn import KNNClassifier
         return KNNClassifier(k=p["n_neighbors"], weights=p["weights"], key=key, label=label)
-    return EXTRA[key](p, common)
+    return EXTRA[key](p, {"featuresCol": "features", "labelCol": label,
+                          "predictionCol": f"pred_{key}", "probabilityCol": f"prob_{key}",
+                          "rawPredictionCol": f"raw_{key}"})
+
+
+def fit_all(key: str, data: DataFrame | Packed, fits: Sequence[Fit], label: str = "label",
+            id_col: str = "id") -> list:
+    """A fitted model per fit; kinds in ``SHARED`` also take a packed matrix."""
+    fits = [Fit(checked(key, f.params), f.out) for f in fits]
+    if key == "lr":
+        return logistic.fit_many(data, fits, key, label, id_col)
+    if key in SHARED:
+        return hist_trees.fit_many(key, data, fits, key, SEED, label, id_col)
+    from cohort.operators.selection import run_parallel
+
+    def one(f: Fit):
+        rows = data
+        for c, v in f.out:
+            rows = rows.where(F.coalesce(F.col(c) != F.lit(v), F.lit(True)))
+        return estimator(key, f.params, label).fit(rows)
+    if key == "knn":  # the partition of the rows serves every candidate
+        outs = list(dict.fromkeys(f.out for f in fits))
+        bases = dict(zip(outs, run_parallel(lambda o: one(Fit(DEFAULT_PARAMS[key], o)), outs)))
+        return [bases[f.out].cut(f.params["n_neighbors"], f.params["weights"]) for f in fits]
+    return run_parallel(one, fits)
 
 
 def positive_prob(key: str):
@@ -138,10 +146,8 @@ def positive_prob(key: str):
     return vector_to_array(F.col(f"prob_{key}")).getItem(1)
 
 
-def fit_model(key: str, train: DataFrame, params: dict | None = None, label: str = "label",
-              n_rows: int | None = None):
-    n = n_rows if n_rows is not None else (train.count() if key == "lr" else None)
-    return estimator(key, params, n, label).fit(train)
+def fit_model(key: str, train: DataFrame, params: dict | None = None, label: str = "label"):
+    return fit_all(key, train, [Fit(params or {})], label)[0]
 
 
 def scored(model, key: str, df: DataFrame, keep: Sequence[str]) -> DataFrame:

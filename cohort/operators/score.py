@@ -4,25 +4,23 @@ record or a stream, saved and loaded as one folder."""
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 
-from pyspark.ml.classification import (DecisionTreeClassificationModel,
-                                       GBTClassificationModel,
-                                       LogisticRegressionModel,
-                                       RandomForestClassificationModel)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohort.operators.hist_trees import TreeModel
 from cohort.operators.knn import KNNModel
-from cohort.operators.models import Prepared
+from cohort.operators.logistic import LogisticModel
+from cohort.operators.models import EXTRA, Prepared
 from cohort.operators.pipeline import FeaturePipelineModel
 from cohort.operators.scale import ScalerModel
 from cohort.operators.selection import StackingModel, VotingModel
 
-_LOADERS = {"lr": LogisticRegressionModel, "dt": DecisionTreeClassificationModel,
-            "rf": RandomForestClassificationModel, "gb": GBTClassificationModel}
+_LOADERS = {"lr": LogisticModel, "dt": TreeModel, "rf": TreeModel, "gb": TreeModel, "knn": KNNModel}
 
 
 def _write_meta(path: str, meta: dict) -> None:
@@ -42,14 +40,16 @@ def save_model(key: str, model, path: str) -> None:
             meta["voting"] = model.voting
         else:
             meta["meta_cols"] = model.meta_cols
-            model.meta.write().overwrite().save(os.path.join(path, "meta"))
+            model.meta.save(os.path.join(path, "meta"))
         for k, m in model.members.items():
             save_model(k, m, os.path.join(path, "members", k))
         _write_meta(os.path.join(path, "ensemble"), meta)
-    elif isinstance(model, KNNModel):
+    elif key in _LOADERS:
         model.save(path)
-    else:
-        model.write().overwrite().save(path)
+    else:  # a registered kind: the class it is loaded by is kept beside it
+        cls = type(model)
+        _write_meta(os.path.join(path, "kind"), {"module": cls.__module__, "name": cls.__qualname__})
+        model.write().overwrite().save(os.path.join(path, "model"))
 
 
 def load_model(spark: SparkSession, key: str, path: str):
@@ -59,13 +59,15 @@ def load_model(spark: SparkSession, key: str, path: str):
                    for k in meta["members"]}
         if key == "vote":
             return VotingModel(members, meta["voting"])
-        return StackingModel(members, LogisticRegressionModel.load(os.path.join(path, "meta")),
+        return StackingModel(members, LogisticModel.load(spark, os.path.join(path, "meta")),
                              meta["meta_cols"])
-    if key == "knn":
-        return KNNModel.load(spark, path)
-    if key not in _LOADERS:
-        raise ValueError(f"no loader for model key {key!r}; add one to _LOADERS")
-    return _LOADERS[key].load(path)
+    if key in _LOADERS:
+        return _LOADERS[key].load(spark, path)
+    if key not in EXTRA:
+        raise ValueError(f"model key {key!r} is not registered")
+    kind = _read_meta(spark, os.path.join(path, "kind"))
+    cls = getattr(importlib.import_module(kind["module"]), kind["name"])
+    return cls.load(os.path.join(path, "model"))
 
 
 class Scorer:

@@ -1,10 +1,11 @@
 """Model selection.
 
-Cross-validation uses a fold column (exact stratified or hashed), so each
-fit reads its training rows with a filter on the same checkpointed matrix.
-All four metrics of a candidate come from ONE confusion-table aggregate over
-the stacked out-of-fold predictions of every fold (the reference refits once
-per metric for its ensembles).
+Cross-validation uses a fold column (exact stratified or hashed). All candidates
+and folds of a kind are fitted together (``models.fit_all``), and the rows are
+scored by all of them in one pass: a *slot* names, for every row, the model
+that scores it (the one that has not seen the row's fold), and a row's
+predictions for all slots leave the task as one array. All four metrics come
+from one confusion-table aggregate (the reference refits once per metric).
 """
 
 from __future__ import annotations
@@ -13,11 +14,20 @@ import itertools
 import time
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohort.operators import hist_trees
 from cohort.operators import metrics as MT
-from cohort.operators.models import KEYS, estimator, positive_prob, settle
+from cohort.operators import shared_pass as SP
+from cohort.operators.folds import _fold_bounds, stratified_folds
+from cohort.operators.models import (DEFAULT_PARAMS, KEYS, SHARED, checked, fit_all, fit_model,
+                                     positive_prob, scored, settle)
+from cohort.operators.ordering import running_sums
 from cohort.session import cut_lineage
 
 METRICS = ("f1_macro", "accuracy", "precision_macro", "recall_macro")
@@ -44,28 +54,93 @@ def grid(params: dict) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[params[k] for k in keys])]
 
 
-def _fit(key, params, train, label, n_rows=None):
-    n = n_rows if n_rows is not None else (train.count() if key == "lr" else None)
-    return estimator(key, params, n, label).fit(train)
+def fit_keys(jobs: dict[str, list[SP.Fit]], data: DataFrame, label: str = "label",
+             id_col: str = "id") -> dict[str, list]:
+    """The models of several kinds: the matrix is packed and binned once, and
+    the kinds train side by side."""
+    shared = [k for k in jobs if k in SHARED]
+    packed = None
+    if shared:
+        packed = SP.pack(data, SP.split_columns([f for k in shared for f in jobs[k]]), label, id_col)
+        if set(shared) - {"lr"}:
+            hist_trees.bin_matrix(packed)
+    models = run_parallel(lambda k: fit_all(k, packed if k in SHARED else data, jobs[k], label, id_col),
+                          list(jobs))
+    return dict(zip(jobs, models))
+
+
+def slot_scores(slots: list, data: DataFrame, name: str) -> DataFrame:
+    """``data`` with an array column of each slot's positive probability. A
+    slot is (column, {value: model}), or (None, model) for all rows; a row
+    without a model in a slot gets null."""
+    cols = list(dict.fromkeys(c for c, _ in slots if c))
+    sent = data.sparkSession.sparkContext.broadcast(slots)  # sized by the models
+
+    def score(f: pa.Array, *by: pa.Array) -> pa.Array:
+        x = SP.matrix(f)
+        values = {c: v.fill_null(-1).to_numpy(zero_copy_only=False) for c, v in zip(cols, by)}
+        out = np.full((len(x), len(sent.value)), np.nan)
+        for s, (col, models) in enumerate(sent.value):
+            if col is None:
+                out[:, s] = models.proba(x)
+                continue
+            for v, m in models.items():
+                rows = np.flatnonzero(values[col] == v)
+                if len(rows):
+                    out[rows, s] = m.proba(x[rows])
+        flat = pa.array(out.ravel(), from_pandas=True)
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * out.shape[1], flat)
+    udf = F.arrow_udf(score, "array<double>")
+    return data.withColumn(name, udf(vector_to_array("features"), *[F.col(c).cast("int") for c in cols]))
+
+
+def slot_predictions(key: str, slots: list, data: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep..., slot, prediction, p1): one row per row and slot that has a
+    model for it."""
+    if key in SHARED:
+        scored = slot_scores(slots, data, "__p")
+        return scored.select(*keep, F.posexplode("__p").alias("slot", "p1")).where("p1 IS NOT NULL") \
+            .select(*keep, "slot", (F.col("p1") > 0.5).cast("int").alias("prediction"), "p1")
+    # the slots that share their rows and what is costly in their model
+    groups: dict = {}
+    for s, (col, models) in enumerate(slots):
+        for v, m in (models.items() if col else [(None, models)]):
+            groups.setdefault((col, v, id(getattr(m, "base", m))), []).append((s, m))
+
+    def one(group):
+        (col, v, _), members = group
+        rows = data if col is None else data.where(F.col(col) == v)
+        first = members[0][1]
+        if hasattr(first, "views"):
+            out, got = first.views(rows, [m for _, m in members])
+        else:
+            out = first.transform(rows)
+            got = [(F.col(f"pred_{key}"), positive_prob(key))]
+        return out.select(*keep, F.inline(F.array(*[
+            F.struct(F.lit(s).alias("slot"), pred.cast("int").alias("prediction"), p.alias("p1"))
+            for (s, _), (pred, p) in zip(members, got)])))
+    parts = run_parallel(one, list(groups.items()))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
 
+def _by_fold(params: list[dict], folds: int, fold_col: str = "fold") -> list[SP.Fit]:
+    return [SP.Fit(p, ((fold_col, f),)) for p in params for f in range(folds)]
 
-def _pred_frame(model, key, df, keep):
-    out = model.transform(df)
-    return out.select(*keep, F.col(f"pred_{key}").cast("int").alias("prediction"),
-                      positive_prob(key).alias("p1"))
+
+def _fold_slots(models: list, folds: int, fold_col: str = "fold") -> list:
+    """A slot per candidate: each fold is scored by the model that left it out."""
+    return [(fold_col, dict(enumerate(models[i:i + folds]))) for i in range(0, len(models), folds)]
 
 
 def cv_predictions(key: str, params: dict, data: DataFrame, folds: int, label: str = "label",
                    fold_col: str = "fold", id_col: str = "id") -> DataFrame:
     """Out-of-fold predictions of one candidate: (fold, id, label, prediction, p1)."""
-    models = run_parallel(lambda f: _fit(key, params, data.where(F.col(fold_col) != f), label),
-                          range(folds))
-    parts = [_pred_frame(m, key, data.where(F.col(fold_col) == f), [fold_col, id_col, label])
-             for f, m in enumerate(models)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    models = fit_keys({key: _by_fold([params], folds, fold_col)}, data, label, id_col)[key]
+    return slot_predictions(key, _fold_slots(models, folds, fold_col), data,
+                            [fold_col, id_col, label]).drop("slot")
 
 
 def cv_scores(preds: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -75,35 +150,40 @@ def cv_scores(preds: DataFrame, label: str = "label", by: Sequence[str] = ()) ->
                                      *[F.stddev_pop(m).alias(f"{m}_std") for m in METRICS])
 
 
+RESULT = ("model string, candidate int, params string, f1_macro double, accuracy double, "
+          "precision_macro double, recall_macro double")
+
+
+def _candidates(grids: dict, data: DataFrame, folds: int, label: str) -> list[tuple]:
+    """(key, candidate, params, metrics...) of every candidate of every kind,
+    in grid order."""
+    cands = {k: grid(g) for k, g in grids.items()}
+    models = fit_keys({k: _by_fold(c, folds) for k, c in cands.items()}, data, label)
+    preds = None
+    for k in grids:
+        p = slot_predictions(k, _fold_slots(models[k], folds), data, ["fold", label]) \
+            .withColumn("model", F.lit(k))
+        preds = p if preds is None else preds.unionByName(p)
+    rows = cv_scores(preds, label, ["model", "slot"]).collect()  # one per candidate
+    got = {(r["model"], r["slot"]): r for r in rows}
+    return [(k, i, str(p), *[float(got[k, i][m]) for m in METRICS])
+            for k in grids for i, p in enumerate(cands[k])]
+
+
+def _best(rows: list[tuple]) -> int:
+    """The highest macro-F1, the first of equals."""
+    return max(range(len(rows)), key=lambda i: (rows[i][3], -i))
+
+
 def grid_search(key: str, param_grid: dict, data: DataFrame, folds: int, label: str = "label",
                 refit: bool = True):
     """V2: every candidate x fold is fitted once and scored on all four
     metrics; the best macro-F1 candidate (first on a tie) is refitted on all
     rows. Returns (results DataFrame, best params, refitted model)."""
-    cands = grid(param_grid)
-    spark = data.sparkSession
-    jobs = [(i, f) for i in range(len(cands)) for f in range(folds)]
-    models = run_parallel(
-        lambda j: _fit(key, cands[j[0]], data.where(F.col("fold") != j[1]), label), jobs)
-    stacked = None
-    for (i, f), m in zip(jobs, models):
-        pr = _pred_frame(m, key, data.where(F.col("fold") == f), ["fold", "id", label]) \
-            .withColumn("candidate", F.lit(i))
-        stacked = pr if stacked is None else stacked.unionByName(pr)
-    res = cv_scores(stacked, label, ["candidate"]).orderBy("candidate")
-    rows = res.collect()  # one row per candidate
-    best = None
-    for r in rows:
-        if best is None or r["f1_macro"] > best["f1_macro"]:
-            best = r
-    best_params = cands[best["candidate"]] if best else None
-    model = _fit(key, best_params, data, label) if (refit and best_params is not None) else None
-    table = spark.createDataFrame(
-        [(key, r["candidate"], str(cands[r["candidate"]]), *[float(r[m]) for m in METRICS])
-         for r in rows],
-        "model string, candidate int, params string, f1_macro double, accuracy double, "
-        "precision_macro double, recall_macro double")
-    return table, best_params, model
+    rows = _candidates({key: param_grid}, data, folds, label)
+    params = grid(param_grid)[_best(rows)] if rows else None
+    model = fit_model(key, data, params, label) if refit and rows else None
+    return data.sparkSession.createDataFrame(rows, RESULT), params, model
 
 
 def _chain(members: dict) -> list:
@@ -135,8 +215,8 @@ class VotingModel:
 
 
 def fit_members(keys: Sequence[str], params: dict, train: DataFrame, label: str = "label") -> dict:
-    models = run_parallel(lambda k: _fit(k, params.get(k, {}), train, label), keys)
-    return dict(zip(keys, models))
+    got = fit_keys({k: [SP.Fit(params.get(k, {}))] for k in keys}, train, label)
+    return {k: m[0] for k, m in got.items()}
 
 
 def fit_voting(keys: Sequence[str], params: dict, train: DataFrame, voting: str,
@@ -159,76 +239,122 @@ class StackingModel:
 
     def stack(self, out: DataFrame) -> DataFrame:
         """The meta-learner over rows that carry the members' columns."""
-        from pyspark.ml.feature import VectorAssembler
         out = out.withColumns({f"__p_{k}": positive_prob(k) for k in self.members})
         out = VectorAssembler(inputCols=self.meta_cols, outputCol="__meta").transform(out)
-        out = self.meta.transform(out)
+        out = self.meta.transform(out, "__meta")
         return out.withColumn("pred_stack", F.col("pred_meta")) \
                   .withColumn("p1_stack", positive_prob("meta"))
 
 
+def _member_scores(models: dict, slots, data: DataFrame, id_col: str) -> DataFrame:
+    """``data`` with an array column ``__s_<key>`` per kind: the positive
+    probability in each slot. ``slots`` makes the slots from a kind's models."""
+    out = data
+    for k in models:
+        if k in SHARED:
+            out = slot_scores(slots(models[k]), out, f"__s_{k}")
+    for k in models:
+        if k not in SHARED:
+            own = slots(models[k])
+            got = slot_predictions(k, own, data, [id_col]).groupBy(F.col(id_col).alias("__id")).agg(
+                *[F.max(F.when(F.col("slot") == s, F.col("p1"))).alias(f"__{s}") for s in range(len(own))])
+            got = got.select("__id", F.array(*[f"__{s}" for s in range(len(own))]).alias(f"__s_{k}"))
+            out = out.join(got, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    return out
+
+
+def _fit_meta(rows: DataFrame, probs: dict, label: str, id_col: str):
+    """Logistic regression (C=1) on the members' out-of-fold probabilities."""
+    flat = rows.select(id_col, label, *[c.alias(f"__p_{k}") for k, c in probs.items()])
+    meta_in = VectorAssembler(inputCols=[f"__p_{k}" for k in probs], outputCol="features").transform(flat)
+    model = fit_all("lr", settle(meta_in.select(id_col, label, "features"), id_col), [SP.Fit({})],
+                    label, id_col)[0]
+    model.key = "meta"
+    return model
+
+
 def fit_stacking(keys: Sequence[str], params: dict, train: DataFrame, folds: int = 5,
-                 label: str = "label", id_col: str = "id",
-                 members: dict | None = None) -> StackingModel:
+                 label: str = "label", id_col: str = "id") -> StackingModel:
     """Out-of-fold base probabilities on ``folds`` unshuffled stratified folds
-    of the training rows -> meta logistic regression (C=1). ``members`` already
-    fitted on all rows are taken as they are."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    from cohort.operators.folds import stratified_folds
+    of the training rows -> meta logistic regression (C=1); the members are
+    fitted on all rows in the same passes."""
     data = cut_lineage(settle(stratified_folds(
         train.where(F.col(label).isNotNull()), label, id_col, folds, "__sf"), id_col))
-    jobs = [(f, k) for f in range(folds) for k in keys]
-    fitted = dict(zip(jobs, run_parallel(
-        lambda j: _fit(j[1], params.get(j[1], {}), data.where(F.col("__sf") != j[0]), label), jobs)))
-    oof = None
+    fits = {k: [*_by_fold([params.get(k, {})], folds, "__sf"), SP.Fit(params.get(k, {}))] for k in keys}
+    models = fit_keys(fits, data, label, id_col)
+    oof = cut_lineage(_member_scores({k: m[:-1] for k, m in models.items()},
+                                     lambda m: _fold_slots(m, folds, "__sf"),
+                                     data.select(id_col, label, "__sf", "features"), id_col))
+    meta = _fit_meta(oof, {k: F.col(f"__s_{k}")[0] for k in keys}, label, id_col)
+    return StackingModel({k: models[k][-1] for k in keys}, meta, [f"__p_{k}" for k in keys])
+
+
+def nested_folds(data: DataFrame, folds: int, inner: int, label: str, id_col: str) -> DataFrame:
+    """Columns ``__sf0..``: the inner stratified fold of a row among the rows
+    outside each outer fold (null inside it), all from one ordered pass."""
+    ins = [f"__in{f}" for f in range(folds)]
+    marked = data.withColumns({c: (F.col("fold") == f).cast("long") for f, c in enumerate(ins)}
+                              | {"__one": F.lit(1).cast("long")})
+    ranked = running_sums(marked, [label], [id_col], ["__one", *ins], "__c")
+    cls = data.groupBy(label).agg(*[e for f in range(folds) for e in (
+        F.count(F.when(F.col("fold") != f, 1)).alias(f"n{f}"),
+        F.min(F.when(F.col("fold") != f, F.col(id_col))).alias(f"first{f}"))]).collect()  # one per class
+    out = {}
     for f in range(folds):
-        cur = data.where(F.col("__sf") == f).select(id_col, label, "features")
-        for k, _ in _chain(dict.fromkeys(keys)):
-            cur = fitted[(f, k)].transform(cur).withColumn(f"__p_{k}", positive_prob(k)) \
-                .drop(f"pred_{k}", f"prob_{k}", f"raw_{k}")
-        cur = cur.select(id_col, label, *[f"__p_{k}" for k in keys])
-        oof = cur if oof is None else oof.unionByName(cur)
-    cols = [f"__p_{k}" for k in keys]
-    meta_in = cut_lineage(VectorAssembler(inputCols=cols, outputCol="__meta").transform(oof)
-                          .select(id_col, label, "__meta"))
-    n = meta_in.count()
-    meta = LogisticRegression(featuresCol="__meta", labelCol=label, regParam=1.0 / n,
-                              standardization=False, predictionCol="pred_meta",
-                              probabilityCol="prob_meta", rawPredictionCol="raw_meta") \
-        .fit(settle(meta_in, id_col))
-    if members is None:
-        members = fit_members(keys, params, train, label)
-    return StackingModel(members, meta, cols)
+        start, fold = 0, F.lit(None).cast("int")
+        pos = F.col("__c__one") - F.col(f"__c__in{f}") - 1
+        for r in sorted((r for r in cls if r[f"n{f}"]), key=lambda r: r[f"first{f}"]):
+            bounds = _fold_bounds(start, r[f"n{f}"], inner)
+            start += r[f"n{f}"]
+            own = sum(((pos >= b).cast("int") for b in bounds), F.lit(0))
+            fold = F.when(F.col(label) == F.lit(r[label]), own).otherwise(fold)
+        out[f"__sf{f}"] = F.when(F.col("fold") != f, fold)
+    return ranked.withColumns(out).select(*data.columns, *out)
 
 
 def ensemble_cv(kinds: Sequence[str], keys: Sequence[str], params: dict, data: DataFrame,
-                folds: int, label: str = "label", id_col: str = "id") -> DataFrame:
-    """V3: CV scores of the ensembles; all four metrics from the same fits, and
-    the members of a fold fitted once for every ensemble."""
+                folds: int, label: str = "label", id_col: str = "id", inner: int = 5) -> DataFrame:
+    """V3: CV scores of the ensembles, all four metrics from the same fits. The
+    members of every outer fold and the ``inner`` out-of-fold members of its
+    stacking train together: folds x (inner + 1) fits of a kind in one go."""
+    rows = nested_folds(data.where(F.col(label).isNotNull() & F.col("fold").isNotNull()), folds, inner,
+                        label, id_col)
+    # slot f of a row: the member that scores it while fold f is held out
+    job = {f"__j{f}": F.when(F.col("fold") == f, F.lit(f * (inner + 1) + inner)).otherwise(
+        F.col(f"__sf{f}") + f * (inner + 1)) for f in range(folds)}
+    rows = cut_lineage(settle(rows.withColumns(job), id_col))
+    outs = [o for f in range(folds) for o in (
+        *[(("fold", f), (f"__sf{f}", g)) for g in range(inner)], (("fold", f),))]
+    need = [o for o in outs if len(o) == 1 or "Stacking" in kinds]
+    models = fit_keys({k: [SP.Fit(params.get(k, {}), o) for o in need] for k in keys}, rows, label, id_col)
+
+    def slots(own: list) -> list:
+        at = dict(zip(need, own))
+        return [(f"__j{f}", {i: at[o] for i, o in enumerate(outs) if o in at and o[0] == ("fold", f)})
+                for f in range(folds)]
+    scored = cut_lineage(_member_scores(models, slots, rows, id_col))
+    p = lambda f: {k: F.col(f"__s_{k}")[f] for k in keys}
+    metas = run_parallel(lambda f: _fit_meta(scored.where(F.col("fold") != f), p(f), label, id_col),
+                         range(folds)) if "Stacking" in kinds else [None] * folds
+
     def one(f):
-        tr, te = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        members = fit_members(keys, params, tr, label)
-        out = te.select("fold", id_col, label, "features")
-        for _, m in _chain(members):
-            out = m.transform(out)
+        test, probs = scored.where(F.col("fold") == f), p(f)
         cols = {}
         for kind in kinds:
             if kind == "Stacking":
-                out = fit_stacking(keys, params, tr, 5, label, id_col, members).stack(out)
-                cols[kind] = F.col("pred_stack").cast("int")
+                w = metas[f].weights
+                z = sum((F.lit(float(a)) * c for a, c in zip(w, probs.values())), F.lit(float(w[-1])))
+                cols[kind] = (z > 0).cast("int")
             elif kind == "Voting Soft":
-                cols[kind] = MT.soft_vote([positive_prob(k) for k in members])[1]
+                cols[kind] = MT.soft_vote(list(probs.values()))[1]
             else:
-                cols[kind] = MT.hard_vote([F.col(f"pred_{k}") for k in members])
-        return out.select("fold", id_col, label, F.explode(F.array(*[
+                cols[kind] = MT.hard_vote([(c > 0.5).cast("int") for c in probs.values()])
+        return test.select("fold", label, F.inline(F.array(*[
             F.struct(F.lit(k).alias("model"), c.cast("int").alias("prediction"))
-            for k, c in cols.items()])).alias("__e")).select("fold", id_col, label, "__e.*")
-    parts = run_parallel(one, range(folds), 2)
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
+            for k, c in cols.items()])))
+    allp = one(0)
+    for f in range(1, folds):
+        allp = allp.unionByName(one(f))
     return cv_scores(allp, label, ["model"])
 
 
@@ -236,17 +362,12 @@ def search_all(grids: dict, data: DataFrame, folds: int, label: str = "label"):
     """C11: every model's grid; the best macro-F1 over all candidates wins (the
     earlier model and candidate on a tie) and is refitted on all rows. Returns
     (results DataFrame, key, params, model)."""
-    tables = run_parallel(lambda k: grid_search(k, grids[k], data, folds, label, refit=False)[0],
-                          list(grids), 2)
-    rows = [r for t in tables for r in t.orderBy("candidate").collect()]  # one per candidate
-    best = max(range(len(rows)), key=lambda i: (rows[i]["f1_macro"], -i))
-    key, params = rows[best]["model"], grid(grids[rows[best]["model"]])[rows[best]["candidate"]]
-    spark = data.sparkSession
-    table = spark.createDataFrame(
-        [(*r, i == best) for i, r in enumerate(rows)],
-        "model string, candidate int, params string, f1_macro double, accuracy double, "
-        "precision_macro double, recall_macro double, chosen boolean")
-    return table, key, params, _fit(key, params, data, label)
+    rows = _candidates(grids, data, folds, label)
+    best = _best(rows)
+    key, params = rows[best][0], grid(grids[rows[best][0]])[rows[best][1]]
+    table = data.sparkSession.createDataFrame([(*r, i == best) for i, r in enumerate(rows)],
+                                              f"{RESULT}, chosen boolean")
+    return table, key, params, fit_model(key, data, params, label)
 
 
 def comparison(results: DataFrame) -> DataFrame:
@@ -275,7 +396,6 @@ def learning_curve(key: str, params: dict, data: DataFrame, folds: int,
     """V8: for each fraction of the largest training split and each fold,
     fit on the first n training rows (id order), score macro-F1 on those rows
     and on the validation fold; mean/std over folds and mean fit time."""
-    from cohort.operators.ordering import running_sums
     spark = data.sparkSession
     n_max = data.where(F.col("fold") != 0).count()
     abs_sizes = sorted({max(1, int(s * n_max)) for s in sizes})
@@ -291,11 +411,11 @@ def learning_curve(key: str, params: dict, data: DataFrame, folds: int,
         sub = ranked.where((F.col("fold") != f) & (pos <= n)).select(*data.columns)
         te = data.where(F.col("fold") == f)
         t0 = time.time()
-        m = _fit(key, params, sub, label, n_rows=n)
+        m = fit_model(key, sub, params, label)
         ft = time.time() - t0
         sc = MT.classification_metrics(
-            _pred_frame(m, key, sub, [label]).withColumn("__set", F.lit("train")).unionByName(
-                _pred_frame(m, key, te, [label]).withColumn("__set", F.lit("validation"))),
+            scored(m, key, sub, [label]).withColumn("__set", F.lit("train")).unionByName(
+                scored(m, key, te, [label]).withColumn("__set", F.lit("validation"))),
             label, "prediction", ["__set"]).collect()
         got = {r["__set"]: r["f1_macro"] for r in sc}
         return (n, f, float(got.get("train", 0.0)), float(got.get("validation", 0.0)), ft)
@@ -312,29 +432,22 @@ def learning_curve(key: str, params: dict, data: DataFrame, folds: int,
 def validation_curve(key: str, param: str, values: Sequence, data: DataFrame, folds: int,
                      base_params: dict | None = None, label: str = "label") -> DataFrame:
     """V9: macro-F1 on training and validation rows for each value of one
-    parameter (fresh estimator per run); mean/std over folds. A parameter
-    the model does not have gives no rows."""
+    parameter; mean/std over folds. Depths of a tree or forest and rounds of a
+    boosted model are cut off one fit per fold; neighbours are found once per
+    fold. A parameter the model does not have gives no rows."""
     spark = data.sparkSession
-    from cohort.operators.models import DEFAULT_PARAMS
     if param not in DEFAULT_PARAMS[key]:
         return spark.createDataFrame([], "param_value double, train_mean double, train_std double, "
                                          "validation_mean double, validation_std double")
-    jobs = [(v, f) for v in values for f in range(folds)]
-
-    def fit_one(job):
-        v, f = job
-        p = dict(base_params or {})
-        p[param] = v
-        return _fit(key, p, data.where(F.col("fold") != f), label)
-    models = run_parallel(fit_one, jobs)
-    stacked = None
-    for (v, f), m in zip(jobs, models):
-        tr = data.where(F.col("fold") != f)
-        te = data.where(F.col("fold") == f)
-        both = (_pred_frame(m, key, tr, [label]).withColumn("__set", F.lit("train"))
-                .unionByName(_pred_frame(m, key, te, [label]).withColumn("__set", F.lit("validation")))
-                .withColumn("param_value", F.lit(float(v))).withColumn("fold", F.lit(f)))
-        stacked = both if stacked is None else stacked.unionByName(both)
+    cands = [checked(key, {**(base_params or {}), param: v}) for v in values]
+    models = fit_keys({key: _by_fold(cands, folds)}, data, label)[key]
+    preds = slot_predictions(key, [(None, m) for m in models], data.where(F.col("fold").isNotNull()),
+                             ["fold", label])
+    value = F.element_at(F.array(*[F.lit(float(v)) for v in values]),
+                         (F.floor(F.col("slot") / folds) + 1).cast("int"))
+    held = F.col("slot") % folds
+    stacked = preds.select(label, "prediction", value.alias("param_value"), held.alias("of"), F.when(
+        F.col("fold") == held, "validation").otherwise("train").alias("__set")).withColumnRenamed("of", "fold")
     per = MT.classification_metrics(stacked, label, "prediction", ["param_value", "fold", "__set"])
     piv = per.groupBy("param_value", "__set").agg(F.avg("f1_macro").alias("m"),
                                                  F.stddev_pop("f1_macro").alias("s"))

@@ -61,8 +61,9 @@ def test_knn_multi_block_same_answer(spark, monkeypatch):
     pdf = pd.DataFrame({"id": np.arange(120), "label": y, "f": list(X)})
     df = spark.createDataFrame(pdf).select("id", "label", array_to_vector(F.col("f")).alias("features"))
     one = KNNClassifier(k=3).fit(df).transform(df).orderBy("id").select("pred_knn").collect()
-    monkeypatch.setattr(K, "BLOCK_ROWS", 40)  # forces 3 blocks on both sides
+    monkeypatch.setattr(K, "BLOCK_ROWS", 40)  # forces several blocks and query groups
     many = KNNClassifier(k=3).fit(df)
+    assert len(many.base.bounds.block) > 1
     assert many.transform(df).orderBy("id").select("pred_knn").collect() == one
 
 
@@ -84,3 +85,60 @@ def test_knn_string_ids_repeats_extra_columns_and_save(spark, tmp_path):
     key = lambda r: (r.id, r.label, tuple(r.features), r.pred_knn, tuple(r.prob_knn))
     assert sorted(map(key, out.collect())) == sorted(map(key, again.collect()))
     assert m.transform(df.where("false")).collect() == []
+
+
+def _clusters(spark, n, dims, seed=3):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(10, dims)) * 6
+    own = rng.integers(0, 10, n)
+    X = centre[own] + rng.normal(size=(n, dims)) * 0.5
+    X[:n // 3] = X[0]                       # a third of the rows are one vector
+    y = (own + rng.integers(0, 2, n)) % 3
+    pdf = pd.DataFrame({"id": np.arange(n), "label": y, "f": list(X)})
+    return X, y, spark.createDataFrame(pdf).select("id", "label", array_to_vector(F.col("f")).alias("features"))
+
+
+def test_knn_skips_blocks_and_splits_frequent_vectors(spark, monkeypatch):
+    import cohort.operators.knn as K
+    X, y, df = _clusters(spark, 900, 4)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 30)
+    m = KNNClassifier(k=5, exclude_self=True).fit(df)
+    b = m.base.bounds
+    assert b.rows.sum() == 900 and b.rows.max() <= 4 * 30 and len(b.block) >= 20
+    # a query of the clusters meets few of the blocks
+    q = X[300:]
+    d = np.sort(K.squared(q, X), axis=1)[:, 5]
+    met = (b.lower(q) <= d[:, None] + 1e-9).sum(axis=1)
+    assert met.mean() < 0.3 * len(b.block)
+    out = m.transform(df).orderBy("id").select("pred_knn").toPandas()["pred_knn"].to_numpy()
+    assert (out == _brute_knn(X, y, 5, True)).all()
+
+
+def test_knn_bounds_are_safe():
+    import cohort.operators.knn as K
+    rng = np.random.default_rng(1)
+    for scale in (1e-3, 1.0, 1e6):
+        x = rng.normal(size=(300, 6)) * scale + 10 * scale
+        p = K.Partition.fit(x[:100], 12)
+        b = p.block(x)
+        d = np.sqrt(K.squared(x, p.pivots))
+        rows = [x[b == i] for i in np.unique(b)]
+        ring = [d[b == i] for i in np.unique(b)]
+        bounds = K.Bounds(np.unique(b), np.array([len(r) for r in rows]), *(
+            np.array([f(r, axis=0) for r in src]) for src in (rows, ring) for f in (np.min, np.max)),
+            p.pivots)
+        low = bounds.lower(x)
+        for i, r in enumerate(rows):
+            true = ((x[:, None, :] - r[None, :, :]) ** 2).sum(axis=2).min(axis=1)
+            assert (low[:, i] <= true + 1e-300).all()
+
+
+def test_knn_views_share_the_neighbours(spark):
+    X, y, df = _clusters(spark, 200, 3)
+    m = KNNClassifier(k=7).fit(df)
+    models = [m.cut(k, w) for k in (1, 3, 7) for w in ("uniform", "distance")]
+    out, got = m.views(df, models)
+    frame = out.select("id", *[p.alias(f"p{i}") for i, (p, _) in enumerate(got)]).orderBy("id").toPandas()
+    for i, v in enumerate(models):
+        alone = v.transform(df).orderBy("id").select("pred_knn").toPandas()["pred_knn"]
+        assert (frame[f"p{i}"] == alone).all()

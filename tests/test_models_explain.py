@@ -98,6 +98,39 @@ def test_tree_shapley_matches_enumeration_and_adds_up(spark):
             assert abs(got[r.id].sum() - (f(x) - np.mean([f(v) for v in b]))) < 1e-9
 
 
+def test_deep_trees_are_explained_within_bounded_memory(spark):
+    """Leaves of more features than a table holds: the same by enumeration."""
+    from cohort.operators import tree_shap
+    rng = np.random.default_rng(5)
+    Xm = rng.normal(size=(200, 10))
+    y = (Xm.prod(axis=1) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(200), "label": y, "f": list(Xm)})).select(
+        "id", "label", array_to_vector(F.col("f")).alias("features"))
+    m = fit_model("dt", df, {"max_depth": 15})
+    parts = leaves(m)
+    assert max(len(p.features) for p in parts) > 5
+    names = [f"f{j}" for j in range(10)]
+    bg, rows = df.where("id < 3"), df.where("id between 10 and 12")
+    b = [r.features.toArray() for r in bg.collect()]
+    out = {}
+    for bits in (8, 3):
+        old, tree_shap.TABLE_BITS = tree_shap.TABLE_BITS, bits
+        out[bits] = tree_shapley(m, rows, bg, names, ["id"]).toPandas().sort_values("id")[names].to_numpy()
+        tree_shap.TABLE_BITS = old
+    # the tables are used in the task, so compare the plain function too
+    leaf = max(parts, key=lambda p: len(p.features))
+    k = len(leaf.features)
+    every = np.arange(1 << k)
+    codes = tree_shap.patterns(leaf, np.array(b))
+    u, n = np.unique(codes, return_counts=True)
+    some = np.array([0, 3, (1 << k) - 1])
+    assert np.allclose(tree_shap.shares(leaf, every, u, n)[some], tree_shap.shares(leaf, some, u, n))
+    for r, got in zip(rows.orderBy("id").collect(), out[3]):
+        want = _brute_shapley(lambda v: m.proba(v[None, :])[0], r.features.toArray(), b, 10)
+        assert np.allclose(got, want, atol=1e-9)
+    assert np.allclose(out[8], out[3])
+
+
 def test_shapley_linear(spark):
     df = _separable(spark, 120)
     lin = X.shapley_linear(fit_model("lr", df), df.where("id < 10"), X.sample_rows(df, 4, 42, "id"),
@@ -130,8 +163,8 @@ def test_ensembles_cv_and_search_over_all_models(spark):
 
 def test_unknown_parameters_and_registered_kinds(spark):
     df = _separable(spark, 100)
-    with pytest.raises(ValueError, match="min_samples_split"):
-        fit_model("dt", df, {"min_samples_split": 2})
+    with pytest.raises(ValueError, match="max_features"):
+        fit_model("dt", df, {"max_features": 2})
     register("shallow", {"depth": 2}, lambda p, c: DecisionTreeClassifier(maxDepth=p["depth"], **c))
     try:
         table, best, model = SEL.grid_search("shallow", {"depth": [1, 2]}, df, 3)
