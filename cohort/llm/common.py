@@ -65,11 +65,20 @@ def utf8_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """The column of that name, in any case as Spark resolves it; an absent
+    one is an error."""
+    names = [n.lower() for n in batch.schema.names]
+    if name.lower() not in names:
+        raise KeyError(f"no column {name!r} in {batch.schema.names}")
+    return batch.column(names.index(name.lower()))
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text",
            limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of a batch whose texts sum to at most ``limit`` bytes (a
     longer single text is a slice of its own)."""
-    _, offs = utf8_buffer(batch.column(batch.schema.get_field_index(column)))
+    _, offs = utf8_buffer(column_of(batch, column))
     start, n = 0, batch.num_rows
     while start < n:
         end = int(np.searchsorted(offs, offs[start] + limit, side="right")) - 1
@@ -80,13 +89,13 @@ def chunks(batch: pa.RecordBatch, column: str = "text",
 
 def column_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes per row, null as empty."""
-    raw, offs = utf8_buffer(batch.column(batch.schema.get_field_index(column)))
+    raw, offs = utf8_buffer(column_of(batch, column))
     data, o = raw.tobytes(), offs.tolist()
     return [data[a:b] for a, b in zip(o[:-1], o[1:])]
 
 
 def ids(batch: pa.RecordBatch, column: str = "doc_id") -> pa.Array:
-    return batch.column(batch.schema.get_field_index(column))
+    return column_of(batch, column)
 
 
 def fresh(base: str, taken: list[str]) -> str:

@@ -18,8 +18,10 @@ dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4
 hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary
 table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("""area base br col embed hr img input link meta param source track wbr""".split())
-SKIPPED = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math",
-           "head")
+SKIPPED = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "head",
+           "annotation", "annotation-xml")
+#: Of these, the ones that an absent end tag does not carry to the end of the page.
+OPEN = ("noscript", "head", "svg", "annotation", "annotation-xml")
 BREAKS = frozenset("br hr wbr img input".split())
 #: Elements that end an open paragraph of their own kind.
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"),
@@ -82,7 +84,7 @@ def parse(page: str) -> Tree:
                 e = _END[name].search(page, pos)
                 if e:
                     pos = e.end()
-                elif name not in ("noscript", "head", "svg", "math"):
+                elif name not in OPEN:
                     pos = n
                 parts.append(" ")
             elif name in BLOCKS:

@@ -83,13 +83,13 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keep: str = "max") -> DataFrame:
     """The rows that stay, one per class of equal texts, all columns."""
+    sha, k_sha, k_id = (fresh(n, docs.columns) for n in ("content_sha256", "__k_sha", "__k_id"))
     keepers = _classes(docs, id_col, text_col, keep, content_hash).select(
-        F.col("sha").alias("__k_sha"), F.col("keep_id").alias("__k_id"))
-    sha = fresh("content_sha256", docs.columns)
+        F.col("sha").alias(k_sha), F.col("keep_id").alias(k_id))
     tagged = docs.withColumn(
         sha, F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)))
-    stay = tagged.join(keepers, (F.col(sha) == F.col("__k_sha"))
-                       & F.col(id_col).eqNullSafe(F.col("__k_id")), "left_semi")
+    stay = tagged.join(keepers, (F.col(sha) == F.col(k_sha))
+                       & F.col(id_col).eqNullSafe(F.col(k_id)), "left_semi")
     repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     if not repeated.isEmpty():  # rows that repeat id and text are one document
         stay = stay.dropDuplicates([id_col, sha])

@@ -53,7 +53,8 @@ OTHER_NAMES = {
     "notice": ("notice", "cookie", "consent", "gdpr", "alert", "popup", "modal", "warning",
                "newsletter", "subscribe", "banner notice"),
     "form": ("form", "search", "login", "signup", "contact", "subscribe form"),
-    "comments": ("comments", "comment list", "comment", "reply", "respond", "discussion", "disqus"),
+    "comments": ("comments", "comment list", "comment", "reply", "respond", "discussion", "disqus",
+                 "disqus thread", "comment section", "responses", "user comments"),
     "share": ("share", "social", "sharing", "follow", "tags", "meta"),
 }
 
@@ -83,8 +84,10 @@ def segment_features(text: str, link: int) -> list[str]:
     out = [f"len:{min(10, n.bit_length())}", f"link:{min(4, 5 * link // max(1, n))}",
            f"dots:{min(4, sum(map(text.count, '.!?')))}",
            f"end:{text[-1] in '.!?:;…”\"'}"]
-    if "©" in text or "|" in text:
-        out.append("mark:©" if "©" in text else "mark:|")
+    if "©" in text or text[:9].lower() == "copyright":
+        out.append("mark:©")
+    elif "|" in text:
+        out.append("mark:|")
     return out
 
 
@@ -222,6 +225,18 @@ def _wrap(rng: random.Random, kind: str, inner: str, tags: tuple[str, ...]) -> s
     return f'<{tag}{named} x-content="0">{inner}</{tag}>'
 
 
+def linked(text: str, rng: random.Random) -> str:
+    """Now and then some words of a content text, or all, inside a link."""
+    words, r = text.split(), rng.random()
+    if r < .1:
+        return f'<a href="/x">{text}</a>'
+    if r < .25 and len(words) > 3:
+        a = rng.randrange(len(words) - 1)
+        b = min(len(words), a + rng.randrange(1, 6))
+        return " ".join([*words[:a], f'<a href="/x">{" ".join(words[a:b])}</a>', *words[b:]])
+    return text
+
+
 def rebuilt(t: Tree, y: np.ndarray, pool: list[str], rng: random.Random) -> str:
     """A page of other markup around the content of a labelled page."""
     def some(n):
@@ -241,8 +256,8 @@ def rebuilt(t: Tree, y: np.ndarray, pool: list[str], rng: random.Random) -> str:
         if text and y[i]:
             tag = t.tag[t.parent[i]]
             tag = tag if tag in ("h1", "h2", "h3", "p", "li", "blockquote", "pre", "td") else "p"
-            body.append(f"<{tag}>{_html.escape(text)}</{tag}>")
-    for kind in ("list", "table", "quote", "heading", "figure"):
+            body.append(f"<{tag}>{linked(_html.escape(text), rng)}</{tag}>")
+    for kind in ("list", "table", "quote", "heading", "figure", "links", "sources", "word", "formula"):
         if rng.random() < .35:          # articles hold more than paragraphs
             few = [x[:rng.choice([25, 60, 120])] for x in some(rng.randrange(2, 6))]
             body.insert(rng.randrange(len(body) + 1), {
@@ -252,6 +267,12 @@ def rebuilt(t: Tree, y: np.ndarray, pool: list[str], rng: random.Random) -> str:
                 "quote": f"<blockquote><p>{few[0]}</p></blockquote>",
                 "heading": f"<h2>{' '.join(few[0].split()[:4])}</h2>",
                 "figure": f"<figure><img src='x'><figcaption>{few[0]}</figcaption></figure>",
+                "links": "".join(f'<p><a href="/x">{" ".join(x.split()[:k])}</a></p>'
+                                 for x, k in zip(few, (2, 99, 4))),
+                "sources": "<ul>" + "".join(f'<li><a href="/x">{" ".join(x.split()[:4])}</a></li>'
+                                            for x in few) + "</ul>",
+                "word": f"<p>{few[0].split()[0]}</p>",
+                "formula": f"<p>{few[0]} <math><mi>x</mi><mo>=</mo><mn>{len(few)}</mn></math></p>",
             }[kind])
     inner = "".join(body)
     if rng.random() < .3:
@@ -281,6 +302,9 @@ def rebuilt(t: Tree, y: np.ndarray, pool: list[str], rng: random.Random) -> str:
     ]
     parts = [x for x in before if rng.random() < .55] + [content] + \
         [x for x in after if rng.random() < .55]
+    if rng.random() < .2:       # an unnamed last line
+        parts.append(f"<hr><small>{rng.choice(['Copyright', '&copy;'])} {rng.randrange(1995, 2025)} "
+                     f"{''.join(short(1))}</small>")
     if rng.random() < .3:
         parts = [f'<div class="{rng.choice(["wrapper", "container", "row", "page", "site"])}">',
                  *parts, "</div>"]

@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort.llm.common import chunks, column_bytes, cut_lineage, map_arrow, utf8_buffer
+from cohort.llm.common import (column_of, chunks, column_bytes, cut_lineage, map_arrow,
+                               utf8_buffer)
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other", "wide")
 SYMBOLS = b"#*$%&|<>"
@@ -52,7 +53,9 @@ class Params:
     min_chars: int = 200
     min_words: int = 50
     max_char_distance: float = 0.33
-    max_word_distance: float = 0.42
+    # the limit of a long text, and what a sample of n words adds: / sqrt(n)
+    max_word_distance: float = 0.28
+    word_noise: float = 1.35
 
 
 @dataclass
@@ -79,7 +82,7 @@ CLASS_OF = _class_table()
 
 def char_counts(batch: pa.RecordBatch, column: str = "text") -> np.ndarray:
     """rows x CLASSES code-point counts."""
-    raw, offs = utf8_buffer(batch.column(batch.schema.get_field_index(column)))
+    raw, offs = utf8_buffer(column_of(batch, column))
     k = len(CLASSES) + 1
     row = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(offs))
     flat = np.bincount(row * k + CLASS_OF[raw], minlength=batch.num_rows * k)
@@ -239,7 +242,7 @@ class Scorer:
         repeat = np.array([repeated_words(flat[a:b], len(index))
                            for a, b in zip(ends[:-1], ends[1:])], np.int64)
         char_d, word_d = np.ones(n), np.ones(n)
-        langs = c.column(c.schema.get_field_index("lang")).to_pylist()
+        langs = column_of(c, "lang").to_pylist()
         row_of = np.repeat(np.arange(n), n_words)
         for lang, (common, words_ref, chars_ref) in self.refs.items():
             rows = np.array([i for i, x in enumerate(langs) if x == lang or x not in self.refs],
@@ -262,10 +265,11 @@ class Scorer:
             char_d[:], word_d[:] = 0.0, 0.0
         failed = (n_words < 50) | (100 * repeat > 50 * n_words)
         diverges = ((char_d > p.max_char_distance) & (chars.sum(axis=1) >= p.min_chars)) | \
-                   ((word_d > p.max_word_distance) & (n_words >= p.min_words))
+                   ((word_d > p.max_word_distance + p.word_noise / np.sqrt(np.maximum(n_words, 1)))
+                    & (n_words >= p.min_words))
         space = CLASSES.index("space")
         return pa.RecordBatch.from_arrays(
-            [c.column(c.schema.get_field_index("doc_id")), pa.array(n_words),
+            [column_of(c, "doc_id"), pa.array(n_words),
              pa.array(chars.sum(axis=1) - chars[:, space]),
              pa.array(chars[:, CLASSES.index("symbol")]),
              pa.array([dup_lines(t) for t in texts], pa.int64()), pa.array(repeat),

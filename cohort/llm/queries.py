@@ -115,7 +115,8 @@ SELECT b.doc_id, b.n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed
        AND NOT (coalesce(char_d, 0) > {_P.max_char_distance}::DOUBLE AND n_chars >= {_P.min_chars})
-       AND NOT (coalesce(word_d, 0) > {_P.max_word_distance}::DOUBLE AND n_words >= {_P.min_words})
+       AND NOT (coalesce(word_d, 0) > {_P.max_word_distance}::DOUBLE
+                    + {_P.word_noise}::DOUBLE / sqrt(greatest(n_words, 1)::DOUBLE) AND n_words >= {_P.min_words})
          AS kept
 FROM b LEFT JOIN cd ON cd.rid = b.rid LEFT JOIN wd ON wd.rid = b.rid
 """

@@ -18,7 +18,8 @@ fingerprints, which the method implies; the population counts take off about
 four fifths of it.
 
 Defined results: null and word-free texts have fingerprint zero and link like
-any other; repeated rows share a component; an empty table gives an empty
+any other; a null id counts as smaller than any id, so a component that holds
+one has a null id; repeated rows share a component; an empty table gives an empty
 result; other columns are ignored (``keep`` passes them through).
 """
 
@@ -200,12 +201,11 @@ def cluster(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def keep(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One document of each component stays: the smallest id; all columns."""
     _, per_fp = _clustered(docs, p)
-    heads = per_fp.select(F.col("head.id").alias("__k_id"),
-                          F.col("head.mark").alias("__k_mark")).distinct()
-    mark = fresh("text_mark", docs.columns)
+    mark, k_id, k_mark = (fresh(n, docs.columns) for n in ("text_mark", "__k_id", "__k_mark"))
+    heads = per_fp.select(F.col("head.id").alias(k_id), F.col("head.mark").alias(k_mark)).distinct()
     tagged = docs.withColumn(mark, F.xxhash64(text_or_empty()))
-    stay = tagged.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id"))
-                       & (F.col(mark) == F.col("__k_mark")), "left_semi")
+    stay = tagged.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col(k_id))
+                       & (F.col(mark) == F.col(k_mark)), "left_semi")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     if not repeated.isEmpty():  # rows that repeat id and text are one document
         stay = stay.dropDuplicates(["doc_id", mark])

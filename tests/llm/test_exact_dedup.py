@@ -56,3 +56,11 @@ def test_empty_table_and_null_ids(spark):
         [(None, None, 2, True), (None, None, 2, True), (None, 3, 2, False), (3, 3, 2, True)],
         key=repr)
     assert exact_dedup.deduplicate(nulls).count() == 2
+
+
+def test_deduplicate_with_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a", 1, 2), (2, "a", 3, 4), (3, "b", 5, 6)],
+                               "doc_id long, text string, __k_sha int, __K_ID int")
+    kept = exact_dedup.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [(2, "a", 3, 4), (3, "b", 5, 6)]

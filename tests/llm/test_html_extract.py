@@ -141,3 +141,22 @@ def test_nulls_repeats_empty(spark, pages, model):
     assert got[4][2].count("\n\n") == 19_999
     empty = df.where("false")
     assert H.extract(empty).collect() == []
+
+
+LINKED = ['<p>See <a href="x">this link which is the whole of the paragraph text</a></p>',
+          '<p><a href="x">A source</a></p>', "<p>Word</p>",
+          '<p>A formula <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> here</p>']
+LINKED_TEXT = ["See this link which is the whole of the paragraph text", "A source", "Word",
+               "A formula x=2 here"]
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", '<div class="content">%s</div>'])
+@pytest.mark.parametrize("i", range(4))
+def test_links_words_and_formulas_of_the_text_stay(model, wrap, i):
+    first, last = "A plain sentence goes on for a while, and it ends here.", "The last one of them ends here."
+    h = ('<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav>'
+         + wrap % f"<h1>The title of it</h1><p>{first}</p>{LINKED[i]}<p>{last}</p>"
+         + '<div id="disqus_thread"><p>I agree with the writer of this text.</p></div><hr>'
+           "<small>Copyright 2001</small></body></html>")
+    text = H.Reader(model, H.Params()).texts([h])[0].split("\n\n")
+    assert text == ["The title of it", first, LINKED_TEXT[i], last]

@@ -1,10 +1,14 @@
 import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from cohort.llm import quality_rules as Q
+from cohort.llm.common import column_bytes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, n_words string, kept int"
@@ -92,3 +96,30 @@ def test_repeated_words_many_distinct_ids():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 50, 400)
     assert Q.repeated_words(ids, 50) == Q.repeated_words(ids, 1 << 21)
+
+
+def test_columns_in_other_case_and_absent_columns(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text, "en", "x"), (2, "short", "en", "y")],
+                               "doc_id long, Text string, Lang string, last string")
+    assert [r.doc_id for r in Q.keep(df).collect()] == [1]
+    with pytest.raises(KeyError):
+        column_bytes(pa.RecordBatch.from_pydict({"other": ["a"]}))
+
+
+def test_the_word_limit_falls_with_length(spark):
+    """The same mix of words is allowed more distance in a short text."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    def text(n, share):
+        return " ".join(rng.choice(common) if rng.random() > share else f"r{rng.randrange(10 ** 6)}"
+                        for _ in range(n))
+    rows = [(i, text(400, .1), "en") for i in range(60)] + [(100, text(3000, .55), "en")] \
+        + [(101, text(60, .1), "en")]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string")).collect()}
+    p = Q.Params()
+    for r in got.values():
+        limit = p.max_word_distance + p.word_noise / r.n_words ** .5
+        assert r.kept == (r.char_distance <= p.max_char_distance and r.word_distance <= limit)
+    assert got[101].kept and got[101].word_distance > got[0].word_distance

@@ -108,3 +108,12 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted((r.doc_id, r.component_id) for r in S.cluster(df).collect()) == [(7, 7)] * 3
     assert sorted(map(tuple, S.keep(df).collect())) == sorted({rows[0], rows[2]})
+
+
+def test_keep_with_columns_of_its_own_names_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 1, 2), (2, "a b c d e", 3, 4), (3, "q r s t u v", 5, 6)],
+                               "doc_id long, text string, __k_id int, __k_mark int")
+    kept = S.keep(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    null = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
+    assert {r.component_id for r in S.cluster(null).collect()} == {None}
