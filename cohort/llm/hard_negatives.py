@@ -24,8 +24,10 @@ Plan:
    the current last one up; negatives: the windows, from the current last one
    up). Only the rest is scored.
 3. Each task returns its best rows per anchor (and window), and one aggregate
-   per anchor keeps the first of all. Nothing is capped: the bounds are safe, so
-   the result is that of scoring all pairs.
+   per anchor keeps the first of all. Of many partitions every n-th (n: the root
+   of their number) is met first; what it gives bounds from below what the others
+   need to return, so that rows returned grow with the root. Nothing is capped:
+   the bounds are safe, so the result is that of scoring all pairs.
 
 Defined results: rows with a null id, label or vector, or a null or non-finite
 component take no part. An id is one row: of rows that repeat an id the one
@@ -177,10 +179,11 @@ class Block:
 
 
 class Best:
-    """The first ``k`` (score, id) pairs of each slot so far."""
+    """The first ``k`` (score, id) pairs of each slot so far; ``floor`` is a
+    score that the k-th of all rows has at least."""
 
-    def __init__(self, slots: int, k: int):
-        self.k, self.floor = k, np.full(slots, np.iinfo(np.int64).min)
+    def __init__(self, floor: np.ndarray, k: int):
+        self.k, self.floor = k, floor.copy()
         self.slot, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
 
     def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
@@ -195,7 +198,7 @@ class Best:
         keep = rank < self.k
         self.slot, self.score, self.id = s[keep], v[keep], i[keep]
         full = rank == self.k - 1
-        self.floor[s[full]] = v[full]
+        self.floor[s[full]] = np.maximum(self.floor[s[full]], v[full])
 
 
 def _first_of(s: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
@@ -300,13 +303,17 @@ def _block(t: pa.Table, dims: int) -> Block:
                  t.column("norm").to_numpy(), _matrix(ang, len(ang[0])), labels)
 
 
-def _meet(index: DataFrame, b: Block, slots: int, k: int, dims: int, meet) -> DataFrame:
+#: Fewer partitions are met in one step.
+STEP_PARTITIONS = 16
+
+
+def _pass(index: DataFrame, b: Block, floor: np.ndarray, k: int, dims: int, meet) -> DataFrame:
     """slot, score, id: each task's best rows for the anchors of a block."""
-    shared = index.sparkSession.sparkContext.broadcast(b)
+    shared = index.sparkSession.sparkContext.broadcast((b, floor))
     schema = pa.schema([("slot", pa.int64()), ("score", pa.int64()), ("id", pa.int64())])
 
     def run(batches):
-        blk, best = shared.value, Best(slots, k)
+        blk, best = shared.value[0], Best(shared.value[1], k)
         width = blk.ang.shape[1]
         for batch in batches:
             for s in range(0, batch.num_rows, CHUNK_ROWS):
@@ -319,6 +326,20 @@ def _meet(index: DataFrame, b: Block, slots: int, k: int, dims: int, meet) -> Da
     return index.mapInArrow(run, "slot long, score long, id long")
 
 
+def _meet(index: DataFrame, parts: int, b: Block, slots: int, k: int, dims: int, meet) -> DataFrame:
+    """slot, score, id, rank: the first k rows of all for each slot."""
+    floor = np.full(slots, np.iinfo(np.int64).min)
+    if parts < STEP_PARTITIONS:
+        return _firsts(_pass(index, b, floor, k, dims, meet), k)
+    step = int(parts ** 0.5)
+    early = F.spark_partition_id() % step == 0
+    some = cut_lineage(_firsts(_pass(index.where(early), b, floor, k, dims, meet), k))
+    last = some.where(F.col("rank") == k).select("slot", "score").toArrow()  # one a slot of the block
+    floor[last.column("slot").to_numpy()] = last.column("score").to_numpy()
+    rest = _pass(index.where(~early), b, floor, k, dims, meet)
+    return _firsts(some.drop("rank").unionByName(rest), k)
+
+
 def _firsts(found: DataFrame, k: int) -> DataFrame:
     """The first k rows of each slot over all tasks, with their rank from 1."""
     w = Window.partitionBy("slot").orderBy(F.desc("score"), "id")
@@ -357,6 +378,7 @@ def mine(rows: DataFrame, anchor: Column, id_col: str = "vec_id", label_col: str
         return spark.createDataFrame([], OUT)
     dims = max(1, dims)
     index = _index(part, p, n, dims)
+    parts = index.rdd.getNumPartitions()
     anchors = index.where("anchor").drop("anchor")
     # blocks by id hash: twice the number needed keeps each below the bound
     blocks = 1 if n_anchors <= p.anchor_block else -(-2 * n_anchors // p.anchor_block)
@@ -367,11 +389,11 @@ def mine(rows: DataFrame, anchor: Column, id_col: str = "vec_id", label_col: str
         if not t.num_rows:
             continue
         b = _block(t, dims)
-        top = _firsts(_meet(index, b, len(b.id), p.positives, dims, meet_positives),
-                      p.positives).toArrow()  # positives of one block
+        top = _meet(index, parts, b, len(b.id), p.positives, dims,
+                    meet_positives).toArrow()  # positives of one block
         pos = _windows(b, top, p)
         n_w = p.positives
-        found = _firsts(_meet(index, b, len(b.id) * n_w, p.negatives, dims, meet_negatives), p.negatives)
+        found = _meet(index, parts, b, len(b.id) * n_w, p.negatives, dims, meet_negatives)
         names = spark.createDataFrame(
             [(s, int(b.id[s // n_w]), int(pos[s // n_w, s % n_w, 0]), int(pos[s // n_w, s % n_w, 1]))
              for s in range(len(b.id) * n_w)],

@@ -54,7 +54,7 @@ ODD = [(None, 1, [1.0, 0.0], "", 0), (1001, None, [1.0, 0.0], "", 0), (1002, 1,
        (1010, 0, [-1.0, 2.0, -0.5], "", 0), (1100, 1, [], "", 0)]
 
 
-@pytest.mark.parametrize("kw", [{}, {"positives": 2, "negatives": 3, "directions": 3, "task_rows": 50},
+@pytest.mark.parametrize("kw", [{}, {"positives": 2, "negatives": 3, "directions": 3, "task_rows": 20},
                                 {"anchor_block": 4, "sample_rows": 20, "directions": 1}])
 def test_matches_brute_force(spark, kw):
     rows = corpus(400, 8) + ODD
@@ -76,7 +76,7 @@ def test_chunks_are_skipped_and_nothing_is_lost(monkeypatch):
     ids, label = np.arange(3000), cell % 3
     a = np.arange(0, 3000, 100)
     b = H.Block(ids[a], label[a], x[a], norm[a], ang[a], {})
-    best, scored = H.Best(len(a), 5), 0
+    best, scored = H.Best(np.full(len(a), np.iinfo(np.int64).min), 5), 0
     for s in range(0, 3000, 100):
         c = slice(s, s + 100)
         scored += H.meet_positives(b, best, ids[c], label[c], x[c], norm[c], ang[c])
