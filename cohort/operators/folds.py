@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from cohort.operators.ordering import positions
 
 
+#: Classes that folds are stratified by.
+MAX_CLASSES = 10_000
+
+
 def _fold_bounds(s: int, n: int, k: int) -> list[int]:
     """Cumulative block ends of one class: fold i holds the class rows
     whose position j satisfies bounds[i-1] <= j < bounds[i]."""
@@ -38,7 +42,9 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int,
     """Exact unshuffled stratified k-fold column (0..k-1). A row without a
     label belongs to no class and keeps a null fold."""
     cls = (df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"))
-           .orderBy("first").collect())  # one row per class (few classes)
+           .orderBy("first").limit(MAX_CLASSES + 1).collect())
+    if len(cls) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: not a classification label")
     start, rows = 0, []
     for r in cls:
         rows.append((r[label], _fold_bounds(start, r["n"], k)))

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from cohort.operators.joins import lookup_join
 from cohort.operators.ordering import running_sums
+from cohort.session import cut_lineage
+
+#: Classes that a confusion matrix over unnamed classes may have.
+MAX_CLASSES = 1000
 
 
 def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = (),
@@ -22,8 +26,12 @@ def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = (),
     counts = df.groupBy(*g, F.col(label).alias("label"), F.col(pred).alias("prediction")) \
         .agg(F.count(F.lit(1)).alias("n"))
     if classes is None:
-        classes = sorted(r[0] for r in df.select(label).union(df.select(pred)).distinct().collect()
-                         if r[0] is not None)
+        counts = cut_lineage(counts)  # the classes come from the counts, not a second scan
+        found = counts.select(F.explode(F.array("label", "prediction")).alias("c")).where("c IS NOT NULL") \
+            .distinct().limit(MAX_CLASSES + 1).collect()
+        if len(found) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes: name them, or check the label column")
+        classes = sorted(r[0] for r in found)
     cl = F.array(*[F.lit(c) for c in classes])
     grid = (counts.select(*g).distinct() if g else df.sparkSession.range(1).select())
     grid = grid.select(*g, F.explode(cl).alias("label")).select(
@@ -57,11 +65,17 @@ def classification_metrics(df: DataFrame, label: str, pred: str,
         F.avg(f1).alias("f1_macro"), F.sum("actual").cast("long").alias("n"))
 
 
-def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
+               corners: bool = False) -> DataFrame:
     """V7: one ROC point per distinct score (threshold), high to low:
     fpr/tpr of predicting positive when score >= threshold. Scores are first
     compressed to (group, score, positives, negatives); cumulative sums use
-    range partitioning, not a single-task window."""
+    range partitioning, not a single-task window.
+
+    ``corners``: the points at which the curve turns only - a score's point
+    goes if the next score adds as many positives and negatives as this one did -
+    and the start point (0, 0) of each group, with a null threshold. The area is
+    the same."""
     g = list(by)
     comp = (df.select(*g, F.col(score).cast("double").alias("threshold"),
                       F.col(label).cast("int").alias("__y"))
@@ -69,7 +83,7 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
             .agg(F.sum("__y").cast("long").alias("pos"),
                  F.sum(1 - F.col("__y")).cast("long").alias("neg")))
     cum = running_sums(comp.withColumn("__neg_t", -F.col("threshold")), g, ["__neg_t"],
-                       ["pos", "neg"])
+                       ["pos", "neg"], ahead=["pos", "neg"] if corners else ())
     # totals from the checkpointed ranged frame (no second scan of the input)
     tot = cum.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if g:
@@ -77,10 +91,21 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
     else:
         P, N = tot.first()  # no groups: two scalars
         j = cum.withColumn("P", F.lit(P)).withColumn("N", F.lit(N))
-    return j.select(*g, "threshold",
-                    F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
-                    F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"),
-                    "pos", "neg", "cum_pos", "cum_neg")
+    if corners:
+        first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+        turns = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+        j = j.where(first | F.col("next_pos").isNull() | turns)
+    points = j.select(*g, "threshold",
+                      F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
+                      F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"),
+                      "pos", "neg", "cum_pos", "cum_neg")
+    if not corners:
+        return points
+    none = F.lit(0).cast("long")
+    start = j.where(first).select(
+        *g, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
+        *[none.alias(c) for c in ("pos", "neg", "cum_pos", "cum_neg")])
+    return points.unionByName(start)
 
 
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

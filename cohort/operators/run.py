@@ -13,6 +13,7 @@ from cohort.operators import aggregate as A
 from cohort.operators import explain as X
 from cohort.operators import selection as SEL
 from cohort.operators.folds import stratified_folds
+from cohort.operators.kernel_shap import kernel_shapley
 from cohort.operators.models import DEFAULT_PARAMS, KEYS, MODEL_NAMES, prepare, settle
 from cohort.operators.pipeline import FEATURE_NAMES, FEATURES, FeaturePipeline
 from cohort.operators.score import Scorer
@@ -29,8 +30,8 @@ class BatchRun:
     key: str                    # the chosen model's key
     scorer: Scorer
     predictions: DataFrame      # id, prediction, p1, confidence of the batch to score
-    attributions: DataFrame | None      # one column per feature, by id
-    ranking: DataFrame | None           # features by mean |attribution|
+    attributions: DataFrame     # one column per feature, by id
+    ranking: DataFrame          # features by mean |attribution|
     profile_keys: list          # profile keys behind the top features
 
 
@@ -49,11 +50,13 @@ def matrix(features: FeaturePipeline, train: DataFrame, label: str, id_col: str,
 
 def batch_run(features: FeaturePipeline, train: DataFrame, test: DataFrame, out_dir: str,
               grids: dict | None = None, folds: int = 3, background: int = 100,
-              top: int = 5) -> BatchRun:
+              top: int = 5, kernel_rows: int = 100, kernel_samples: int | None = None) -> BatchRun:
     """``grids``: candidates per model key, the default parameters of all five
-    models if not given. Attributions cover every row of ``test`` against
-    ``background`` training rows sampled by seeded id hash: exact for the linear
-    and the tree models; a k-NN winner has none. Writes ``submission`` (CSV) and
+    models if not given. Attributions are against ``background`` training rows
+    sampled by seeded id hash: for the linear and the tree models exact and of
+    every row of ``test``; for any other winner sampled (``kernel_samples``
+    coalitions, default 2 a feature) and of ``kernel_rows`` rows sampled the same
+    way, since each costs coalitions x background predictions. Writes ``submission`` (CSV) and
     ``model`` under ``out_dir``."""
     label, id_col = features.roles["label"], features.roles["id"]
     fp, prep, data = matrix(features, train, label, id_col, folds)
@@ -67,13 +70,15 @@ def batch_run(features: FeaturePipeline, train: DataFrame, test: DataFrame, out_
     scorer.save(os.path.join(out_dir, "model"))
     rows = prep.apply(fp.transform(test))
     sample = X.sample_rows(data, background, 42, "id")
-    att = None
     if key == "lr":
         att = X.shapley_linear(model, rows, sample, FEATURE_NAMES, [id_col])
     elif key in TREE_KEYS:
         att = tree_shapley(model, rows, sample, FEATURE_NAMES, [id_col])
-    ranking = None if att is None else A.mean_abs_rank(att, FEATURE_NAMES)
+    else:
+        few = X.sample_rows(rows, kernel_rows, 42, id_col)
+        att = cut_lineage(kernel_shapley(model, few, sample, FEATURE_NAMES, [id_col],
+                                         kernel_samples or 2 * len(FEATURE_NAMES), key))
+    ranking = A.mean_abs_rank(att, FEATURE_NAMES)
     names = dict(FEATURES)
-    chosen = [] if ranking is None else X.drilldown(
-        [names[r["feature"]] for r in ranking.limit(top).collect()])
+    chosen = X.drilldown([names[r["feature"]] for r in ranking.limit(top).collect()])
     return BatchRun(table, key, scorer, predictions, att, ranking, chosen)

@@ -70,10 +70,21 @@ def load_model(spark: SparkSession, key: str, path: str):
     return cls.load(os.path.join(path, "model"))
 
 
+def per_row(model) -> bool:
+    if hasattr(model, "members"):
+        return all(per_row(m) for m in model.members.values())
+    return not isinstance(model, KNNModel)
+
+
 class Scorer:
     def __init__(self, features: FeaturePipelineModel, prepared: Prepared, key: str, model):
         self.features, self.prepared, self.key, self.model = features, prepared, key, model
 
+    @property
+    def per_row(self) -> bool:
+        """True if scoring is an expression per row (no join, nothing written)."""
+        return per_row(self.model)
+
     def score(self, df: DataFrame, id_col: str = "id") -> DataFrame:
         """Int prediction, positive probability and confidence (the larger
         class probability), with the id where the rows have one. A hard vote

@@ -636,6 +636,14 @@ def roc_curve(spark, sf):
                     r6("tpr").alias("tpr"))
 
 
+@query("roc_corners")
+def roc_corners(spark, sf):
+    """V7: start point and turning points of the ROC curve per model."""
+    r = MT.roc_points(_li_long(spark, sf), "label", "score", ["model"], corners=True)
+    return r.select("model", r6("threshold").alias("threshold"), r6("fpr").alias("fpr"),
+                    r6("tpr").alias("tpr"))
+
+
 @query("auc")
 def auc(spark, sf):
     """V7: AUC per model (trapezoid rule over the ROC points)."""

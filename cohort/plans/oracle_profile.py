@@ -205,6 +205,17 @@ ORACLE_PROFILE = {
           sum(neg) OVER (PARTITION BY model ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cn,
           sum(pos) OVER (PARTITION BY model) AS tp_all, sum(neg) OVER (PARTITION BY model) AS tn_all FROM c)
         SELECT model, round(threshold, 6) AS threshold, round(cn / tn_all, 6) AS fpr, round(cp / tp_all, 6) AS tpr FROM cum""",
+    "roc_corners": f"""WITH c AS (SELECT model, score AS threshold, sum(label) AS pos, sum(1 - label) AS neg FROM {LONG} GROUP BY ALL),
+        cum AS (SELECT model, threshold, pos, neg,
+          sum(pos) OVER (PARTITION BY model ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cp,
+          sum(neg) OVER (PARTITION BY model ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cn,
+          row_number() OVER (PARTITION BY model ORDER BY threshold DESC) AS i,
+          lead(pos) OVER (PARTITION BY model ORDER BY threshold DESC) AS np,
+          lead(neg) OVER (PARTITION BY model ORDER BY threshold DESC) AS nn,
+          sum(pos) OVER (PARTITION BY model) AS tp_all, sum(neg) OVER (PARTITION BY model) AS tn_all FROM c)
+        SELECT model, round(threshold, 6) AS threshold, round(cn / tn_all, 6) AS fpr, round(cp / tp_all, 6) AS tpr
+        FROM cum WHERE i = 1 OR np IS NULL OR np <> pos OR nn <> neg
+        UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM c""",
     "auc": f"""WITH c AS (SELECT model, score AS threshold, sum(label) AS pos, sum(1 - label) AS neg FROM {LONG} GROUP BY ALL),
         cum AS (SELECT model, pos, neg,
           sum(pos) OVER (PARTITION BY model ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cp FROM c)

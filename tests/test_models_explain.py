@@ -185,3 +185,50 @@ def test_learning_curve_counts(spark):
 def test_drilldown_rule():
     assert X.drilldown(["Age Fare", "Sex*Class", "Fare^2", "Pclass", "Age"]) == \
         ["AgeGroup", "Sex", "FareGroup", "Pclass"]
+
+
+def test_kernel_attributions_are_exact_with_all_coalitions(spark):
+    from cohort.operators import kernel_shap as K
+    df = _separable(spark, 120)
+    names, bg, rows = ["a", "b", "c", "d"], X.sample_rows(df, 6, 42, "id"), df.where("id < 6")
+    b = [r.features.toArray() for r in bg.collect()]
+    lr = fit_model("lr", df)
+    linear = X.shapley_linear(lr, rows, bg, names, ["id"]).toPandas().sort_values("id")[names].to_numpy()
+    got = K.kernel_shapley(lr, rows, bg, names, ["id"], margin=True).toPandas().sort_values("id")
+    assert np.allclose(got[names].to_numpy(), linear, atol=1e-8)
+    for key in ("gb", "knn"):
+        m = fit_model(key, df, {"n_estimators": 3} if key == "gb" else None)
+        got = {r.id: np.array([r[n] for n in names])
+               for r in K.kernel_shapley(m, rows, bg, names, ["id"], key=key).collect()}
+        if key == "gb":
+            f = lambda v: m.proba(v[None, :])[0]
+        else:
+            t = df.select("id", "label", "features").toPandas()
+            x, y = np.array([v.toArray() for v in t.features]), t.label.to_numpy()
+
+            def f(v):
+                d = ((x - v) ** 2).sum(axis=1)
+                return y[np.lexsort((t.id, d))[:5]].mean()
+        for r in rows.collect():
+            v = r.features.toArray()
+            assert np.allclose(got[r.id], _brute_shapley(f, v, b, 4), atol=1e-9), key
+            assert abs(got[r.id].sum() - (f(v) - np.mean([f(w) for w in b]))) < 1e-9
+
+
+def test_sampled_coalitions_sum_up_and_come_near():
+    from cohort.operators import kernel_shap as K
+    z, w = K.coalitions(12, 200)
+    assert len(z) <= 202 and len({tuple(r) for r in z}) == len(z) and np.isclose(w.sum(), 1)
+    every, all_w = K.coalitions(8, 10 ** 6)
+    assert len(every) == 2 ** 8 - 2 and np.isclose(all_w.sum(), 1)
+    rng = np.random.default_rng(0)
+    x, bg, a = rng.normal(size=12), rng.normal(size=(9, 12)), rng.normal(size=12)
+    f = lambda v: np.tanh(v @ a) + v[:, 0] * v[:, 1]
+    p, g = K.solver(z, w)
+    full, base = f(x[None, :]), f(bg).mean()
+    phi = K.solve(p, g, K.mixed_values(x, z, bg, f)[None, :], full, base)[0]
+    assert np.isclose(phi.sum(), full[0] - base)
+    ze, we = K.coalitions(12, 10 ** 6)
+    pe, ge = K.solver(ze, we)
+    exact = K.solve(pe, ge, K.mixed_values(x, ze, bg, f)[None, :], full, base)[0]
+    assert np.abs(phi - exact).max() < 0.15 * np.abs(exact).max()

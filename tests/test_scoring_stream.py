@@ -95,3 +95,38 @@ def test_batch_run_end_to_end(spark, tmp_path):
     again = Scorer.load(spark, str(tmp_path / "model")).score(df.drop("Survived"), "PassengerId")
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, r.predictions.collect()))
     assert set(r.profile_keys) <= {"AgeGroup", "FareGroup", "Sex", "Pclass", "Embarked"}
+
+
+def test_models_that_write_their_rows_score_streams(spark):
+    from cohort.operators import selection as SEL
+    df = _passengers(spark, 90, 3)
+    fp = FeaturePipeline(bins="fitted").fit(df)
+    fm = fp.transform(df).withColumnRenamed("Survived", "label").withColumnRenamed("PassengerId", "id")
+    prep = prepare(fm, FEATURE_NAMES, keep=["id", "label"])
+    data = prep.apply(fm).cache()
+    members = {k: fit_model(k, data) for k in ("lr", "knn")}
+    kinds = {"knn": members["knn"], "vote": SEL.VotingModel(members, "soft"),
+             "stack": SEL.fit_stacking(["dt", "knn"], {}, data, 3)}
+    batch = df.withColumnRenamed("PassengerId", "id")
+    fp.state["roles"]["id"] = "id"
+    schema = ", ".join(f"{n} {t}" for n, t in batch.dtypes)
+    assert Scorer(fp, prep, "lr", members["lr"]).per_row
+    for key, model in kinds.items():
+        sc = Scorer(fp, prep, key, model)
+        assert not sc.per_row
+        base = tempfile.mkdtemp(prefix="cohort-stream-", dir="/tmp")
+        batch.repartition(2).write.parquet(f"{base}/in")
+        score_stream(spark, sc, f"{base}/in", schema, f"{base}/out", base)
+        assert read_scored(spark, f"{base}/out").orderBy("id").collect() == \
+            sc.score(batch).orderBy("id").collect(), key
+
+
+def test_batch_run_explains_a_knn_winner(spark, tmp_path):
+    from cohort.operators.run import batch_run
+    df = _passengers(spark, 80, 2)
+    r = batch_run(FeaturePipeline(), df, df.drop("Survived"), str(tmp_path), folds=2, background=4,
+                  grids={"knn": {"n_neighbors": [3]}}, kernel_rows=5)
+    assert r.key == "knn" and r.attributions.count() == 5 and r.ranking.count() == len(FEATURE_NAMES)
+    p1 = {x["PassengerId"]: x["p1"] for x in r.predictions.collect()}
+    sums = {x["PassengerId"]: sum(x[n] for n in FEATURE_NAMES) for x in r.attributions.collect()}
+    assert len({round(p1[i] - s, 9) for i, s in sums.items()}) == 1    # f(x) less the base, one for all
