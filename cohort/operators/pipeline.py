@@ -21,7 +21,7 @@ from cohort.functions import binning as B
 from cohort.functions import numeric as N
 from cohort.functions import text as T
 from cohort.operators.encode import INLINE_MAX, encode_with, fit_classes
-from cohort.operators.joins import attach_counts
+from cohort.operators.joins import attach_counts, lookup_join
 from cohort.operators.quantiles import exact_quantiles
 from cohort.sources.files import nan_to_null
 
@@ -86,16 +86,42 @@ def quantile_edges(df: DataFrame, col: str, probs=FARE_QUARTILES) -> list:
     return sorted({v for v in vals if v is not None})
 
 
+#: The features that a step - a fitted state, a join or a batch statistic - is
+#: made for; a pipeline runs the steps of its wanted features only.
+DECK = ("cabin_location_code", "fare_x_cabin_location_code", "cabin_location_code_x_age_band")
+STEPS = {
+    "ticket_frequency": ("ticket_frequency", "ticket_frequency_x_class"),
+    "ticket_prefix": ("ticket_prefix_code", "ticket_prefix_code_x_class"),
+    "deck": DECK,
+    "cabin_number": ("cabin_number",),
+    "cabin": ("has_cabin", "cabin_number", *DECK),
+    "port": ("embarked_code", "embarked_x_class"),
+    "fare_group": ("fare_group",),
+    # both medians or none: an absent column takes its median if both are known
+    "medians": ("age_group", "age_x_class", "fare_group", "fare_x_class", "age", "fare", "age_sq",
+                "age_fare", "fare_sq", "age_band_x_sex", "fare_x_cabin_location_code",
+                "age_x_family_size", "fare_per_person_x_class", "cabin_location_code_x_age_band",
+                "loneliness_score", "fare_sq_x_sex_code", "age_fare_x_sex_code"),
+}
+
+
+def steps_of(wanted) -> set:
+    return {step for step, feats in STEPS.items() if set(feats) & set(wanted)}
+
+
 @dataclass
 class FeaturePipeline:
     """Estimator. ``bins='batch'`` reproduces the reference (quartile bins
     and ticket frequency computed on the batch being transformed);
-    ``bins='fitted'`` freezes both at fit time (streaming, leak-free)."""
+    ``bins='fitted'`` freezes both at fit time (streaming, leak-free).
+    ``wanted``: the features to make (all if not given), which decide the state
+    that is fitted and the joins that a transform needs."""
     roles: dict = field(default_factory=lambda: dict(PASSENGER_ROLES))
     rare_min: int = 10
     title_codes: dict = field(default_factory=lambda: dict(T.TITLE_CODES))
     bins: str = "batch"
     flag_before_impute: bool = False
+    wanted: tuple | None = None
 
     def _has(self, df: DataFrame, role: str) -> bool:
         return self.roles.get(role) in df.columns
@@ -109,15 +135,21 @@ class FeaturePipeline:
         st: dict = {"roles": r, "rare_min": self.rare_min, "bins": self.bins,
                     "title_codes": self.title_codes,
                     "flag_before_impute": self.flag_before_impute}
+        wanted = [f for f in FEATURE_NAMES if self.wanted is None or f in self.wanted]
+        unknown = set(self.wanted or ()) - set(FEATURE_NAMES)
+        if unknown:
+            raise ValueError(f"no such features: {sorted(unknown)}")
+        st["wanted"], need = wanted, steps_of(wanted)
         has = {role: self._has(df, role) for role in r}
         cats = {}
-        if has["embarked"]:
+        if has["embarked"] and "port" in need:
             cats["embarked"] = F.col(r["embarked"]).cast("string")
-        if has["cabin"]:
+        if has["cabin"] and "cabin" in need:
             cats["cabin"] = F.col(r["cabin"]).cast("string")
+        if has["cabin"] and "deck" in need:
             cats["area"] = F.when(F.col(r["cabin"]).isNotNull(),
                                   T.cabin_area(T.first_letter(r["cabin"])))
-        if has["ticket"]:
+        if has["ticket"] and "ticket_prefix" in need:
             cats["prefix"] = T.ticket_prefix(r["ticket"])
         vc = None
         if cats:
@@ -154,25 +186,27 @@ class FeaturePipeline:
         st["mode_cabin"] = mode("cabin")
         tables = {}
         # E3 + E1: ticket prefixes, rare ones collapsed, 'OTHER' always a class
-        tables["ticket_prefix"] = (codes("prefix", [OTHER_PREFIX], self.rare_min)
-                                   if has["ticket"] else ["NONE", OTHER_PREFIX])
+        if "ticket_prefix" in need:
+            tables["ticket_prefix"] = (codes("prefix", [OTHER_PREFIX], self.rare_min)
+                                       if has["ticket"] else ["NONE", OTHER_PREFIX])
         # deck areas of the imputed cabins ('Unknown' always a class; it sorts last)
         extra = [UNKNOWN_AREA]
         if has["cabin"] and has_nulls("cabin"):
             mc = st["mode_cabin"]
             extra.append(_area_of(mc))
-        tables["cabin_area"] = codes("area", extra) if has["cabin"] else [UNKNOWN_AREA]
+        if "deck" in need:
+            tables["cabin_area"] = codes("area", extra) if has["cabin"] else [UNKNOWN_AREA]
         # N4 + E1: port mode then port classes of the imputed ports
-        if has["embarked"]:
+        if has["embarked"] and "port" in need:
             st["port_mode"] = st["mode_embarked"] if st["mode_embarked"] is not None else DEFAULT_PORT
             tables["port"] = codes("embarked", [st["port_mode"]] if has_nulls("embarked") else [])
         # N2 + N5: exact medians in one job set
         num = {}
-        if has["age"]:
+        if has["age"] and "medians" in need:
             num["age"] = nan_to_null(r["age"])
-        if has["fare"]:
+        if has["fare"] and "medians" in need:
             num["fare"] = nan_to_null(r["fare"])
-        if has["cabin"]:
+        if has["cabin"] and "cabin_number" in need:
             num["cabin_number"] = T.first_number(
                 F.coalesce(F.col(r["cabin"]), F.lit(st["mode_cabin"]).cast("string")))
         med = column_quantiles(df.select(*[e.alias(k) for k, e in num.items()]), list(num), [0.5]) \
@@ -184,9 +218,9 @@ class FeaturePipeline:
             vc.unpersist()
         if self.bins == "fitted":
             imp = FeaturePipelineModel(st, {}).impute(df)
-            if has["fare"]:
+            if has["fare"] and "fare_group" in need:
                 st["fare_edges"] = quantile_edges(imp, r["fare"])
-            if has["ticket"]:
+            if has["ticket"] and "ticket_frequency" in need:
                 tables["ticket_counts"] = (imp.groupBy(F.col(r["ticket"]).alias("value"))
                                            .agg(F.count(F.lit(1)).alias("n"))
                                            .where(F.col("value").isNotNull()))
@@ -222,7 +256,7 @@ class FeaturePipelineModel:
 
     @property
     def feature_names(self) -> list[str]:
-        return list(FEATURE_NAMES)
+        return list(self.state.get("wanted", FEATURE_NAMES))
 
     def impute(self, df: DataFrame) -> DataFrame:
         r, st = self.state["roles"], self.state
@@ -240,6 +274,7 @@ class FeaturePipelineModel:
     def transform(self, df: DataFrame) -> DataFrame:
         r, st = self.state["roles"], self.state
         has = lambda role: r.get(role) in df.columns
+        need = steps_of(self.feature_names)
         d = self.impute(df)
         imputed = d  # batch statistics are read from here, before any lookup join
         col = lambda role: F.col(r[role])
@@ -248,32 +283,36 @@ class FeaturePipelineModel:
         age = col("age") if has("age") else None
         fare = col("fare") if has("fare") else None
         # ticket frequency (W1) and prefix code
-        if has("ticket"):
-            if st["bins"] == "fitted":
-                tc = self.tables["ticket_counts"].select(
-                    F.col("value").alias(r["ticket"]), F.col("n").alias("ticket_frequency"))
-                from cohort.operators.joins import lookup_join
-                d = lookup_join(d, tc, r["ticket"], st["table_rows"].get("ticket_counts"))
-                d = d.withColumn("ticket_frequency", F.coalesce("ticket_frequency", F.lit(1)))
-            else:
-                d = attach_counts(d, r["ticket"], "ticket_frequency")
+        if not has("ticket") or "ticket_frequency" not in need:
+            d = d.withColumn("ticket_frequency", F.lit(1))
+        elif st["bins"] == "fitted":
+            tc = self.tables["ticket_counts"].select(
+                F.col("value").alias(r["ticket"]), F.col("n").alias("ticket_frequency"))
+            d = lookup_join(d, tc, r["ticket"], st["table_rows"].get("ticket_counts"))
+            d = d.withColumn("ticket_frequency", F.coalesce("ticket_frequency", F.lit(1)))
+        else:
+            d = attach_counts(d, r["ticket"], "ticket_frequency")
+        if has("ticket") and "ticket_prefix" in need:
             d = encode_with(d, T.ticket_prefix(r["ticket"]), self._codes("ticket_prefix"),
                             "ticket_prefix_code", fallback=OTHER_PREFIX)
         else:
-            d = d.withColumns({"ticket_frequency": F.lit(1), "ticket_prefix_code": F.lit(0)})
+            d = d.withColumn("ticket_prefix_code", F.lit(0))
         # deck area code, unseen area -> 'Unknown'
-        area = T.cabin_area(T.first_letter(r["cabin"]) if has("cabin") else F.lit("U"))
-        d = encode_with(d, area, self._codes("cabin_area"), "cabin_location_code",
-                        fallback=UNKNOWN_AREA)
+        if "deck" in need:
+            area = T.cabin_area(T.first_letter(r["cabin"]) if has("cabin") else F.lit("U"))
+            d = encode_with(d, area, self._codes("cabin_area"), "cabin_location_code",
+                            fallback=UNKNOWN_AREA)
+        else:
+            d = d.withColumn("cabin_location_code", F.lit(0))
         # port code, unseen port -> fitted mode
-        if has("embarked") and self._codes("port") is not None:
+        if has("embarked") and "port" in need and self._codes("port") is not None:
             port = F.coalesce(col("embarked"), F.lit(st["port_mode"]))
             d = encode_with(d, port, self._codes("port"), "embarked_code",
                             fallback=st["port_mode"])
         else:
             d = d.withColumn("embarked_code", F.lit(0))
         # quartile code of fare: edges of this batch (reference) or fitted
-        if fare is not None:
+        if fare is not None and "fare_group" in need:
             edges = st.get("fare_edges") if st["bins"] == "fitted" else quantile_edges(imputed, r["fare"])
             edges_col = F.array(*[F.lit(float(e)) for e in edges]) if edges else \
                 F.array().cast("array<double>")
@@ -330,7 +369,7 @@ class FeaturePipelineModel:
         keep = [F.col(r["id"])] if has("id") else []
         if has("label"):
             keep.append(F.col(r["label"]))
-        return d.select(*keep, *[feats[f].cast("double").alias(f) for f in FEATURE_NAMES])
+        return d.select(*keep, *[feats[f].cast("double").alias(f) for f in self.feature_names])
 
     # ---- persistence (S6) ----
     def save(self, path: str) -> None:

@@ -178,13 +178,13 @@ INTERACT = ["age_x_class", "fare_x_class", "sex_x_class", "age_band_x_sex", "emb
 @query("poly_features")
 def poly_features(spark, sf):
     """Degree-2 terms of (age, fare) in the reference's order."""
-    return _fitted_matrix(spark, sf).select("id", *POLY)
+    return _fitted_matrix(spark, sf, wanted=tuple(POLY)).select("id", *POLY)
 
 
 @query("interaction_features")
 def interaction_features(spark, sf):
     """Products, guarded ratio, loneliness flag."""
-    return _fitted_matrix(spark, sf).select("id", *INTERACT)
+    return _fitted_matrix(spark, sf, wanted=tuple(INTERACT)).select("id", *INTERACT)
 
 
 # ---------------------------------------------------------------------------

@@ -91,3 +91,30 @@ def test_required_column_check(spark):
     from cohort.sources.files import require_columns
     with pytest.raises(ValueError):
         require_columns(_passengers(spark).drop("Survived"), "Survived")
+
+
+@pytest.mark.parametrize("bins", ["batch", "fitted"])
+def test_wanted_features_are_the_same_and_need_no_more(spark, bins):
+    from cohort.operators.pipeline import STEPS, steps_of
+    df = _passengers(spark, 90, 4)
+    batch = _passengers(spark, 40, 5)
+    full = FeaturePipeline(bins=bins).fit(df).transform(batch).toPandas().sort_values("PassengerId")
+    for wanted in (("age", "fare", "age_sq", "age_fare", "fare_sq"), ("embarked_x_class",),
+                   ("has_cabin", "title_code"), ("cabin_number", "is_alone"), DECK_FEATURES,
+                   ("fare_group", "ticket_frequency")):
+        m = FeaturePipeline(bins=bins, wanted=wanted).fit(df)
+        out = m.transform(batch)
+        assert [c for c in out.columns if c in FEATURE_NAMES] == [f for f in FEATURE_NAMES if f in wanted]
+        got = out.toPandas().sort_values("PassengerId")
+        for f in wanted:
+            assert np.allclose(got[f].to_numpy(float), full[f].to_numpy(float), equal_nan=True), f
+    poly = FeaturePipeline(bins=bins, wanted=("age", "fare")).fit(df)
+    plan = poly.transform(batch)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert steps_of(["age"]) == {"medians"} and set(STEPS) == steps_of(FEATURE_NAMES)
+    assert not any(k.startswith("codes_") for k in poly.state) and not poly.tables
+    with pytest.raises(ValueError):
+        FeaturePipeline(wanted=("nothing",)).fit(df)
+
+
+DECK_FEATURES = ("fare_x_cabin_location_code", "ticket_prefix_code_x_class")
