@@ -154,7 +154,7 @@ RESULT = ("model string, candidate int, params string, f1_macro double, accuracy
           "precision_macro double, recall_macro double")
 
 
-def _candidates(grids: dict, data: DataFrame, folds: int, label: str) -> list[tuple]:
+def candidates(grids: dict, data: DataFrame, folds: int, label: str = "label") -> list[tuple]:
     """(key, candidate, params, metrics...) of every candidate of every kind,
     in grid order."""
     cands = {k: grid(g) for k, g in grids.items()}
@@ -180,7 +180,7 @@ def grid_search(key: str, param_grid: dict, data: DataFrame, folds: int, label:
     """V2: every candidate x fold is fitted once and scored on all four
     metrics; the best macro-F1 candidate (first on a tie) is refitted on all
     rows. Returns (results DataFrame, best params, refitted model)."""
-    rows = _candidates({key: param_grid}, data, folds, label)
+    rows = candidates({key: param_grid}, data, folds, label)
     params = grid(param_grid)[_best(rows)] if rows else None
     model = fit_model(key, data, params, label) if refit and rows else None
     return data.sparkSession.createDataFrame(rows, RESULT), params, model
@@ -362,7 +362,7 @@ def search_all(grids: dict, data: DataFrame, folds: int, label: str = "label"):
     """C11: every model's grid; the best macro-F1 over all candidates wins (the
     earlier model and candidate on a tie) and is refitted on all rows. Returns
     (results DataFrame, key, params, model)."""
-    rows = _candidates(grids, data, folds, label)
+    rows = candidates(grids, data, folds, label)
     best = _best(rows)
     key, params = rows[best][0], grid(grids[rows[best][0]])[rows[best][1]]
     table = data.sparkSession.createDataFrame([(*r, i == best) for i, r in enumerate(rows)],
@@ -460,5 +460,5 @@ def validation_curve(key: str, param: str, values: Sequence, data: DataFrame, fo
 
 __all__ = ["KEYS", "grid_search", "cv_predictions", "cv_scores", "VotingModel", "fit_voting",
            "StackingModel", "fit_stacking", "fit_members", "ensemble_cv", "search_all",
-           "comparison", "select_best",
+           "candidates", "comparison", "select_best",
            "learning_curve", "validation_curve"]

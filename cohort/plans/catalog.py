@@ -80,6 +80,22 @@ def csv_scan(spark, sf):
     return S.read_csv(spark, path, schema=schema)
 
 
+@query("csv_infer")
+def csv_infer(spark, sf):
+    """The view written as CSV and read back with inferred types; per
+    column its type, missing values and total (numbers only)."""
+    path = scratch_dir(spark, f"csv-{uuid.uuid4().hex}")
+    S.write_csv(passenger_view(spark, sf), path)
+    df = S.read_csv_inferred(spark, path)
+    types = dict(df.dtypes)
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("name"), F.lit(types[c]).alias("type"), F.col(c).isNull().cast("long").alias("m"),
+        (F.col(c).cast("double") if types[c] in ("bigint", "double") else F.lit(None).cast("double"))
+        .alias("v")) for c in df.columns])).alias("r")
+    return df.select(rows).select("r.*").groupBy("name", "type").agg(
+        F.sum("m").alias("missing"), F.round(F.sum("v"), 2).alias("total"))
+
+
 @query("generate_ids")
 def generate_ids(spark, sf):
     """Lineitem has no key; number its rows 1..n in full column order."""

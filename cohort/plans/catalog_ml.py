@@ -134,18 +134,14 @@ def knn_validation_curve(spark, sf):
 
 
 def _results(spark, sf, names, folds=3):
+    """CV scores of the default candidate of each model, all fitted together."""
     data, _, _ = ml_data(spark, sf, folds)
-
-    def one(item):
-        pos, name = item
-        key = KEYS[name]
-        t, _, _ = SEL.grid_search(key, _one(key), data, folds, refit=False)
-        r = t.first()
-        return (name, pos, r["f1_macro"], r["accuracy"], r["precision_macro"], r["recall_macro"])
-    # the models' cross-validations are independent: submitted concurrently
-    rows = SEL.run_parallel(one, list(enumerate(names)), len(names))
-    return spark.createDataFrame(rows, "model string, position int, cv_f1_macro double, "
-                                       "cv_accuracy double, cv_precision double, cv_recall double")
+    rows = SEL.candidates({KEYS[n]: _one(KEYS[n]) for n in names}, data, folds)
+    by = {r[0]: r[3:] for r in rows}
+    return spark.createDataFrame(
+        [(n, i, *by[KEYS[n]]) for i, n in enumerate(names)],
+        "model string, position int, cv_f1_macro double, cv_accuracy double, "
+        "cv_precision double, cv_recall double")
 
 
 def _one(key):

@@ -19,6 +19,14 @@ LI_ORDER = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_exten
 ORACLE: dict = {
     "feature_matrix": FEATURE_MATRIX_SQL,
     "csv_scan": f"SELECT * FROM {V}",
+    "csv_infer": "SELECT name, type, missing::BIGINT AS missing, round(total, 2) AS total FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS name, {t.format(c=c)} AS type, count(*) FILTER ({c} IS NULL) AS missing, {x.format(c=c)} AS total FROM {V}"
+        for cols, t, x in (
+            ("id label pclass sibsp parch", "CASE WHEN count({c}) < count(*) THEN 'double' ELSE 'bigint' END",
+             "sum({c}::DOUBLE)"),
+            ("age fare", "'double'", "sum({c})"),
+            ("name sex ticket cabin embarked", "'string'", "CAST(NULL AS DOUBLE)"))
+        for c in cols.split()) + ")",
     "generate_ids": f"SELECT {LI_COLS}, row_number() OVER (ORDER BY {LI_ORDER}) AS row_id FROM lineitem",
     "submission_sink": f"SELECT id, CAST(CASE WHEN pclass <= 2 THEN 1 ELSE 0 END AS INT) AS survived FROM {V}",
     "align_columns": "SELECT c_custkey, c_acctbal, 0 AS c_phone, c_nationkey FROM customer",

@@ -46,6 +46,62 @@ def read_csv(spark: SparkSession, path: str,
     return r.csv(path)
 
 
+# Texts that the reference's reader takes for a missing value, and
+# for the two truth values.
+NA_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+            "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+TRUE_TEXTS, FALSE_TEXTS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
+_INT = r"^[ ]*[+-]?[0-9]+[ ]*$"
+_NUMBER = r"(?i)^[ ]*[+-]?([0-9]+\.?[0-9]*([e][+-]?[0-9]+)?|\.[0-9]+([e][+-]?[0-9]+)?|inf|infinity)[ ]*$"
+
+
+def infer_types(df: DataFrame) -> dict[str, str]:
+    """Types of text columns by the reference reader's rules, in one aggregate:
+    whole numbers are bigint, or double where a value is missing; other numbers,
+    and columns without any value, double; truth values boolean if none is
+    missing; everything else string. What a column shows of each kind merges by
+    minimum and sum, so files and tasks may be taken in any order."""
+    aggs = []
+    for i, c in enumerate(df.columns):
+        x = F.col(f"`{c}`")
+        na = x.isNull() | x.isin(*NA_TEXTS)
+        kinds = {"i": x.rlike(_INT) & F.trim(x).try_cast("bigint").isNotNull(), "f": x.rlike(_NUMBER),
+                 "b": x.isin(*TRUE_TEXTS, *FALSE_TEXTS)}
+        aggs.append(F.sum(na.cast("long")).alias(f"na{i}"))
+        aggs.append(F.count(F.when(~na, 1)).alias(f"n{i}"))
+        aggs += [F.min(F.when(~na, v)).alias(f"{k}{i}") for k, v in kinds.items()]
+    r = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(df.columns):
+        missing = bool(r[f"na{i}"])
+        if not r[f"n{i}"]:
+            out[c] = "double"
+        elif r[f"i{i}"]:
+            out[c] = "double" if missing else "bigint"
+        elif r[f"f{i}"]:
+            out[c] = "double"
+        else:
+            out[c] = "boolean" if r[f"b{i}"] and not missing else "string"
+    return out
+
+
+def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Text columns in their inferred types; missing-value texts are null."""
+    def column(c: str) -> Column:
+        x = F.col(f"`{c}`")
+        v = F.when(x.isin(*NA_TEXTS), F.lit(None)).otherwise(x)
+        if types[c] == "boolean":
+            return x.isin(*TRUE_TEXTS).alias(c)
+        return (v if types[c] == "string" else F.trim(v).cast(types[c])).alias(c)
+    return df.select(*[column(c) for c in df.columns])
+
+
+def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header row and types by ``infer_types``."""
+    text = (spark.read.option("header", True).option("escape", '"').option("inferSchema", False).csv(path))
+    return typed(text, infer_types(text))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with header; each task writes its own part file."""
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
