@@ -29,7 +29,7 @@ BLOCK_ROWS = 131_072
 #: blocks they are added in two steps.
 FAN_IN = 64
 #: Partial sums of a pass that may be added on the driver.
-DRIVER_BYTES = 32 << 20
+DRIVER_BYTES = 64 << 20
 #: Bits of a block's number that count within its partition.
 PART_BITS = 24
 
