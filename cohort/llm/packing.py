@@ -1,19 +1,29 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
 Documents are tokenised where they lie; from then on only piece descriptions
-(id, piece, start, length, checksum) move. The pieces are range-sorted by
-length, so a length holds a contiguous run of ranks however many partitions it
-spans; gaps of equal size are runs too, in a list on the driver. The best-fit
-loop runs there, on these runs instead of on rows: a round takes the run of the longest unplaced pieces, finds by a
-successor search the run of the smallest gaps that hold it, places as many as
-both runs have at once (the k-th ranked piece into the k-th ranked gap, which
-settles every conflict), returns the smaller gaps to the sorted list, and
-repeats until no piece is left; pieces without a gap open new sequences. Rows
-then read their place from their (length, rank), again where they lie.
-
-Sizes: there are at most ``capacity`` lengths, so the run lists, the only thing
-the driver holds, depend on the capacity and not on the number of documents.
-A length that a third of all pieces share is one run.
+(id, piece, start, length, checksum) move. They are written range-sorted by
+length, and open gaps are a table of (sequence, tokens used). A round
+
+1. takes the pieces of a band (lengths from ``band`` times the longest unplaced
+   one up) and the gaps that could hold one, and opens as many sequences as the
+   tokens that no gap can hold must have at least;
+2. range-sorts pieces and gaps together, by falling size, and sweeps: read as
+   brackets, a gap opens a level (several, if it holds several pieces of any
+   length in the band) and a piece closes one, so the bracket a piece closes is
+   the smallest unused gap that holds it, its successor. Each partition sums up
+   its own depth, the sums of the partitions before shift it, and a piece's
+   partner is the row before it on its level;
+3. settles conflicts by rank: of pieces with the same successor the k-th takes
+   the k-th gap above, and of pieces in one gap the longer lies first;
+4. writes the placed pieces, the pieces left and the smaller gaps, and repeats.
+
+Sizes: a level, like a sequence, has at most about two rows a length, so no
+group grows with the table, also not that of a length which a third of all
+pieces share. The driver holds counts by size (at most twice the capacity) and
+one number a partition. The band falls geometrically, so the number of rounds
+depends on the capacity and hardly on the number of pieces. All rounds are
+written tables in the session's shared folder, so a lost executor costs no more
+than the running step.
 
 Defined results: null text is empty and packs as its end token alone; empty
 table, empty result; repeated rows are packed each; other columns are ignored.
@@ -22,6 +32,8 @@ table, empty result; repeated rows are packed each; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,10 +41,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohort.llm.common import chunks, cut_lineage, map_arrow, text_or_empty
+from cohort.llm.common import chunks, map_arrow, stage_dir, text_or_empty
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -42,6 +54,8 @@ class Params:
     capacity: int = 2048
     vocabulary: str = "byte_bpe_50k"
     end_id: int = 0
+    band: float = 0.4               # shortest length of a round to the longest unplaced
+    rows_per_task: int = 200_000    # of a sweep; a row is some 60 bytes
 
 
 class Encoder:
@@ -107,121 +121,172 @@ def pieces(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return map_arrow(rows, run, PIECES)
 
 
-# -- sweeps over runs ---------------------------------------------------------
-
-class Gaps:
-    """Open gaps as runs of consecutive sequences, sorted by size; successor
-    search over the sizes that exist."""
-
-    def __init__(self, capacity: int):
-        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-        self.sizes = 0                       # bit s is set if a gap of size s exists
-
-    def successor(self, size: int) -> int | None:
-        above = self.sizes >> size
-        return None if not above else size + (above & -above).bit_length() - 1
-
-    def put(self, size: int, first: int, count: int) -> None:
-        if size and count:
-            self.runs[size].append((first, count))
-            self.sizes |= 1 << size
-
-    def take(self, size: int) -> tuple[int, int]:
-        run = self.runs[size].pop()
-        if not self.runs[size]:
-            self.sizes &= ~(1 << size)
-        return run
-
-
-def sweep(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """Placement runs (length, first rank, count, first sequence, offset) of
-    best fit over a histogram of lengths, and the number of sequences: ranks
-    first..first+count-1 of a length go to that many consecutive sequences."""
-    gaps, placed, opened = Gaps(capacity), [], 0
-    for length in sorted(histogram, reverse=True):
-        rank, left = 0, histogram[length]
-        while left:
-            size = gaps.successor(length)
-            if size is None:                 # open what the rest needs
-                new = -(-left // (capacity // length))
-                gaps.put(capacity, opened, new)
-                opened += new
-                continue
-            first, count = gaps.take(size)
-            layers = size // length          # best fit fills a gap before the next
-            full = min(count, left // layers)
-            if full:
-                for k in range(layers):
-                    placed.append((length, rank + k * full, full, first,
-                                   capacity - size + k * length))
-                rank, left = rank + layers * full, left - layers * full
-                gaps.put(size - layers * length, first, full)
-                first, count = first + full, count - full
-            if count and left:               # fewer pieces than one gap holds
-                for k in range(left):
-                    placed.append((length, rank + k, 1, first, capacity - size + k * length))
-                gaps.put(size - left * length, first, 1)
-                rank, left = rank + left, 0
-                first, count = first + 1, count - 1
-            gaps.put(size, first, count)
-    return np.array(placed, np.int64).reshape(-1, 5), opened
-
-
-def ranked(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """Pieces range-sorted by length with their rank inside the length, and
-    the histogram of lengths. A length may span many partitions: ranks start at
-    the count of that length in the partitions before."""
-    keys = ["length", "doc_id", "piece", "ids_crc32"]
-    pid = F.spark_partition_id()
-    # written once: range bounds come from a sample, and both reads need the same
-    t = cut_lineage(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                    .withColumn("part", pid)
-                    .withColumn("at", F.monotonically_increasing_id()
-                                - F.shiftleft(pid.cast("long"), 33)))
-    # neighbouring partitions share at most one length, so this has about
-    # partitions + capacity rows
-    stats = (t.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"),
-                                             F.min("at").alias("first"))
-             .orderBy("part", "length").collect())
-    total: dict[int, int] = {}
-    base: dict[int, dict[int, int]] = {}
-    for r in stats:
-        base.setdefault(r["part"], {})[r["length"]] = total.get(r["length"], 0) - r["first"]
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
-    start = cut_start(base)
+# -- rounds ---------------------------------------------------------------------
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        part, length, at = (batch.column(batch.schema.get_field_index(x)).to_numpy()
-                            for x in ("part", "length", "at"))
-        rank = at + start(part, length)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:5], pa.array(rank)], [*batch.schema.names[:5], "rank"])
-    return map_arrow(t, run, PIECES + ", rank long"), total
+#: A row of a round: a gap (kind 0; ``length`` null, ``offset`` the tokens used)
+#: or a piece (kind 1; unplaced while ``sequence_id`` is null).
+STATE = f"kind int, {PIECES}, sequence_id long, offset long"
+NAMES = [x.split()[0] for x in STATE.split(", ")]
+SWEPT = f"{STATE}, size long, slots long, part int, at long, depth long"
+
+
+class Store:
+    """Written tables of one run, in the session's shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.base = f"{stage_dir(spark)}/packing-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str, schema: str) -> DataFrame:
+        df.write.parquet(f"{self.base}/{name}")
+        return self.get(schema, name)
+
+    def get(self, schema: str, *names: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.base}/{n}" for n in names))
 
 
-def cut_start(base: dict[int, dict[int, int]]):
-    """Lookup of rank starts by (partition, length)."""
-    flat = sorted((p, n, v) for p, x in base.items() for n, v in x.items())
-    keys = np.array([(p << 32) + n for p, n, _ in flat], np.int64)
-    values = np.array([v for _, _, v in flat], np.int64)
-    return lambda part, length: values[np.searchsorted(keys, (part.astype(np.int64) << 32) + length)]
+def counts(df: DataFrame, size: Column) -> dict[int, int]:
+    """Rows by size; there are at most as many sizes as the capacity."""
+    return {r["size"]: r["n"] for r in
+            df.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def local_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Appends a row's place in its sorted partition and the depth before it: the
+    slots opened less the pieces met since the partition began."""
+    at = depth = 0
+    for b in batches:
+        slots = b.column(b.schema.get_field_index("slots")).to_numpy()
+        after = depth + np.cumsum(np.where(slots > 0, slots, -1))
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns, pa.array(np.arange(at, at + len(slots))),
+             pa.array(np.concatenate([[depth], after[:-1]])[:len(slots)])],
+            [*b.schema.names, "at", "depth"])
+        if len(slots):
+            at, depth = at + len(slots), int(after[-1])
+
+
+def swept(rows: DataFrame, n_parts: int, store: Store, name: str) -> DataFrame:
+    """Pieces of ``rows`` with the sequence of their successor gap, or null.
+    ``size`` orders the sweep; ``slots`` is 0 for a piece."""
+    keys = [F.col("size").desc(), F.col("kind"), F.col("sequence_id"), F.col("doc_id"),
+            F.col("piece")]
+    ranged = rows.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    # written once: range bounds come from a sample, and both reads need the same
+    t = store.put(ranged.withColumn("part", F.spark_partition_id())
+                  .mapInArrow(local_depth, SWEPT), name, SWEPT)
+    sums = (t.groupBy("part").agg(F.sum(F.when(F.col("slots") > 0, F.col("slots"))
+                                        .otherwise(-1)).alias("change"))
+            .orderBy("part").collect())            # one row a partition
+    before = np.cumsum([0, *(r["change"] for r in sums)])
+    shift = store.spark.createDataFrame(
+        [(r["part"], int(b)) for r, b in zip(sums, before)], "part int, before long").coalesce(1)
+    t = t.join(F.broadcast(shift), "part").withColumn("depth", F.col("depth") + F.col("before"))
+    # a gap opens the levels above the depth before it, a piece closes the top one
+    level = F.explode(F.when(F.col("kind") == 0, F.sequence(
+        F.col("depth") + 1, F.col("depth") + F.col("slots"))).otherwise(F.array("depth")))
+    w = Window.partitionBy("level").orderBy("part", "at")
+    return (t.withColumn("level", level)
+            # on a level gaps and pieces take turns: the row before is the partner
+            .withColumn("sequence_id", F.when(F.col("kind") == 1, F.lag("sequence_id").over(w))
+                        .otherwise(F.col("sequence_id")))
+            .where("kind = 1"))
+
+
+def settled(found: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The state after a round: the pieces that met a gap lie in it one after the
+    other, and the gap has their tokens used."""
+    rank = F.struct("part", "at")
+    rows = (found.select(*NAMES, rank.alias("rank"))
+            .unionByName(gaps, allowMissingColumns=True)
+            # pieces without a gap are each a group of their own
+            .withColumn("tokens", F.when(F.col("kind") == 0, F.col("offset"))
+                        .otherwise(F.col("length")))
+            .withColumn("lone", F.when(F.col("sequence_id").isNull(), F.col("rank"))))
+    group = Window.partitionBy("sequence_id", "lone")
+    so_far = group.orderBy("kind", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*NAMES[:-1], F.when(F.col("kind") == 0, F.sum("tokens").over(group))
+                       .when(F.col("sequence_id").isNotNull(), F.sum("tokens").over(so_far))
+                       .alias("offset"))
+
+
+def gap_size(p: Params) -> Column:
+    return F.lit(p.capacity) - F.col("offset")
+
+
+def opened(band: dict[int, int], largest: int, p: Params) -> int:
+    """Sequences to open for a band: what its pieces longer than every gap need
+    at least, by tokens and because no two above half the capacity share one."""
+    tokens = sum(n * c for n, c in band.items() if n > largest)
+    return max(-(-tokens // p.capacity),
+               sum(c for n, c in band.items() if n > max(largest, p.capacity // 2)))
+
+
+def as_state(df: DataFrame, **given: Column) -> DataFrame:
+    """``df`` with the columns of a state; absent ones are null."""
+    cols = []
+    for x in STATE.split(", "):
+        name, kind = x.split()
+        col = given.get(name, F.col(name) if name in df.columns else F.lit(None))
+        cols.append(col.cast(kind).alias(name))
+    return df.select(*cols)
+
+
+def band_of(waiting: dict[int, int], left: dict[int, int], floor: int, p: Params) -> int:
+    """Shortest length of the next band; bands never rise."""
+    return min(floor, max(1, math.ceil(p.band * max([*waiting, *left]))))
+
+
+def place(found: DataFrame, p: Params, store: Store) -> DataFrame:
+    """Rows of PIECES with their sequence_id and offset."""
+    spark = found.sparkSession
+    waiting = counts(found, F.col("length"))       # lengths below every band so far
+    # by length, so a band is read from few of the files
+    base = store.put(found.repartitionByRange("length", "doc_id", "piece")
+                     .sortWithinPartitions("length"), "pieces", PIECES)
+    left: dict[int, int] = {}                      # lengths met by a band, unplaced
+    gaps: dict[int, int] = {}                      # open gaps by size
+    state, floor, total, done = None, p.capacity + 1, 0, 0
+    while waiting or left:
+        low = band_of(waiting, left, floor, p)
+        band = dict(left)
+        for n in [n for n in waiting if n >= low]:
+            band[n] = band.get(n, 0) + waiting.pop(n)
+        longest, shortest, least = max(band), min(band), min([*band, *waiting])
+        new = opened(band, max(gaps, default=0), p)
+        gaps[p.capacity] = gaps.get(p.capacity, 0) + new
+
+        members = as_state(base.where(F.col("length").between(low, floor - 1)), kind=F.lit(1))
+        holders = as_state(spark.range(total, total + new, 1, 1 + new // p.rows_per_task),
+                           kind=F.lit(0), sequence_id=F.col("id"), offset=F.lit(0))
+        if state is not None:
+            members = members.union(state.where("kind = 1 and sequence_id is null"))
+            # a gap smaller than every unplaced piece is closed
+            holders = holders.union(state.where((F.col("kind") == 0) & (gap_size(p) >= least)))
+        slots = F.greatest(F.lit(1), F.floor(gap_size(p) / longest))
+        rows = members.select("*", F.col("length").alias("size"),
+                              F.lit(0).cast("long").alias("slots")).union(
+            holders.where(gap_size(p) >= shortest)
+            .select("*", gap_size(p).alias("size"), slots.cast("long").alias("slots")))
+        n_rows = sum(band.values()) + sum(c for n, c in gaps.items() if n >= shortest)
+        met = swept(rows, 1 + n_rows // p.rows_per_task, store, f"sweep-{done}")
+        state = store.put(settled(met, holders), f"state-{done}", STATE)
+
+        # gaps count under minus their size
+        both = counts(state.where("kind = 0 or sequence_id is null"),
+                      F.when(F.col("kind") == 1, F.col("length")).otherwise(-gap_size(p)))
+        left = {n: c for n, c in both.items() if n > 0}
+        gaps = {-n: c for n, c in both.items() if n < 0}
+        floor, total, done = low, total + new, done + 1
+    if not done:
+        return as_state(base).drop("kind")
+    return (store.get(STATE, *(f"state-{k}" for k in range(done)))
+            .where("kind = 1 and sequence_id is not null").drop("kind"))
 
 
 def pack(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    store = Store(docs.sparkSession)
     # written first: range partitioning reads its input twice (once for a sample
     # of the bounds), and these narrow rows stand for all of the tokenising
-    rows, histogram = ranked(cut_lineage(pieces(docs, p)))
-    placed, _ = sweep(histogram, p.capacity)
-    placed = placed[np.lexsort((placed[:, 1], placed[:, 0]))]
-    # lengths are at most the capacity; a rank run is found by one search
-    keys = (placed[:, 0] << 44) + placed[:, 1]
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        length = batch.column(3).to_numpy()
-        rank = batch.column(5).to_numpy()
-        hit = placed[np.searchsorted(keys, (length << 44) + rank, side="right") - 1]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:5], pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])],
-            [*batch.schema.names[:5], "sequence_id", "offset"])
-    return map_arrow(rows, run, PIECES + ", sequence_id long, offset long")
+    return place(store.put(pieces(docs, p), "found", PIECES), p, store)
