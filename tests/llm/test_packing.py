@@ -149,9 +149,7 @@ def test_sweep_meets_successors_across_partitions(spark):
 
 def test_rounds_need_hardly_more_sequences_than_best_fit(spark):
     rng = np.random.default_rng(5)
-    cases = [rng.integers(1, 101, 600), rng.integers(1, 4, 400), np.full(90, 34),
-             np.concatenate([np.ones(400, int), rng.integers(1, 101, 300)]),
-             np.clip(rng.lognormal(3, 1, 800).astype(int), 1, 100)]
+    cases = [np.full(30, 34), np.concatenate([np.ones(300, int), rng.integers(1, 101, 300)])]
     for lengths in cases:
         got = P.place(as_pieces(spark, lengths), P.Params(capacity=100, rows_per_task=150),
                       P.Store(spark)).collect()
