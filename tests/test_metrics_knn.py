@@ -142,3 +142,26 @@ def test_knn_views_share_the_neighbours(spark):
     for i, v in enumerate(models):
         alone = v.transform(df).orderBy("id").select("pred_knn").toPandas()["pred_knn"]
         assert (frame[f"p{i}"] == alone).all()
+
+
+def test_knn_training_rows_move_once_a_group(spark, monkeypatch):
+    """No groups of neighbours: every query asks for most blocks, but their rows
+    move once for each group of queries, and the answer is that of all pairs."""
+    import cohort.operators.knn as K
+    rng = np.random.default_rng(4)
+    X = rng.integers(-2, 3, size=(600, 12)) * 1.5       # many equal distances
+    y = rng.integers(0, 3, 600)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(600), "label": y, "f": list(X)})).select(
+        "id", "label", array_to_vector(F.col("f")).alias("features"))
+    for name, value in (("BLOCK_ROWS", 20), ("GROUPS", 4), ("PIECE_BYTES", 500), ("HELD", 50)):
+        monkeypatch.setattr(K, name, value)
+    m = KNNClassifier(k=5, exclude_self=True).fit(df)
+    moved = []
+    body = K._Group.meet
+    sizes = m.base.grouped(df.select(F.col("id").alias("key"), F.lit(0).cast("long").alias("b")))[1]
+    assert sizes == 4
+    monkeypatch.setattr(K._Group, "meet", lambda self, b, t: (moved.append(b), body(self, b, t))[1])
+    out = m.transform(df).orderBy("id").select("pred_knn").toPandas()["pred_knn"].to_numpy()
+    assert (out == _brute_knn(X, y, 5, True)).all()
+    pieces = m.base.pieces()
+    assert pieces.agg(F.sum(F.size("tid"))).first()[0] == 600 and pieces.count() < 600
