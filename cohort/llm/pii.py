@@ -9,7 +9,8 @@ chunk run through the network together, windows that could hold a span are
 decoded by Viterbi and scored by their label marginals, and the spans of all
 windows of a document are reconciled in text positions: pieces cut by a window
 edge are united with what the neighbour saw, and of overlapping claims the
-surest stays. Rule spans always stay; an added span never overlaps one.
+surest stays. An added span holds a digit or an "@", so windows that have neither,
+nor any bearing on one that does, are not run (``form_spans``). Rule spans always stay; an added span never overlaps one.
 
 Nothing is shuffled; the driver holds the sample (``sample_docs`` windows) and
 about 10 kB of weights.
@@ -120,12 +121,12 @@ def window_starts(n: int, p: Params) -> list[int]:
     return [0] if n <= p.window else list(range(0, n - p.overlap, stride))
 
 
-def window_spans(w: net.Weights, texts: list[np.ndarray], p: Params,
-                 at_once: int = 1024) -> list[list[tuple]]:
+def window_spans(w: net.Weights, texts: list[np.ndarray], p: Params, at_once: int = 1024,
+                 starts: list[list[int]] | None = None) -> list[list[tuple]]:
     """Per text the decoded spans (start, end, kind, posterior, cut): cut if the
-    span touches a window edge inside the text."""
+    span touches a window edge inside the text. ``starts``: only these windows."""
     where = [(i, s, min(len(c), s + p.window)) for i, c in enumerate(texts) if len(c)
-             for s in window_starts(len(c), p)]
+             for s in (window_starts(len(c), p) if starts is None else starts[i])]
     where.sort(key=lambda x: x[1] - x[2])
     out: list[list[tuple]] = [[] for _ in texts]
     for k in range(0, len(where), at_once):
@@ -162,6 +163,31 @@ def window_spans(w: net.Weights, texts: list[np.ndarray], p: Params,
     return out
 
 
+def form_spans(w: net.Weights, texts: list[np.ndarray], p: Params) -> list[list[tuple]]:
+    """``window_spans`` without the windows that have no part in a span of the
+    right form: those without a digit or "@", unless beside one that has any, or
+    touched by a span found so far (which theirs might overlap or join)."""
+    every = [window_starts(len(c), p) if len(c) else [] for c in texts]
+    left, now = [], []
+    for c, own in zip(texts, every):
+        form = np.flatnonzero(((c >= 48) & (c <= 57)) | (c == 64))
+        s = np.array(own, np.int64)
+        on = np.searchsorted(form, s + p.window) > np.searchsorted(form, s)
+        own_form = on.copy()
+        on[1:] |= own_form[:-1]
+        on[:-1] |= own_form[1:]
+        now.append(s[on].tolist())
+        left.append(s[~on].tolist())
+    out: list[list[tuple]] = [[] for _ in texts]
+    while any(now):
+        for all_, got in zip(out, window_spans(w, texts, p, starts=now)):
+            all_.extend(got)
+        now = [[s for s in rest if any(a <= s + p.window and b >= s for a, b, *_ in spans)]
+               if spans and rest else [] for rest, spans in zip(left, out)]
+        left = [[s for s in rest if s not in set(more)] if more else rest for rest, more in zip(left, now)]
+    return out
+
+
 def reconcile(found: list[tuple]) -> list[tuple[int, int, int, float]]:
     """One set of disjoint spans (start, kind, end, posterior) of a document."""
     whole = []
@@ -191,7 +217,7 @@ def added_spans(w: net.Weights | None, texts: list[str], base: list[list[tuple]]
     """Per text the tagger's sure spans that overlap no rule span."""
     if w is None:
         return [[] for _ in texts]
-    found = window_spans(w, [codes(t) for t in texts], p)
+    found = form_spans(w, [codes(t) for t in texts], p)
     return [[(s, k, e) for s, k, e, q in reconcile(f)
              if q >= p.min_posterior and e - s >= p.min_length and has_form(k, t[s:e])
              and all(e <= a or b <= s for a, _, b in rules)]

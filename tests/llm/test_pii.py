@@ -219,3 +219,26 @@ def test_without_labelled_spans_only_rules(spark):
 
 def test_mask_joins_overlaps():
     assert pii.mask("abcdefgh", [(1, 0, 4), (3, 1, 6)]) == "a[EMAIL]gh"
+
+
+def test_windows_without_a_form_change_nothing(monkeypatch):
+    """Random weights give many spans in every window; the spans that stay are
+    those of all windows, though few windows are run."""
+    p = pii.Params(window=32, overlap=12, min_posterior=0.0, min_length=1)
+    rng = np.random.default_rng(5)
+    chars = list("abcdefgh ., ") * 8 + list("7@")
+    texts = ["".join(rng.choice(chars, n)) for n in rng.integers(0, 600, 60)] + ["x" * 400]
+    body, ran = pii.window_spans, []
+    monkeypatch.setattr(pii, "window_spans", lambda w, t, p, at_once=1024, starts=None: (
+        ran.append(sum(map(len, starts))), body(w, t, p, at_once, starts))[1])
+    kept = some = 0
+    for seed in range(6):
+        w = pii.net.init(6, pii.LABELS, seed)
+        w.bias[0] += 0.3 * seed
+        got = pii.added_spans(w, texts, [[] for _ in texts], p)
+        whole = [[(s, k, e) for s, k, e, q in pii.reconcile(f) if pii.has_form(k, t[s:e])]
+                 for t, f in zip(texts, body(w, [pii.codes(t) for t in texts], p))]
+        assert got == whole
+        kept, some = kept + sum(map(len, got)), some + sum(map(len, whole))
+    assert kept == some > 0
+    assert sum(ran) < 6 * sum(len(pii.window_starts(len(t), p)) for t in texts if t)
