@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohort.operators import hist_trees as H
 from cohort.operators import logistic as LG
 from cohort.operators import shared_pass as SP
+from cohort.operators.models import checked
 
 
 def _frame(spark, n=400, seed=0, dims=5, parts=6):
@@ -233,3 +234,55 @@ def test_labels_other_than_two_are_refused(spark):
     df, _, _ = _frame(spark, 30)
     with pytest.raises(Exception, match="0 or 1"):
         LG.fit_many(df.withColumn("label", F.lit(2)), [SP.Fit(LR)])
+
+
+def test_coded_rows_give_the_histogram():
+    rng = np.random.default_rng(2)
+    n, feats, bins, nodes = 200, 5, 16, 90
+    x, slot = rng.integers(0, bins, (n, feats)).astype(np.uint8), rng.integers(0, nodes, n)
+    a = rng.integers(1, 9, n).astype(float)
+    b = a * rng.integers(0, 2, n)
+    want = np.zeros((2, nodes, feats, bins))
+    for i in range(n):
+        for j in range(feats):
+            want[:, slot[i], j, x[i, j]] += a[i], b[i]
+    sums = H._Splits([(nodes, feats, bins)], "rf", [{}])
+    blob = H.coded_rows((x[:, j] for j in range(feats)), a, b, slot)
+    assert (sums.add(0, None, blob) == want.ravel()).all()
+    assert len(blob) < len(H.coded(want.ravel())) / 4
+    for whole in (True, False):
+        got = H.histograms((x[:, j] for j in range(feats)), feats, (a, b), slot, bins, nodes, whole)
+        assert (got == want.ravel()).all()
+
+
+def test_many_cuts_are_scored_in_one_descent(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 4)).round(1)
+    y = ((x[:, 0] * x[:, 1] + rng.normal(size=500) * 0.3) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(500), "label": y, "f": list(x)})).select(
+        "id", "label", array_to_vector("f").alias("features"))
+    for kind, name, values in (("rf", "max_depth", [2, 4, 7]), ("gb", "n_estimators", [1, 3, 6])):
+        base = {"n_estimators": 3} if kind == "rf" else {"max_depth": 3}
+        fits = [SP.Fit(checked(kind, {**base, name: v})) for v in values]
+        models = H.fit_many(kind, df, fits)
+        calls, body = [], H.Tree.leaves
+        monkeypatch.setattr(H.Tree, "leaves", lambda t, v, d: (calls.append(1), body(t, v, d))[1])
+        got = H.TreeModel.probas(x, models)
+        assert len(calls) == len(models[0].all_trees)
+        monkeypatch.undo()
+        for m, p in zip(models, got):
+            assert (m.proba(x) == p).all()
+            flat = np.ascontiguousarray(H.binned(x, H.fit_cuts(SP.pack(df, []))).T)
+            for t in m.trees if kind == "gb" else []:
+                assert (t.leaf(x) == t.route_columns(flat)).all()
+    # a pass sends a bounded number of nodes, with the same trees
+    deep = [SP.Fit(checked("rf", {"n_estimators": 3, "max_depth": 7}))]
+    want = H.fit_many("rf", df, deep)[0].proba(x)
+    monkeypatch.setattr(H, "PASS_NODES", 1)
+    monkeypatch.setattr(H, "FEW_SPLITS", 2)
+    assert (H.fit_many("rf", df, deep)[0].proba(x) == want).all()
+
+
+def test_passes_of_a_boosted_model_send_little_to_the_driver():
+    # 100 rounds of depth 3 take 300 passes
+    assert 300 * SP.DRIVER_BYTES < 1000 << 20
