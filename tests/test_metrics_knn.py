@@ -133,6 +133,37 @@ def test_knn_bounds_are_safe():
             assert (low[:, i] <= true + 1e-300).all()
 
 
+def test_knn_tree_reaches_fewer_rows_than_pivots():
+    """Mixed discrete and continuous features: median cuts leave out more than the
+    cells of pivots, and the neighbours of a query lie in blocks that its bounds reach."""
+    from cohort.operators import knn as K
+    r = np.random.default_rng(5)
+    x = np.column_stack([*(r.integers(0, n, 6000) for n in (2, 3, 4, 5, 8)), *r.random((4, 6000)) * 6.0]).astype(float)
+    p = K.Partition.best(x, 60)
+    cells = K.Partition.fit(x[:K.SAMPLE_ROWS], 60)
+    assert len(p.tree) and p.reached(x) < 0.6 * cells.reached(x)
+    b = p.block(x)
+    leaves = p.tree[p.tree[:, 0] < 0, 2]
+    assert sorted(leaves) == list(range(len(leaves))) and set(b) <= set(leaves.astype(int))
+    n = np.unique(b)
+    d = np.sqrt(K.squared(x, p.pivots))
+    bounds = K.Bounds(n, np.bincount(b)[n], *(np.array([f(v[b == j], axis=0) for j in n]) for v in (x, d)
+                                              for f in (np.min, np.max)), p.pivots, p.tree)
+    q = x[:50] + 1e-3
+    exact = ((q[:, None, :] - x[None]) ** 2).sum(axis=2)
+    kth = np.sort(exact, axis=1)[:, 4]
+    low = bounds.lower(q)
+    for i in range(len(q)):
+        asked = set(n[low[i] <= kth[i]])
+        assert set(b[exact[i] <= kth[i]]) <= asked
+    assert set(bounds.home(q)) <= set(n)
+    # alike rows are one leaf; a leaf without rows takes the number of the next
+    assert len(K.median_tree(np.ones((9, 2)), 4)) == 1
+    moved = K._renumbered(p.tree, [(0, 0, 2), *((j, j + 1, 1) for j in range(2, len(leaves)))])
+    assert moved[moved[:, 0] < 0, 2].tolist()[:3] == [0, 3, 3]
+
+
+
 def test_knn_views_share_the_neighbours(spark):
     X, y, df = _clusters(spark, 200, 3)
     m = KNNClassifier(k=7).fit(df)
