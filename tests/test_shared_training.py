@@ -286,3 +286,38 @@ def test_many_cuts_are_scored_in_one_descent(spark, monkeypatch):
 def test_passes_of_a_boosted_model_send_little_to_the_driver():
     # 100 rounds of depth 3 take 300 passes
     assert 300 * SP.DRIVER_BYTES < 1000 << 20
+
+
+def test_trees_grown_in_one_task_are_those_of_the_shared_passes(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 9)).round(1)
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=900) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(900), "label": y, "fold": np.arange(900) % 3,
+                                             "f": list(x)})).repartition(5, "id").select(
+        "id", "label", "fold", array_to_vector(F.col("f")).alias("features"))
+    packed = SP.pack(df, ["fold"])
+    calls = []
+    monkeypatch.setattr(SP, "run_pass", lambda *a, old=SP.run_pass: calls.append(1) or old(*a))
+    names = ("feature", "bin", "left", "gain", "a", "b", "level", "path", "threshold", "value")
+    for kind, params in (("dt", {"max_depth": 9}), ("rf", {"n_estimators": 7, "max_depth": 8}),
+                         ("gb", {"n_estimators": 28}), ("gb", {"n_estimators": 3, "subsample": 0.6})):
+        fits = [SP.Fit(checked(kind, params), o)
+                for o in ((), (("fold", 1),), (("fold", 0),))]
+        got, passes = [], []
+        for local, nodes, cells in ((H.LOCAL_BYTES, H.LOCAL_NODES, H.UNIT_CELLS), (H.LOCAL_BYTES, 1, 1 << 10),
+                                    (0, 1, H.UNIT_CELLS)):
+            monkeypatch.setattr(H, "LOCAL_BYTES", local)
+            monkeypatch.setattr(H, "LOCAL_NODES", nodes)
+            monkeypatch.setattr(H, "UNIT_CELLS", cells)
+            H.bin_matrix(packed)
+            calls.clear()
+            got.append(H.fit_many(kind, packed, fits))
+            passes.append(len(calls))
+            monkeypatch.setattr(H, "LOCAL_BYTES", 16 << 20)
+            monkeypatch.setattr(H, "UNIT_CELLS", 1 << 18)
+        assert passes[0] == passes[1] == 0 < passes[2]
+        for other in got[1:]:
+            for m, n in zip(got[0], other):
+                assert len(m.trees) == len(n.trees) == params.get("n_estimators", 1)
+                for s, t in zip(m.trees, n.trees):
+                    assert all(np.array_equal(getattr(s, c), getattr(t, c)) for c in names), kind
