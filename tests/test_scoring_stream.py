@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import numpy as np
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cohort.functions import text as T
@@ -8,6 +10,7 @@ from cohort.operators.aggregate import passenger_keys, profile_rates
 from cohort.operators.models import fit_model, prepare
 from cohort.operators.pipeline import FEATURE_NAMES, PASSENGER_ROLES, FeaturePipeline
 from cohort.operators.score import Scorer
+from cohort.session import cut_lineage, passing_checkpoints
 from cohort.streaming.score_stream import read_scored, score_stream
 from test_pipeline import _passengers
 
@@ -130,3 +133,45 @@ def test_batch_run_explains_a_knn_winner(spark, tmp_path):
     p1 = {x["PassengerId"]: x["p1"] for x in r.predictions.collect()}
     sums = {x["PassengerId"]: sum(x[n] for n in FEATURE_NAMES) for x in r.attributions.collect()}
     assert len({round(p1[i] - s, 9) for i, s in sums.items()}) == 1    # f(x) less the base, one for all
+
+
+def test_batch_run_explains_against_every_training_row(spark, tmp_path):
+    from cohort.operators import explain as X
+    from cohort.operators import kernel_shap as K
+    from cohort.operators.run import batch_run
+    df = _passengers(spark, 150, 2)
+    test = df.drop("Survived").where("PassengerId <= 130")
+    grids = {"dt": {"max_depth": [3]}, "knn": {"n_neighbors": [3]}}
+    for key in grids:
+        small = key == "knn"
+        train = df.where("PassengerId <= 40") if small else df
+        r = batch_run(FeaturePipeline(), train, test.where("PassengerId <= 6") if small else test,
+                      str(tmp_path / key), folds=2, grids={key: grids[key]})
+        assert r.key == key and r.attributions.count() == (6 if small else 130)
+        # attributions sum to f(x) less the mean of f over all training rows
+        base = r.scorer.score(train.drop("Survived"), "PassengerId").toPandas()["p1"].mean()
+        p1 = {x["PassengerId"]: x["p1"] for x in r.predictions.collect()}
+        for x in r.attributions.collect():
+            assert abs(p1[x["PassengerId"]] - base - sum(x[n] for n in FEATURE_NAMES)) < 1e-6, key
+    rows, bg = X.sample_rows(_features(spark), 4, 1, "id"), X.sample_rows(_features(spark), 5, 2, "id")
+    m = fit_model("knn", _features(spark))
+    got = []
+    for n in (K.JOB_ROWS, 60):      # in one job, and in several
+        old, K.JOB_ROWS = K.JOB_ROWS, n
+        got.append(K.kernel_shapley(m, rows, bg, ["a", "b", "c"], ["id"], key="knn").toPandas()
+                   .sort_values("id").to_numpy())
+        K.JOB_ROWS = old
+    assert np.allclose(*got)
+    # a job leaves no checkpoint behind
+    with passing_checkpoints(spark):
+        own = cut_lineage(spark.range(3).toDF("a"))
+        at = own._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+        assert os.path.exists(at) and own.count() == 3
+    assert not os.path.exists(at)
+
+
+def _features(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    return spark.createDataFrame([(i, int(v.sum() > 0), Vectors.dense(v)) for i, v in enumerate(x)],
+                                 ["id", "label", "features"])
